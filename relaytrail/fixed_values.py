@@ -451,3 +451,67 @@ RULE_PLAIN_TEXT = {
     ),
     "CONTENT_CREDENTIAL": "The message asks you to sign in or confirm a password.",
 }
+
+# rule_id -> (group, severity, title, MITRE technique); %s is filled per message
+RULES = {
+    "AUTH_INJECTED_RESULTS": (
+        "authentication", "critical",
+        "Forged Authentication-Results header injected by the sender", "T1656",
+    ),
+    "AUTH_NO_TRUSTED_RESULTS": (
+        "authentication", "medium",
+        "No Authentication-Results from recognised infrastructure", None,
+    ),
+    "AUTH_%s_PASS_UNALIGNED": (
+        "authentication", "high", "%s passed, but not for the identity shown to the recipient",
+        None,
+    ),
+    "AUTH_%s_FAIL": ("authentication", "high", "%s failed", None),
+    "AUTH_DMARC_ALIGNED_ESTABLISHED": (
+        "authentication", "info", "DMARC passed and is aligned to the sending identity", None,
+    ),
+    "IDENT_DUPLICATE_FROM": ("identity", "critical", "Multiple From headers", "T1656"),
+    "IDENT_INVISIBLE_CHARS": (
+        "identity", "high", "Invisible characters in sender display name", "T1656",
+    ),
+    "IDENT_PROTECTED_DISPLAY_NAME": (
+        "identity", "high", "Display name claims a protected identity: %s", "T1656",
+    ),
+    "IDENT_LOOKALIKE_DOMAIN": (
+        "identity", "critical", "Sender domain resembles a protected domain (%s)", "T1656",
+    ),
+    "IDENT_REPLY_TO_DIVERGENT": (
+        "identity", "medium", "Replies leave the sending domain", "T1656",
+    ),
+    "IDENT_REPLY_TO_FREEMAIL": (
+        "identity", "high", "Replies are directed to a free webmail account", None,
+    ),
+    "IDENT_RETURN_PATH_DIVERGENT": (
+        "identity", "medium", "Envelope sender differs from the visible From domain", None,
+    ),
+    "INFRA_FORGED_RECEIVED": (
+        "infrastructure", "high", "Forged Received header: timestamps run backwards", "T1656",
+    ),
+    "INFRA_HANDOFF_BREAK": (
+        "infrastructure", "medium", "Break in Received-chain continuity", None,
+    ),
+    "INFRA_NO_TRUST_BOUNDARY": (
+        "infrastructure", "medium",
+        "No recognised receiving infrastructure in the Received chain", None,
+    ),
+    "INFRA_ASSERTED_HOPS": (
+        "infrastructure", "low", "%s Received header(s) below the trust boundary", None,
+    ),
+    "URL_CREDENTIAL_LANDING": (
+        "url_domain", "high", "Link points at a credential-entry page", "T1566.002",
+    ),
+    "URL_LOOKALIKE_HOST": (
+        "url_domain", "high", "Link host imitates a protected domain (%s)", "T1566.002",
+    ),
+    "ATTACH_TYPE_MISMATCH": (
+        "attachment", "high", "Attachment extension disagrees with its declared type: %s",
+        "T1566.001",
+    ),
+    "ATTACH_ARCHIVE": ("attachment", "low", "Archive attachment: %s", None),
+    "ATTACH_PRESENT": ("attachment", "low", "Attachment: %s", None),
+}
