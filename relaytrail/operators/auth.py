@@ -17,18 +17,17 @@ def _find(c: Column, pattern: str, group: int = 1) -> Column:
 def _mechanism_pairs(header: Column) -> Column:
     """(mechanism, result) in order of appearance; unknown results read as ``none``."""
     pattern = F.lit(fv.MECHANISM_PATTERN)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(header, pattern, 1), F.regexp_extract_all(header, pattern, 2)
-    )
 
-    def known(p: Column) -> Column:
-        result = F.lower(p["1"])
+    def known(mechanism: Column, value: Column) -> Column:
+        result = F.lower(value)
         return F.struct(
-            F.lower(p["0"]).alias("mechanism"),
+            F.lower(mechanism).alias("mechanism"),
             F.when(result.isin(*fv.AUTH_RESULTS), result).otherwise("none").alias("result"),
         )
 
-    return F.transform(pairs, known)
+    return F.zip_with(
+        F.regexp_extract_all(header, pattern, 1), F.regexp_extract_all(header, pattern, 2), known
+    )
 
 
 def _aligned(mechanism: Column, header: Column, from_domain: Column) -> Column:
@@ -88,10 +87,8 @@ def evaluate_authentication(messages: DataFrame) -> DataFrame:
             F.when(p["mechanism"] == "spf", fv.SPF_CAVEAT).alias("caveat"),
         )
 
-    results = F.coalesce(
-        F.transform("_trusted.pairs", result), F.filter(F.array(result(F.struct(
-            F.lit("none").alias("mechanism"), F.lit("none").alias("result")))), lambda _: F.lit(False))
-    )
+    no_pairs = F.array().cast("array<struct<mechanism:string,result:string>>")
+    results = F.transform(F.coalesce(F.col("_trusted.pairs"), no_pairs), result)
     untrusted = F.filter("_ar", lambda a, i: i + 1 != F.col("_at"))
     forged = F.exists(
         untrusted, lambda a: F.exists(a["pairs"], lambda p: p["result"] == "pass")

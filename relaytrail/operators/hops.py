@@ -91,33 +91,38 @@ def _boundary(hops: Column) -> Column:
     )
 
 
+def _neighbours(hops: Column) -> Column:
+    """Each hop (``newer``) with the next one in the array (``older``)."""
+    shifted = F.slice(hops, 2, F.greatest(F.size(hops), F.lit(1)))
+    pairs = F.zip_with(
+        hops, shifted, lambda a, b: F.struct(a.alias("newer"), b.alias("older"))
+    )
+    return F.filter(pairs, lambda p: p["older"].isNotNull())
+
+
 def _backdated(hops: Column) -> Column:
     """Hops whose time lies before the next older timed hop by more than the clock skew."""
     timed = F.filter(hops, lambda h: h["hop_ts_utc"].isNotNull())
-    older = F.slice(timed, 2, F.greatest(F.size(timed), F.lit(1)))
-    pairs = F.filter(F.arrays_zip(timed, older), lambda p: p["1"].isNotNull())
     late = F.filter(
-        pairs,
-        lambda p: F.unix_micros(p["0"]["hop_ts_utc"]) + fv.CLOCK_SKEW_SECONDS * 1_000_000
-        < F.unix_micros(p["1"]["hop_ts_utc"]),
+        _neighbours(timed),
+        lambda p: F.unix_micros(p["newer"]["hop_ts_utc"]) + fv.CLOCK_SKEW_SECONDS * 1_000_000
+        < F.unix_micros(p["older"]["hop_ts_utc"]),
     )
-    return F.transform(late, lambda p: p["0"]["seq"])
+    return F.transform(late, lambda p: p["newer"]["seq"])
 
 
 def _broken_handoffs(hops: Column) -> Column:
     """Hops whose receiving host is not the host the hop above says it got the message from."""
-    below = F.slice(hops, 2, F.greatest(F.size(hops), F.lit(1)))
-    pairs = F.filter(F.arrays_zip(hops, below), lambda p: p["1"].isNotNull())
 
     def broken(p: Column) -> Column:
-        claimed, actual = p["0"]["helo"], p["1"]["by_host"]
+        claimed, actual = p["newer"]["helo"], p["older"]["by_host"]
         return F.coalesce(
             (claimed != "") & (actual != "")
             & ~claimed.endswith(actual) & ~actual.endswith(claimed),
             F.lit(False),
         )
 
-    return F.transform(F.filter(pairs, broken), lambda p: p["1"]["seq"])
+    return F.transform(F.filter(_neighbours(hops), broken), lambda p: p["older"]["seq"])
 
 
 def _private_after_public(hops: Column, boundary: Column) -> Column:

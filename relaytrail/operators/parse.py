@@ -16,7 +16,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
-    ArrayType, LongType, StringType, StructField, StructType,
+    ArrayType, BooleanType, LongType, StringType, StructField, StructType,
 )
 
 from relaytrail import fixed_values as fv
@@ -33,7 +33,12 @@ def _struct(**fields) -> StructType:
 
 
 DECODED_TYPE = _struct(
-    headers=ArrayType(_struct(name=StringType(), value=StringType())),
+    headers=ArrayType(
+        _struct(
+            name=StringType(), value=StringType(), is_duplicate=BooleanType(),
+            is_last=BooleanType(),
+        )
+    ),
     texts=ArrayType(StringType()),
     htmls=ArrayType(StringType()),
     files=ArrayType(
@@ -53,7 +58,17 @@ DECODED_TYPE = _struct(
 _TEXT = pa.string()
 _ARROW_TYPE = pa.struct(
     [
-        ("headers", pa.list_(pa.struct([("name", _TEXT), ("value", _TEXT)]))),
+        (
+            "headers",
+            pa.list_(
+                pa.struct(
+                    [
+                        ("name", _TEXT), ("value", _TEXT), ("is_duplicate", pa.bool_()),
+                        ("is_last", pa.bool_()),
+                    ]
+                )
+            ),
+        ),
         ("texts", pa.list_(_TEXT)),
         ("htmls", pa.list_(_TEXT)),
         (
@@ -89,14 +104,20 @@ def _printable(value) -> str:
 
 
 def _header_pairs(message) -> list[dict]:
-    pairs = []
+    pairs, latest = [], {}
     for name, raw in message.raw_items():
         try:
             value = message.policy.header_fetch_parse(name, raw)
         except Exception:  # hostile headers can break the structured parser
             value = raw
         flat = _printable(value).replace("\r", " ").replace("\n", " ").strip()
-        pairs.append({"name": _printable(name), "value": flat})
+        pair = {"name": _printable(name), "value": flat, "is_last": True}
+        previous = latest.get(name.lower())
+        pair["is_duplicate"] = previous is not None
+        if previous is not None:
+            previous["is_last"] = False
+        latest[name.lower()] = pair
+        pairs.append(pair)
     return pairs
 
 
@@ -262,44 +283,19 @@ def parse_messages(messages: DataFrame, content: str = "content") -> DataFrame:
 
 
 def header_rows(parsed: DataFrame, *keys: str) -> DataFrame:
-    """One row per header occurrence, with the second and later ones of a name marked."""
-
-    def occurrence(h: Column, i: Column) -> Column:
-        name = F.lower(h["name"])
-        return F.struct(
-            i.alias("ordinal"),
-            F.substring(h["name"], 1, 200).alias("name"),
-            F.substring(h["value"], 1, 8000).alias("value_raw"),
-            name.alias("_name"),
-        )
-
-    first_at = F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.transform("headers", lambda h: F.lower(h["name"]))),
-            lambda n: F.struct(
-                n, F.array_position(F.transform("headers", lambda h: F.lower(h["name"])), n)
-            ),
-        )
-    )
-    return (
-        parsed.select(*keys, first_at.alias("_first"), F.transform("headers", occurrence).alias("h"))
-        .select(*keys, "_first", F.inline("h"))
-        .select(
-            *keys, "ordinal", "name", "value_raw",
-            (F.col("ordinal") + 1 > F.element_at("_first", F.col("_name"))).alias("is_duplicate"),
-        )
+    """One row per header occurrence in emission order."""
+    return parsed.select(*keys, F.posexplode("headers").alias("ordinal", "h")).select(
+        *keys,
+        "ordinal",
+        F.substring("h.name", 1, 200).alias("name"),
+        F.substring("h.value", 1, 8000).alias("value_raw"),
+        F.col("h.is_duplicate").alias("is_duplicate"),
     )
 
 
 def header_map(headers: Column) -> Column:
     """Lower-cased name to value; the last occurrence wins."""
-    names = F.array_distinct(F.transform(headers, lambda h: F.lower(h["name"])))
+    kept = F.filter(headers, lambda h: h["is_last"])
     return F.map_from_entries(
-        F.transform(
-            names,
-            lambda n: F.struct(
-                n,
-                F.element_at(F.filter(headers, lambda h: F.lower(h["name"]) == n), -1)["value"],
-            ),
-        )
+        F.transform(kept, lambda h: F.struct(F.lower(h["name"]), h["value"]))
     )
