@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
@@ -12,14 +13,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def first_or_null(items: Column) -> Column:
-    return F.get(items, 0)
+def constant(value, ddl: str) -> Column:
+    """A nested literal; the optimizer folds it, and it is one node to build."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
 def strings(values: Iterable[str]) -> Column:
     """A literal array<string>, also when empty."""
-    values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return constant(list(values), "array<string>")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -50,9 +51,5 @@ def any_suffix(host: Column, suffixes: Column, dot_boundary: bool = True) -> Col
 
 def map_lookup(mapping: dict, key: Column) -> Column:
     """Value of a small fixed mapping, NULL for keys it lacks."""
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
-def half_even(c: Column, digits: int = 0) -> Column:
-    return F.bround(c, digits)
+    kind = {str: "string", int: "int", float: "double"}[type(next(iter(mapping.values())))]
+    return F.try_element_at(constant(mapping, f"map<string,{kind}>"), key)

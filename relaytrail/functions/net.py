@@ -12,7 +12,7 @@ import ipaddress
 from pyspark.sql import Column, functions as F
 
 from relaytrail import fixed_values as fv
-from relaytrail.functions.core import after_first, before_first, let, strings
+from relaytrail.functions.core import after_first, before_first, constant, let, strings
 
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
@@ -120,67 +120,51 @@ def ip_normalised(c: Column) -> Column:
     return F.coalesce(ip_canonical(c), F.lower(F.trim(c)))
 
 
-def _in_ipv4(number: Column, nets: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for net in map(ipaddress.ip_network, nets):
-        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
-    return hit
-
-
-def _in_ipv6(values: Column, nets: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for net in map(ipaddress.ip_network, nets):
-        packed = net.network_address.packed
-        cond = F.lit(True)
-        for i in range(8):
-            bits = min(16, max(0, net.prefixlen - 16 * i))
-            if bits == 0:
-                break
-            want = int.from_bytes(packed[2 * i : 2 * i + 2], "big")
-            mask = (0xFFFF << (16 - bits)) & 0xFFFF
-            cond = cond & (values[i].bitwiseAND(F.lit(mask)) == want)
-        hit = hit | cond
-    return hit
-
-
-def _first_class(value: Column, classes, test) -> Column:
-    out = None
+def _ranges(classes) -> Column:
+    """Ranges by class as first and last hexadecimal keys, in order of precedence."""
+    rows = []
     for name, nets in classes:
-        cond = test(value, nets)
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return out.otherwise("public")
+        for net in map(ipaddress.ip_network, nets):
+            digits = net.max_prefixlen // 4
+            first, last = int(net.network_address), int(net.broadcast_address)
+            rows.append({"lo": f"{first:0{digits}x}", "hi": f"{last:0{digits}x}", "name": name})
+    return constant(rows, "array<struct<lo:string,hi:string,name:string>>")
 
 
-def ip_class(c: Column) -> Column:
-    """Address class; NULL, empty and malformed text are ``unknown``."""
+def _range_name(canonical: Column, v4: Column, v6: Column) -> Column:
+    """Name of the first range that holds the address, NULL when none does."""
     return let(
-        ip_canonical(c),
-        lambda a: F.when(a.isNull(), "unknown")
-        .when(a.contains(":"), _ipv6_class(a))
-        .otherwise(_ipv4_class(a)),
+        F.struct(ip_hex(canonical).alias("key"), canonical.contains(":").alias("wide")),
+        lambda a: F.get(
+            F.filter(
+                F.when(a["wide"], v6).otherwise(v4),
+                lambda r: a["key"].between(r["lo"], r["hi"]),
+            ),
+            0,
+        )["name"],
     )
 
 
-def _ipv4_class(c: Column) -> Column:
-    return let(ipv4_number(c), lambda n: _first_class(n, fv.IPV4_CLASSES, _in_ipv4))
-
-
-def _ipv6_class(c: Column) -> Column:
-    return let(
-        F.transform(ipv6_groups(c), lambda g: F.conv(g, 16, 10).cast("int")),
-        lambda g: _first_class(g, fv.IPV6_CLASSES, _in_ipv6),
+def ip_class(c: Column) -> Column:
+    """Address class; NULL, empty and malformed text are ``unknown``."""
+    known = let(
+        ip_canonical(c),
+        lambda a: F.when(a.isNull(), "unknown").otherwise(
+            F.coalesce(
+                _range_name(a, _ranges(fv.IPV4_CLASSES), _ranges(fv.IPV6_CLASSES)),
+                F.lit("public"),
+            )
+        ),
     )
+    return F.when(c.isNull(), "unknown").otherwise(known)
 
 
 def is_documentation_range(c: Column) -> Column:
     v4 = tuple(n for n in fv.DOCUMENTATION_PREFIXES if ":" not in n)
     v6 = tuple(n for n in fv.DOCUMENTATION_PREFIXES if ":" in n)
-    in_v4 = let(ipv4_number(c), lambda n: _in_ipv4(n, v4))
-    in_v6 = let(
-        F.transform(ipv6_groups(c), lambda g: F.conv(g, 16, 10).cast("int")),
-        lambda g: _in_ipv6(g, v6),
+    return F.coalesce(
+        _range_name(c, _ranges((("doc", v4),)), _ranges((("doc", v6),))) == "doc", F.lit(False)
     )
-    return F.coalesce(F.when(c.contains(":"), in_v6).otherwise(in_v4), F.lit(False))
 
 
 def ip_prefix(c: Column) -> Column:
@@ -203,15 +187,14 @@ def ip_hex(c: Column) -> Column:
     )
 
 
-def hex_prefix(key: Column, bits: int) -> Column:
+def hex_prefix(key: Column, bits: Column) -> Column:
     """The first ``bits`` bits of a hexadecimal key, as text."""
-    whole, rest = divmod(bits, 4)
-    out = F.substring(key, 1, whole) if whole else F.lit("")
-    if rest:
-        mask = (0xF << (4 - rest)) & 0xF
-        digit = F.conv(F.substring(key, whole + 1, 1), 16, 10).cast("int")
-        out = F.concat(out, F.lower(F.hex(digit.bitwiseAND(F.lit(mask)))))
-    return out
+    whole, rest = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    digit = F.conv(key.substr(whole + 1, F.lit(1)), 16, 10).cast("int")
+    kept = digit - digit % F.pow(F.lit(2), 4 - rest).cast("int")
+    return F.concat(
+        key.substr(F.lit(1), whole), F.when(rest > 0, F.lower(F.hex(kept))).otherwise("")
+    )
 
 
 def host_suffix(host: Column, labels: int) -> Column:
