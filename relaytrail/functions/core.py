@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import Column, functions as F
 
@@ -13,6 +14,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bound(function: Callable[..., Column]) -> Callable[..., Column]:
+    """Bind the first column argument, so a function that uses it often is given it once."""
+
+    @wraps(function)
+    def call(c: Column, *args, **kwargs) -> Column:
+        return let(c, lambda x: function(x, *args, **kwargs))
+
+    return call
+
+
 def constant(value, ddl: str) -> Column:
     """A nested literal; the optimizer folds it, and it is one node to build."""
     return F.from_json(F.lit(json.dumps(value)), ddl)

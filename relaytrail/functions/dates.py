@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from relaytrail.functions.core import let, map_lookup
+from relaytrail.functions.core import bound, let, map_lookup
 
 _DATE = (
     r"(?i)^\s*(?:[a-z]+\s*,?\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{2,4})\s+"
@@ -30,6 +30,7 @@ def _offset_seconds(zone: Column) -> Column:
     return F.when(zone.rlike(r"^[+-]\d{4}$"), numeric).otherwise(named)
 
 
+@bound
 def parse_mail_date(c: Column) -> Column:
     """Timestamp of a mail date, NULL when it does not parse.
 

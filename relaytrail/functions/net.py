@@ -12,7 +12,7 @@ import ipaddress
 from pyspark.sql import Column, functions as F
 
 from relaytrail import fixed_values as fv
-from relaytrail.functions.core import after_first, before_first, constant, let, strings
+from relaytrail.functions.core import after_first, before_first, bound, constant, let, strings
 
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
@@ -21,6 +21,7 @@ def is_ipv4(c: Column) -> Column:
     return c.rlike(_IPV4)
 
 
+@bound
 def ipv4_number(c: Column) -> Column:
     """The 32-bit value of a valid dotted quad as a long, NULL otherwise."""
     return F.when(
@@ -36,6 +37,7 @@ def _hex16(high: Column, low: Column) -> Column:
     return F.lower(F.hex(high.cast("long") * 256 + low.cast("long")))
 
 
+@bound
 def _inline_quad(c: Column) -> Column:
     """Rewrite a trailing dotted quad (``::ffff:1.2.3.4``) as two hexadecimal groups."""
     quad = F.regexp_extract(c, r":(\d+\.\d+\.\d+\.\d+)$", 1)
@@ -49,6 +51,7 @@ def _inline_quad(c: Column) -> Column:
     ).otherwise(c)
 
 
+@bound
 def ipv6_groups(c: Column) -> Column:
     """Eight groups without leading zeros, or NULL when the text is no IPv6 address."""
 
@@ -110,6 +113,7 @@ def _ipv6_canonical(c: Column) -> Column:
     return let(ipv6_groups(c), lambda g: F.when(g.isNotNull(), render(g)))
 
 
+@bound
 def ip_canonical(c: Column) -> Column:
     """Canonical address text (IPv4-mapped unwrapped), NULL when it is no address."""
     return F.when(is_ipv4(c), c).when(c.contains(":"), _ipv6_canonical(c))
@@ -159,6 +163,7 @@ def ip_class(c: Column) -> Column:
     return F.when(c.isNull(), "unknown").otherwise(known)
 
 
+@bound
 def is_documentation_range(c: Column) -> Column:
     v4 = tuple(n for n in fv.DOCUMENTATION_PREFIXES if ":" not in n)
     v6 = tuple(n for n in fv.DOCUMENTATION_PREFIXES if ":" in n)
@@ -167,6 +172,7 @@ def is_documentation_range(c: Column) -> Column:
     )
 
 
+@bound
 def ip_prefix(c: Column) -> Column:
     """The covering /24 of an IPv4 address, or the first three groups of an IPv6 one as /48."""
     return F.when(
@@ -179,6 +185,7 @@ def ip_version(c: Column) -> Column:
     return F.when(c.contains(":"), 6).when(c.isNotNull(), 4)
 
 
+@bound
 def ip_hex(c: Column) -> Column:
     """Fixed-width hexadecimal key of a canonical address: 8 digits for v4, 32 for v6."""
     v6 = F.array_join(F.transform(ipv6_groups(c), lambda g: F.lpad(g, 4, "0")), "")
@@ -206,6 +213,7 @@ def trim_dots(c: Column) -> Column:
     return F.regexp_replace(c, r"^\.+|\.+$", "")
 
 
+@bound
 def last_two_labels(domain: Column) -> Column:
     """Registrable domain by the last-two-labels rule."""
     clean = F.lower(trim_dots(domain))
@@ -215,6 +223,7 @@ def last_two_labels(domain: Column) -> Column:
     )
 
 
+@bound
 def registrable_domain(domain: Column, suffixes: Column) -> Column:
     """Registrable domain by public suffix: the longest listed suffix plus one label.
 
@@ -247,15 +256,21 @@ def url_authority(url: Column) -> Column:
     return before_first(after_first(url, "//"), "/")
 
 
+@bound
 def url_host(url: Column) -> Column:
     """Lower-cased host without a port."""
     return before_first(url_authority(F.lower(url)), ":")
 
 
+@bound
 def url_path(url: Column) -> Column:
     """Path of a URL without its query; ``/`` when it has none."""
-    tail = after_first(url, "//")
-    path = F.when(tail.contains("/"), F.concat(F.lit("/"), after_first(tail, "/"))).otherwise("/")
+    path = let(
+        after_first(url, "//"),
+        lambda tail: F.when(
+            tail.contains("/"), F.concat(F.lit("/"), after_first(tail, "/"))
+        ).otherwise("/"),
+    )
     return before_first(path, "?")
 
 

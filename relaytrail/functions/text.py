@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from relaytrail import fixed_values as fv
-from relaytrail.functions.core import before_first, let, strip
+from relaytrail.functions.core import before_first, bound, let, strip
 
 
 @F.pandas_udf(StringType())
@@ -29,6 +29,7 @@ def confusable_skeleton(c: Column, normalise: bool = False) -> Column:
     )
 
 
+@bound
 def shannon_entropy(c: Column) -> Column:
     """Entropy of the characters of a string in bits; 0 for the empty string."""
     n = F.length(c).cast("double")
@@ -70,6 +71,7 @@ def token_shape(c: Column) -> Column:
     )
 
 
+@bound
 def message_id_template(c: Column) -> Column:
     """Local part of a Message-ID with hexadecimal runs, then digit runs, replaced."""
     local = before_first(F.regexp_replace(c, "^[<>]+|[<>]+$", ""), "@")
@@ -79,6 +81,7 @@ def message_id_template(c: Column) -> Column:
     return F.when(c != "", F.substring(marked, 1, 60))
 
 
+@bound
 def trigrams(c: Column) -> Column:
     """Sorted distinct character trigrams."""
     return F.when(F.length(c) < 3, F.array().cast("array<string>")).otherwise(
@@ -92,6 +95,7 @@ def trigrams(c: Column) -> Column:
     )
 
 
+@bound
 def name_features(domain: Column) -> Column:
     """[label length, hyphens, digits, entropy (2 decimals), number of labels]."""
     label = before_first(domain, ".")

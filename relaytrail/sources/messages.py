@@ -32,12 +32,15 @@ def pasted_bytes(text: Column) -> Column:
 
 
 def base64url_bytes(payload: Column) -> Column:
-    """Decode base64url with padding restored; NULL for text that is no base64."""
-    standard = F.translate(payload, "-_", "+/")
-    padded = F.concat(
-        standard, F.repeat(F.lit("="), F.pmod(-F.length(standard), F.lit(4)).cast("int"))
+    """Decode base64url with padding restored; NULL for text that cannot be decoded.
+
+    Characters outside the alphabet (line breaks of a wrapped payload) are skipped.
+    """
+    digits = F.translate(F.regexp_replace(payload, r"[^A-Za-z0-9+/_-]", ""), "-_", "+/")
+    padding = F.repeat(F.lit("="), F.pmod(-F.length(digits), F.lit(4)).cast("int"))
+    return F.when(
+        F.length(digits) % 4 != 1, F.try_to_binary(F.concat(digits, padding), F.lit("base64"))
     )
-    return F.try_to_binary(padded, F.lit("base64"))
 
 
 def _looks_raw(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,6 +38,13 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._shared: dict[str, DataFrame] = {}
+
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table several queries use, written on first use."""
+        if name not in self._shared:
+            self._shared[name] = durable_table(build(), name)
+        return self._shared[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -167,6 +167,11 @@ def prefix_table(c: Context) -> DataFrame:
     return tables.prepare_prefixes(wide.unionByName(narrow).unionByName(fixed))
 
 
+def prefixes(c: Context) -> DataFrame:
+    """The prepared table, written once."""
+    return c.shared("prefixes", lambda: prefix_table(c))
+
+
 _NETWORKS = """net AS (SELECT DISTINCT observed_ip AS ip, CASE
    WHEN starts_with(observed_ip, '198.51.100.') OR starts_with(observed_ip, '2001:db8:') THEN NULL WHEN starts_with(observed_ip, '209.85.') THEN 15169 WHEN starts_with(observed_ip, '167.89.') THEN 11377
    WHEN starts_with(observed_ip, '45.') AND CAST(string_split(observed_ip, '.')[2] AS INT) % 2 = 0 THEN 65000 + CAST(string_split(observed_ip, '.')[2] AS INT)
@@ -181,14 +186,14 @@ _NETWORKS = """net AS (SELECT DISTINCT observed_ip AS ip, CASE
 @query("hop_attribution", mail_with(
     f", {_NETWORKS} SELECT h.k, h.seq, h.observed_ip, n.asn, n.country, n.net_type FROM hop2 h LEFT JOIN net n ON n.ip = h.observed_ip AND h.ip_class = 'public'", "hops"))
 def _(c: Context) -> DataFrame:
-    return attribution.enrich_hops(hops.hop_rows(c.analysed, "k"), prefix_table(c)).select(
+    return attribution.enrich_hops(hops.hop_rows(c.analysed, "k"), prefixes(c)).select(
         "k", "seq", "observed_ip", "asn", "country", "net_type")
 
 
 @query("origin_attribution", mail_with(
     f", {_NETWORKS} SELECT o.k, o.feos_ip, n.asn AS feos_asn, n.country AS feos_country, CASE WHEN n.net_type IS NOT NULL THEN 'bundled-table' END AS geo_dataset, n.net_type IS NOT NULL AS geo_available FROM orig o LEFT JOIN net n ON n.ip = o.feos_ip", "hops"))
 def _(c: Context) -> DataFrame:
-    return attribution.enrich_origin(c.analysed.select("k", "feos_ip"), prefix_table(c)).select(
+    return attribution.enrich_origin(c.analysed.select("k", "feos_ip"), prefixes(c)).select(
         "k", "feos_ip", "feos_asn", "feos_country", "geo_dataset", "geo_available")
 
 
@@ -196,7 +201,7 @@ def _(c: Context) -> DataFrame:
     f", {_NETWORKS} SELECT DISTINCT h.k, n.country FROM hop2 h JOIN net n ON n.ip = h.observed_ip AND h.ip_class = 'public' WHERE n.country IS NOT NULL", "hops"))
 def _(c: Context) -> DataFrame:
     return views.handling_countries(
-        attribution.enrich_hops(hops.hop_rows(c.analysed, "k"), prefix_table(c)), "k")
+        attribution.enrich_hops(hops.hop_rows(c.analysed, "k"), prefixes(c)), "k")
 
 
 # ------------------------------------------------------------------ authentication ---
