@@ -94,13 +94,29 @@ _LCS = """lcs AS (SELECT a, b, list_reduce(list_prepend({'r': list_transform(ran
     lambda p, x: {'r': list_reduce(list_prepend([0], list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN b[j] = x.v THEN 1000 + p.r[j] + 1 ELSE p.r[j + 1] END])),
       lambda row, cell: list_append(row, CASE WHEN cell[1] >= 1000 THEN cell[1] - 1000 ELSE greatest(cell[1], row[-1]) END)), 'v': ''}).r[-1] / greatest(len(a), len(b))::DOUBLE AS ratio
   FROM (SELECT DISTINCT x.header_order AS a, y.header_order AS b FROM (SELECT DISTINCT header_order FROM ly) x, (SELECT DISTINCT header_order FROM ly) y))"""
-_PAIRS = f"""{_FORMS}, {_LCS}, pr AS (SELECT x.org_id, x.k AS a, y.k AS b, round_even({_jaccard('x.i_set', 'y.i_set')}, 4)::DOUBLE AS si, round_even({_jaccard('x.d_set', 'y.d_set')}, 4)::DOUBLE AS sd,
-    round_even(least(1.0, 0.4 * list_cosine_similarity(x.features, y.features) + CASE WHEN x.tld = y.tld THEN 0.2 ELSE 0 END + 0.4 * {_jaccard('x.trigrams', 'y.trigrams')}), 4)::DOUBLE AS sn,
-    round_even(least(1.0, 0.45 * l.ratio + CASE WHEN x.x_mailer = y.x_mailer THEN 0.2 ELSE 0 END + CASE WHEN x.msgid_template = y.msgid_template THEN 0.2 ELSE 0 END + CASE WHEN x.boundary_shape = y.boundary_shape THEN 0.15 ELSE 0 END), 4)::DOUBLE AS sm,
-    round_even(0.7 * (1 - bit_count(xor(CAST('0x' || substr(coalesce(x.simhash, repeat('0', 16)), 1, 8) AS BIGINT), CAST('0x' || substr(coalesce(y.simhash, repeat('0', 16)), 1, 8) AS BIGINT))) / 64.0 - bit_count(xor(CAST('0x' || substr(coalesce(x.simhash, repeat('0', 16)), 9, 8) AS BIGINT), CAST('0x' || substr(coalesce(y.simhash, repeat('0', 16)), 9, 8) AS BIGINT))) / 64.0)
-      + 0.3 * {_jaccard('x.markers', 'y.markers')}, 4)::DOUBLE AS sc_, round_even({_jaccard('x.p_set', 'y.p_set')}, 4)::DOUBLE AS sp
+
+
+def r4(x: str) -> str:
+    """Half-even at four decimals of the shortest decimal form, as Spark rounds doubles."""
+    return f"round_even(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(30, 20)), 4)::DOUBLE"
+
+
+def _same(field: str, weight: float) -> str:
+    return f"CASE WHEN x.{field} = y.{field} THEN {weight}::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _half(side: str, start: int) -> str:
+    return f"CAST('0x' || substr(coalesce({side}.simhash, repeat('0', 16)), {start}, 8) AS BIGINT)"
+
+
+_DISTANCE = " + ".join(f"bit_count(xor({_half('x', at)}, {_half('y', at)}))" for at in (1, 9))
+_N = f"0.4::DOUBLE * list_cosine_similarity(x.features, y.features) + {_same('tld', 0.2)} + 0.4::DOUBLE * {_jaccard('x.trigrams', 'y.trigrams')}"
+_M = f"0.45::DOUBLE * l.ratio + {_same('x_mailer', 0.2)} + {_same('msgid_template', 0.2)} + {_same('boundary_shape', 0.15)}"
+_C = f"0.7::DOUBLE * (1.0::DOUBLE - ({_DISTANCE}) / 64.0::DOUBLE) + 0.3::DOUBLE * {_jaccard('x.markers', 'y.markers')}"
+_PAIRS = f"""{_FORMS}, {_LCS}, pr AS (SELECT x.org_id, x.k AS a, y.k AS b, {r4(_jaccard('x.i_set', 'y.i_set'))} AS si, {r4(_jaccard('x.d_set', 'y.d_set'))} AS sd,
+    {r4(f'least(1.0::DOUBLE, {_N})')} AS sn, {r4(f'least(1.0::DOUBLE, {_M})')} AS sm, {r4(_C)} AS sc_, {r4(_jaccard('x.p_set', 'y.p_set'))} AS sp
     FROM ly x JOIN ly y ON x.org_id = y.org_id AND x.k < y.k JOIN lcs l ON l.a = x.header_order AND l.b = y.header_order),
-  ps AS (SELECT *, round_even(0.22 * si + 0.12 * sd + 0.13 * sn + 0.28 * sm + 0.12 * sc_ + 0.13 * sp, 4)::DOUBLE AS score FROM pr),
+  ps AS (SELECT *, round_even(CAST(CAST(0.22::DOUBLE * si + 0.12::DOUBLE * sd + 0.13::DOUBLE * sn + 0.28::DOUBLE * sm + 0.12::DOUBLE * sc_ + 0.13::DOUBLE * sp AS VARCHAR) AS DECIMAL(30, 20)), 4)::DOUBLE AS score FROM pr),
   lk AS (SELECT * FROM ps WHERE score >= 0.5 AND greatest(si, sm, sp) >= 0.6 AND
     CASE WHEN si >= 0.5 THEN 1 ELSE 0 END + CASE WHEN sd >= 0.5 THEN 1 ELSE 0 END + CASE WHEN sn >= 0.5 THEN 1 ELSE 0 END + CASE WHEN sm >= 0.5 THEN 1 ELSE 0 END + CASE WHEN sc_ >= 0.5 THEN 1 ELSE 0 END + CASE WHEN sp >= 0.5 THEN 1 ELSE 0 END >= 2)"""
 
