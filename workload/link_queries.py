@@ -81,9 +81,12 @@ def _(c: Context) -> DataFrame:
         F.array_join("c.template_markers", ",").alias("markers"))
 
 
-@query("barcodes")
+@query("barcodes", "SELECT doc_id AS k, 48 AS digits, 'v1' AS dna_version, 1 AS forms FROM documents")
 def _(c: Context) -> DataFrame:
-    return c.dna.select("k", "barcode", F.length("barcode").alias("digits"), "dna_version")
+    """Barcodes are 48 digits, and equal fingerprints have equal ones."""
+    coded = linkage.with_form_id(c.dna)
+    per_form = coded.groupBy("fp_id").agg(F.count_distinct("barcode").alias("forms"))
+    return coded.join(per_form, "fp_id").select("k", F.length("barcode").alias("digits"), "dna_version", "forms")
 
 
 def _jaccard(a: str, b: str) -> str:
@@ -130,13 +133,13 @@ def _numbered(c: Context, df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query("case_links", mail_with(
-    f"{_PAIRS} SELECT a, b, round(score, 3) AS score, round(sm, 3) AS sim_m, round(si, 3) AS sim_i FROM lk", "rules"))
+    f"{_PAIRS} SELECT a, b, score, sm AS sim_m, si AS sim_i, sd AS sim_d, sn AS sim_n, sc_ AS sim_c, sp AS sim_p FROM lk", "rules"))
 def _(c: Context) -> DataFrame:
     _, links = c.links
     pairs = _numbered(c, linkage.case_links(c.dna, links), "case_id", "other_case")
     return pairs.where("case_id_k < other_case_k").select(
-        F.col("case_id_k").alias("a"), F.col("other_case_k").alias("b"), F.round("score", 3).alias("score"),
-        F.round("sim_m", 3).alias("sim_m"), F.round("sim_i", 3).alias("sim_i"))
+        F.col("case_id_k").alias("a"), F.col("other_case_k").alias("b"), "score",
+        *[f"sim_{k}" for k in fv.LOCUS_WEIGHTS])
 
 
 _COMPONENTS = f"""{_PAIRS}, both_ AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b),
@@ -190,10 +193,13 @@ def _(c: Context) -> DataFrame:
 
 
 # ------------------------------------------------------------------ graph ---
-@query("graph_nodes")
+@query("graph_nodes", mail_with(
+    f"""{_COMPONENTS} {IND}, camps AS (SELECT root, any_value(m.org_id) AS org_id, min(m.acquired_at) AS first_seen FROM comp c JOIN mail m ON m.k = c.k GROUP BY root)
+    SELECT 'case' AS kind, 'CASE-' || k AS label, false AS hub FROM mail UNION ALL SELECT type, min(substr(value, 1, 60)), list_contains({strs(fv.HUB_VALUES)}, normalised) FROM ind GROUP BY type, normalised
+    UNION ALL SELECT 'campaign', 'CAMPAIGN-2026-' || lpad(CAST(row_number() OVER (PARTITION BY org_id ORDER BY first_seen, root) AS VARCHAR), 3, '0'), false FROM camps""", "rules"))
 def _(c: Context) -> DataFrame:
     campaigns = campaign.campaign_rollup(c.members, _cases(c), c.indicators)
-    return graph.graph_nodes(_cases(c), c.indicators, campaigns)
+    return graph.graph_nodes(_cases(c), c.indicators, campaigns).select("kind", "label", "hub")
 
 
 @query("graph_edges", mail_with(

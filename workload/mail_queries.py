@@ -224,7 +224,7 @@ def _(c: Context) -> DataFrame:
 def dns_snapshot(c: Context) -> DataFrame:
     """DNS answers for the senders of the corpus: keys, policies and SPF for some of them."""
     domains = c.analysed.select("from_domain").where("from_domain IS NOT NULL").distinct()
-    n = F.crc32(F.encode("from_domain", "UTF-8"))
+    n = F.conv(F.substring(F.md5("from_domain"), 1, 4), 16, 10).cast("long")
     own = net.registrable_domain(F.col("from_domain"), strings(CONFIG.public_suffixes))
 
     def answer(name, records, cond) -> DataFrame:
@@ -244,20 +244,29 @@ def dns_snapshot(c: Context) -> DataFrame:
     return keys.unionByName(policies).unionByName(spf).unionByName(protected).distinct()
 
 
-@query("dkim_recheck")
+_DNS = f""", ds AS (SELECT DISTINCT dom, CAST('0x' || substr(md5(dom), 1, 4) AS BIGINT) AS n, {registrable_sql('dom')} AS own FROM mail),
+  pol AS (SELECT own AS name, min(CASE n % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'none' END) AS p, bool_or(n % 3 = 0) AS strict FROM ds WHERE n % 7 <> 0 GROUP BY own
+    UNION ALL SELECT 'northbank.test', 'reject', false)"""
+
+
+@query("dkim_recheck", mail_with(f"""{_DNS} SELECT k, 'dkim' AS mechanism, 'indeterminate' AS result_recomputed, regexp_extract(dkim, ' s=([^;]+)', 1) AS selector, dom AS d_domain,
+    regexp_extract(dkim, ' h=([^;]+)', 1) AS h_tags, coalesce(kind IN (0, 1) AND n % 5 <> 0 AND n % 2 = 0, false) AS key_published, true AS aligned FROM mail JOIN ds USING (dom) WHERE dkim IS NOT NULL""", "mail"))
 def _(c: Context) -> DataFrame:
-    return verify.recheck_dkim(c.analysed, dns_snapshot(c), "k", config=CONFIG)
+    return verify.recheck_dkim(c.analysed, c.shared("dns", lambda: dns_snapshot(c)), "k", config=CONFIG).drop("caveat")
 
 
-@query("dmarc_policies")
+@query("dmarc_policies", mail_with(f"""{_DNS}, r AS (SELECT k, 'sender' AS role, {registrable_sql('dom')} AS own FROM mail UNION ALL SELECT k, 'impersonated', 'northbank.test' FROM f0 WHERE rule_id = 'IDENT_LOOKALIKE_DOMAIN')
+    SELECT k, role, 'dmarc' AS mechanism, CASE WHEN p IS NULL THEN 'none' ELSE 'pass' END AS result_recomputed, own AS d_domain, p AS policy, CASE WHEN strict THEN 'none' END AS subdomain_policy,
+    CASE WHEN strict THEN 's' ELSE 'r' END AS alignment_spf, 'r' AS alignment_dkim, p IS NOT NULL AS found FROM r JOIN pol ON pol.name = r.own""", "rules"))
 def _(c: Context) -> DataFrame:
-    return verify.dmarc_policies(c.analysed, dns_snapshot(c), "k", config=CONFIG)
+    return verify.dmarc_policies(c.analysed, c.shared("dns", lambda: dns_snapshot(c)), "k", config=CONFIG)
 
 
-@query("spf_records")
+@query("spf_records", mail_with(f"""{_DNS} SELECT dom AS domain, n % 11 <> 0 AND n % 4 < 3 AS found, CASE WHEN n % 11 <> 0 THEN CASE n % 4 WHEN 0 THEN 'v=spf1 include:x.test -all' WHEN 1 THEN 'v=spf1 +all' WHEN 2 THEN 'v=spf1 mx all' END END AS raw,
+    CASE WHEN n % 11 <> 0 THEN CASE n % 4 WHEN 0 THEN '-' WHEN 1 THEN '+' END END AS all_qualifier, n % 11 <> 0 AND n % 4 IN (1, 2) AS permissive, n % 11 <> 0 AS resolved FROM ds""", "mail"))
 def _(c: Context) -> DataFrame:
     senders = c.analysed.select(F.col("from_domain").alias("domain"))
-    return verify.spf_records(senders, dns_snapshot(c))
+    return verify.spf_records(senders, c.shared("dns", lambda: dns_snapshot(c)))
 
 
 @query("dkim_signatures", mail_with(
@@ -449,9 +458,12 @@ def _(c: Context) -> DataFrame:
 
 
 # ------------------------------------------------------------------ model inputs, reports ---
-@query("model_payloads")
+@query("model_payloads", mail_with("""SELECT k, sha256('{"email_body":' || to_json(substr(text_body, 1, 12000)) || ',"established_facts":{"dmarc_aligned_to_claimed_identity":' || coalesce(d.ok, false) || ',"from_display":' || to_json(display)
+    || ',"impersonation_rules_fired":[' || coalesce(i.r, '') || '],"reply_to_divergent":' || coalesce(reply_to <> from_addr, false) || '},"subject":' || to_json(subject) || '}') AS input_sha256
+    FROM content c LEFT JOIN (SELECT k AS dk, bool_or(aligned) AS ok FROM auth WHERE trusted AND mechanism = 'dmarc' GROUP BY k) d ON d.dk = c.k
+    LEFT JOIN (SELECT k AS ik, string_agg('"' || rule_id || '"', ',' ORDER BY rule_id) AS r FROM f0 WHERE starts_with(rule_id, 'IDENT_') GROUP BY k) i ON i.ik = c.k""", "rules"))
 def _(c: Context) -> DataFrame:
-    return responses.model_payloads(c.analysed, "k").select("k", "input_sha256", F.length("payload").alias("chars"))
+    return responses.model_payloads(c.analysed, "k").select("k", "input_sha256")
 
 
 @query("response_cache", mail_with(
@@ -468,12 +480,12 @@ def _(c: Context) -> DataFrame:
     return responses.cache_after(cache, requests, answers)
 
 
-@query("report_registry")
+@query("report_registry", mail_with(
+    "SELECT k, CASE WHEN k % 3 = 0 THEN 3 ELSE 1 END AS version, 'ready' AS state, false AS drifted, sha256(sha256(org_id || chr(0) || sha256(raw))) AS merkle_root FROM mail", "mail"))
 def _(c: Context) -> DataFrame:
     documents = report.case_documents(c.analysed, members=c.members)
     existing = c.analysed.where("k % 3 = 0").select("case_id", F.lit(2).alias("version"))
     roots = c.analysed.select("case_id", F.sha2("case_id", 256).alias("merkle_root"))
     registered = report.register_reports(documents, existing, roots)
-    return report.report_drift(registered, documents).select(
-        "case_id", "version", "sha256", "size_bytes", "state", "merkle_root", "drifted")
-
+    checked = report.report_drift(registered, documents).join(c.analysed.select("case_id", "k"), "case_id")
+    return checked.select("k", "version", "state", "drifted", "merkle_root")
