@@ -184,13 +184,18 @@ def tag_map(record: Column) -> Column:
     return F.map_from_entries(F.transform(kept, lambda x: x["e"]))
 
 
-def quote_around(body: Column, term: Column, margin: int = 60, limit: int = 500) -> Column:
+def quote_around(
+    body: Column, lowered: Column, term: Column, margin: int = 60, limit: int = 500
+) -> Column:
     """Up to ``margin`` characters on both sides of the first hit of a lower-case term."""
-    at = F.instr(F.lower(body), term)
-    start = F.greatest(at - margin, F.lit(1))
-    cut = body.substr(start, at + F.length(term) + margin - start)
-    cleaned = strip(F.replace(cut, F.lit("\n"), F.lit(" ")))
-    return F.substring(F.when(at > 0, cleaned).otherwise(term), 1, limit)
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(at - margin, F.lit(1))
+        part = body.substr(start, at + F.length(term) + margin - start)
+        cleaned = strip(F.replace(part, F.lit("\n"), F.lit(" ")))
+        return F.substring(F.when(at > 0, cleaned).otherwise(term), 1, limit)
+
+    return let(F.instr(lowered, term), cut)
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relaytrail import fixed_values as fv
+from relaytrail.functions.core import let
 from relaytrail.functions.similarity import cosine, hamming_similarity, jaccard, lcs_ratio
 from relaytrail.operators.fingerprint import LOCI
 
@@ -53,67 +54,131 @@ def distinct_forms(dna: DataFrame) -> DataFrame:
     )
 
 
-def locus_similarities(a: Column, b: Column) -> dict[str, Column]:
-    """Similarity per locus of two form structs, rounded to four decimals."""
+def _same(a: Column, b: Column, field: str) -> Column:
+    left, right = a["m"][field], b["m"][field]
+    return F.coalesce((left == right) & (left != ""), F.lit(False))
 
-    def same(field: str) -> Column:
-        left, right = a["m"][field], b["m"][field]
-        return F.coalesce((left == right) & (left != ""), F.lit(False))
 
-    def part(cond: Column, weight: float) -> Column:
-        return F.when(cond, F.lit(weight)).otherwise(0.0)
+def _rounded(value: Column) -> Column:
+    return F.bround(F.least(F.lit(1.0), value), 4)
 
+
+def quick_similarities(a: Column, b: Column) -> dict[str, Column]:
+    """The loci that cost little: set overlaps and the content sketch."""
+    content = (
+        F.greatest(F.lit(0.0), hamming_similarity(a["c"]["simhash"], b["c"]["simhash"])) * 0.7
+        + jaccard(a["c"]["template_markers"], b["c"]["template_markers"]) * 0.3
+    )
+    return {
+        "i": _rounded(jaccard(a["i_set"], b["i_set"])),
+        "d": _rounded(jaccard(a["d_set"], b["d_set"])),
+        "c": _rounded(content),
+        "p": _rounded(jaccard(a["p_set"], b["p_set"])),
+    }
+
+
+def tooling_parts(a: Column, b: Column) -> Column:
+    """Tooling similarity of everything but the header order."""
+    w = fv.TOOLING_WEIGHTS
+
+    def part(field: str, weight: float) -> Column:
+        return F.when(_same(a, b, field), F.lit(weight)).otherwise(0.0)
+
+    return (
+        part("x_mailer", w["mailer"]) + part("message_id_template", w["msgid"])
+        + part("boundary_shape", w["boundary"])
+    )
+
+
+def slow_similarities(a: Column, b: Column) -> dict[str, Column]:
+    """Naming (a cosine and an overlap) and tooling (a longest common subsequence)."""
     w = fv.TOOLING_WEIGHTS
-    order = F.when(same("header_order_hash"), F.lit(w["order"])).otherwise(
+
+    def part(field: str, weight: float) -> Column:
+        return F.when(_same(a, b, field), F.lit(weight)).otherwise(0.0)
+
+    # summed in this order: the last digit of a sum depends on it
+    order = F.when(_same(a, b, "header_order_hash"), F.lit(w["order"])).otherwise(
         lcs_ratio(a["m"]["header_order"], b["m"]["header_order"]) * w["order"]
     )
     tooling = (
-        order
-        + part(same("x_mailer"), w["mailer"])
-        + part(same("message_id_template"), w["msgid"])
-        + part(same("boundary_shape"), w["boundary"])
+        order + part("x_mailer", w["mailer"]) + part("message_id_template", w["msgid"])
+        + part("boundary_shape", w["boundary"])
     )
     naming = (
         cosine(a["n"]["features"], b["n"]["features"]) * 0.4
         + F.when(a["n"]["tld"] == b["n"]["tld"], F.lit(0.2)).otherwise(0.0)
         + jaccard(a["n"]["trigrams"], b["n"]["trigrams"]) * 0.4
     )
-    content = (
-        F.greatest(F.lit(0.0), hamming_similarity(a["c"]["simhash"], b["c"]["simhash"])) * 0.7
-        + jaccard(a["c"]["template_markers"], b["c"]["template_markers"]) * 0.3
-    )
-    values = {
-        "i": jaccard(a["i_set"], b["i_set"]),
-        "d": jaccard(a["d_set"], b["d_set"]),
-        "n": naming,
-        "m": tooling,
-        "c": content,
-        "p": jaccard(a["p_set"], b["p_set"]),
-    }
-    return {k: F.bround(F.least(F.lit(1.0), v), 4) for k, v in values.items()}
+    return {"n": _rounded(naming), "m": _rounded(tooling)}
 
 
-def with_similarity(pairs: DataFrame, a: str = "a_form", b: str = "b_form") -> DataFrame:
-    """Add ``sim_<locus>`` columns and the weighted ``score`` of two form columns."""
-    parts = locus_similarities(F.col(a), F.col(b))
-    scored = pairs.withColumns({f"sim_{k}": v for k, v in parts.items()})
-    total = sum((F.col(f"sim_{k}") * w for k, w in fv.LOCUS_WEIGHTS.items()), F.lit(0.0))
-    return scored.withColumn("score", F.bround(total, 4))
+def _weighted(sims: Column) -> Column:
+    total = sum((sims[k] * w for k, w in fv.LOCUS_WEIGHTS.items()), F.lit(0.0))
+    return F.bround(total, 4)
 
 
-def link_gate() -> Column:
+def _gate(sims: Column, score: Column) -> Column:
     """Accept: total, number of agreeing loci, and one strong locus that is not content."""
     agreeing = sum(
-        (F.when(F.col(f"sim_{k}") >= fv.LOCUS_AGREEMENT, 1).otherwise(0) for k in LOCI), F.lit(0)
+        (F.when(sims[k] >= fv.LOCUS_AGREEMENT, 1).otherwise(0) for k in LOCI), F.lit(0)
     )
-    strongest = F.greatest(*[F.col(f"sim_{k}") for k in fv.NON_CONTENT_LOCI])
+    strongest = F.greatest(*[sims[k] for k in fv.NON_CONTENT_LOCI])
     return (
-        (F.col("score") >= fv.LINK_THRESHOLD)
+        (score >= fv.LINK_THRESHOLD)
         & (agreeing >= fv.MIN_AGREEING_LOCI)
         & (strongest >= fv.NON_CONTENT_THRESHOLD)
     )
 
 
+def link_of(a: Column, b: Column) -> Column:
+    """The link of two forms as an array of no or one struct(score, sim_<locus>...).
+
+    Every value is computed once. Pairs whose quick loci cannot reach the threshold even with
+    perfect naming and header order are dropped before the slow ones are looked at.
+    """
+    w = fv.LOCUS_WEIGHTS
+
+    def finish(pair: Column, quick: Column) -> Column:
+        slow = slow_similarities(pair["a"], pair["b"])
+        values = {**{k: quick[k] for k in ("i", "d", "c", "p")}, **slow}
+        return let(
+            F.struct(*[values[k].alias(k) for k in LOCI]),
+            lambda sims: F.struct(
+                _weighted(sims).alias("score"), *[sims[k].alias(f"sim_{k}") for k in LOCI]
+            ),
+        )
+
+    def score(pair: Column, quick: Column) -> Column:
+        best = sum((quick[k] * w[k] for k in ("i", "d", "c", "p")), F.lit(0.0)) + w["n"]
+        best = best + (tooling_parts(pair["a"], pair["b"]) + fv.TOOLING_WEIGHTS["order"]) * w["m"]
+        return F.when(best >= fv.LINK_THRESHOLD - 0.001, finish(pair, quick))
+
+    def both(pair: Column) -> Column:
+        quick = quick_similarities(pair["a"], pair["b"])
+        return let(F.struct(*[v.alias(k) for k, v in quick.items()]), lambda q: score(pair, q))
+
+    def accepted(link: Column) -> Column:
+        return link.isNotNull() & let(
+            F.struct(*[link[f"sim_{k}"].alias(k) for k in LOCI]),
+            lambda sims: _gate(sims, link["score"]),
+        )
+
+    links = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), both)
+    return F.filter(links, accepted)
+
+
+def similarity_of(a: Column, b: Column) -> Column:
+    """struct(score, sim_<locus>...) of two forms, whatever they score."""
+    values = {**quick_similarities(a, b), **slow_similarities(a, b)}
+    return let(
+        F.struct(*[values[k].alias(k) for k in LOCI]),
+        lambda sims: F.struct(
+            _weighted(sims).alias("score"), *[sims[k].alias(f"sim_{k}") for k in LOCI]
+        ),
+    )
+
+
 def rare_prefix_keys(forms: DataFrame, locus: str, threshold: float = _BLOCK_THRESHOLD) -> DataFrame:
     """Block keys of a set locus: the rarest ``n - ceil(t * n) + 1`` elements of each set.
 
@@ -206,24 +271,19 @@ def form_links(forms: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     ).otherwise((F.col("a_chunk") == F.col("lo")) & (F.col("b_chunk") == F.col("hi")))
     first_shared = F.get(F.array_intersect("a_keys", "b_keys"), 0)
     met = a.join(b, on).where(ordered & (first_shared == F.col("key")))
-    accepted = with_similarity(met).where(link_gate())
-    return accepted.select(
+    return met.select(
         "org_id",
         F.least("a_fp_id", "b_fp_id").alias("a_fp"),
         F.greatest("a_fp_id", "b_fp_id").alias("b_fp"),
-        "score",
-        *[f"sim_{k}" for k in LOCI],
+        F.inline(link_of(F.col("a_form"), F.col("b_form"))),
     )
 
 
 def copy_links(forms: DataFrame) -> DataFrame:
     """Forms with copies whose copies link to each other, scored against themselves."""
-    twins = forms.where("copies > 1").select(
-        "org_id", "fp_id", F.col("form").alias("a_form"), F.col("form").alias("b_form")
-    )
-    return with_similarity(twins).where(link_gate()).select(
-        "org_id", F.col("fp_id").alias("a_fp"), F.col("fp_id").alias("b_fp"), "score",
-        *[f"sim_{k}" for k in LOCI],
+    return forms.where("copies > 1").select(
+        "org_id", F.col("fp_id").alias("a_fp"), F.col("fp_id").alias("b_fp"),
+        F.inline(link_of(F.col("form"), F.col("form"))),
     )
 
 

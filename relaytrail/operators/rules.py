@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relaytrail import fixed_values as fv
 from relaytrail.config import AnalysisConfig
-from relaytrail.functions.core import before_first, map_lookup, strings
+from relaytrail.functions.core import before_first, let, map_lookup, strings
 from relaytrail.functions.net import registrable_domain, url_host
 from relaytrail.functions.similarity import within_osa
 from relaytrail.functions.text import confusable_skeleton, header_values, quote_around
@@ -155,23 +155,29 @@ def identity_rules(config: AnalysisConfig) -> Column:
                 display,
             ),
         ),
-        F.when(
-            (display != "") & protected_name.isNotNull(),
-            finding(
-                "IDENT_PROTECTED_DISPLAY_NAME",
-                "Most clients show only this name, not the address behind it",
-                display, fill=protected_name,
+        let(
+            protected_name,
+            lambda name: F.when(
+                (display != "") & name.isNotNull(),
+                finding(
+                    "IDENT_PROTECTED_DISPLAY_NAME",
+                    "Most clients show only this name, not the address behind it",
+                    display, fill=name,
+                ),
             ),
         ),
-        F.when(
-            (domain != "") & lookalike.isNotNull(),
-            finding(
-                "IDENT_LOOKALIKE_DOMAIN",
-                F.concat(
-                    domain, F.lit(" resembles "), lookalike,
-                    F.lit(" after mapping confusable characters"),
+        let(
+            lookalike,
+            lambda near: F.when(
+                (domain != "") & near.isNotNull(),
+                finding(
+                    "IDENT_LOOKALIKE_DOMAIN",
+                    F.concat(
+                        domain, F.lit(" resembles "), near,
+                        F.lit(" after mapping confusable characters"),
+                    ),
+                    F.concat(domain, F.lit(" ~ "), near), fill=near,
                 ),
-                F.concat(domain, F.lit(" ~ "), lookalike), fill=lookalike,
             ),
         ),
         F.when(
@@ -252,41 +258,45 @@ def url_rules(config: AnalysisConfig) -> Column:
     landing = F.get(
         F.filter(urls, lambda u: F.exists(markers, lambda m: F.lower(u).contains(m))), 0
     )
-    own_domain = F.coalesce(
-        registrable_domain(url_host(landing), suffixes)
-        == registrable_domain(F.col("from_domain"), suffixes),
-        F.lit(False),
-    )
-    established = own_domain & F.col("dmarc_aligned")
 
-    def imitated(u: Column) -> Column:
-        host = url_host(u)
-        return F.filter(
-            "protected_domains", lambda p: (host != p) & host.contains(before_first(p, "."))
+    def landing_finding(url: Column) -> Column:
+        own_domain = F.coalesce(
+            registrable_domain(url_host(url), suffixes)
+            == registrable_domain(F.col("from_domain"), suffixes),
+            F.lit(False),
         )
 
-    imitation = F.get(F.filter(urls, lambda u: F.size(imitated(u)) > 0), 0)
-    return _compact(
-        F.when(
-            landing.isNotNull(),
-            finding(
+        def graded(own: Column) -> Column:
+            established = own & F.col("dmarc_aligned")
+            return finding(
                 "URL_CREDENTIAL_LANDING",
                 F.when(established, "Sign-in page on the sender's own, aligned domain")
-                .when(own_domain, "Sign-in page on the sender's own domain, nothing aligned")
+                .when(own, "Sign-in page on the sender's own domain, nothing aligned")
                 .otherwise("Sign-in page on a domain other than the sender's"),
-                landing,
-                severity=F.when(established, "low").when(own_domain, "medium").otherwise("high"),
-            ),
-        ),
-        F.when(
-            imitation.isNotNull(),
-            finding(
-                "URL_LOOKALIKE_HOST",
-                F.concat(url_host(imitation), F.lit(" embeds a protected name")),
-                imitation, fill=F.get(imitated(imitation), 0),
+                url,
+                severity=F.when(established, "low").when(own, "medium").otherwise("high"),
+            )
+
+        return F.when(url.isNotNull(), let(own_domain, graded))
+
+    def imitated(u: Column) -> Column:
+        return let(
+            url_host(u),
+            lambda host: F.filter(
+                "protected_domains", lambda p: (host != p) & host.contains(before_first(p, "."))
             ),
-        ),
-    )
+        )
+
+    def imitation_finding(url: Column) -> Column:
+        row = finding(
+            "URL_LOOKALIKE_HOST",
+            F.concat(url_host(url), F.lit(" embeds a protected name")),
+            url, fill=F.get(imitated(url), 0),
+        )
+        return F.when(url.isNotNull(), row)
+
+    imitation = F.get(F.filter(urls, lambda u: F.size(imitated(u)) > 0), 0)
+    return _compact(let(landing, landing_finding), let(imitation, imitation_finding))
 
 
 def attachment_rules() -> Column:
@@ -316,18 +326,27 @@ def attachment_rules() -> Column:
 
 
 def content_rules(body: Column, lexicon=fv.CONTENT_LEXICON) -> Column:
-    """Lexical markers: per rule the first listed term that occurs, with a quote around it."""
+    """Lexical markers: per rule the first listed term that occurs, with a quote around it.
 
-    def rule(rule_id: str, title: str, severity: str, terms: tuple[str, ...]) -> Column:
-        hit = F.get(F.filter(strings(terms), lambda t: F.lower(body).contains(t)), 0)
+    The body is lower-cased once per message, whatever the length of the lexicon.
+    """
+
+    def hit_row(rule_id: str, title: str, severity: str, lowered: Column, hit: Column) -> Column:
         values = (
             "content", rule_id, severity, title, F.concat(F.lit("Term: "), hit), None,
-            quote_around(body, hit), None,
+            quote_around(body, lowered, hit), None,
+        )
+        return F.struct(*[_text(v).alias(n) for v, n in zip(values, FINDING_FIELDS)])
+
+    def rule(lowered: Column, entry) -> Column:
+        rule_id, title, severity, terms = entry
+        first = F.get(F.filter(strings(terms), lambda t: lowered.contains(t)), 0)
+        return let(
+            first,
+            lambda hit: F.when(hit.isNotNull(), hit_row(rule_id, title, severity, lowered, hit)),
         )
-        row = F.struct(*[_text(v).alias(n) for v, n in zip(values, FINDING_FIELDS)])
-        return F.when(hit.isNotNull(), row)
 
-    return _compact(*[rule(*entry) for entry in lexicon])
+    return let(F.lower(body), lambda lowered: _compact(*[rule(lowered, e) for e in lexicon]))
 
 
 def with_plain_text(findings: Column) -> Column:
