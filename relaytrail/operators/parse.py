@@ -12,6 +12,7 @@ import email.policy
 import email.utils
 import hashlib
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -98,6 +99,35 @@ _ARROW_TYPE = pa.struct(
 )
 
 
+_HEADER_FACTORY = email.policy.default.header_factory
+_STRUCTURED = frozenset(_HEADER_FACTORY.registry) - {"subject"}
+
+
+@lru_cache(maxsize=4096)
+def _structured(name: str, value: str):
+    return _HEADER_FACTORY(name, value)
+
+
+class _CorpusPolicy(email.policy.EmailPolicy):
+    """The default policy, without parsing plain text again and again.
+
+    The library parses a header anew on every access. Unstructured ASCII values without encoded
+    words are their own text, and short structured values (content types above all) repeat
+    across messages, so they are kept.
+    """
+
+    def header_fetch_parse(self, name, value):
+        value = "".join(value.splitlines()) if isinstance(value, str) else value
+        if name.lower() not in _STRUCTURED and value.isascii() and "=?" not in value:
+            return value
+        if len(value) > 500:
+            return _HEADER_FACTORY(name, value)
+        return _structured(name, value)
+
+
+_POLICY = _CorpusPolicy()
+
+
 def _printable(value) -> str:
     """Text Arrow can encode: lone surrogates of undecodable bytes become U+FFFD."""
     return str(value).encode("utf-8", "replace").decode("utf-8", "replace")
@@ -166,7 +196,7 @@ def _leaves(message, defects: list[str]):
 
 
 def _decode_one(raw: bytes) -> dict:
-    message = email.message_from_bytes(raw, policy=email.policy.default)
+    message = email.message_from_bytes(raw, policy=_POLICY)
     defects = [type(d).__name__ for d in message.defects]
     headers = _header_pairs(message)
     texts, htmls, files = [], [], []
