@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relaytrail import fixed_values as fv
 from relaytrail.functions.core import let
-from relaytrail.functions.similarity import cosine, hamming_similarity, jaccard, lcs_ratio
+from relaytrail.functions.similarity import cosine, hamming_similarity, lcs_ratio, set_overlap
 from relaytrail.operators.fingerprint import LOCI
 
 _FORM_COLUMNS = (*LOCI, "i_set", "d_set", "p_set")
@@ -67,13 +67,13 @@ def quick_similarities(a: Column, b: Column) -> dict[str, Column]:
     """The loci that cost little: set overlaps and the content sketch."""
     content = (
         F.greatest(F.lit(0.0), hamming_similarity(a["c"]["simhash"], b["c"]["simhash"])) * 0.7
-        + jaccard(a["c"]["template_markers"], b["c"]["template_markers"]) * 0.3
+        + set_overlap(a["c"]["template_markers"], b["c"]["template_markers"]) * 0.3
     )
     return {
-        "i": _rounded(jaccard(a["i_set"], b["i_set"])),
-        "d": _rounded(jaccard(a["d_set"], b["d_set"])),
+        "i": _rounded(set_overlap(a["i_set"], b["i_set"])),
+        "d": _rounded(set_overlap(a["d_set"], b["d_set"])),
         "c": _rounded(content),
-        "p": _rounded(jaccard(a["p_set"], b["p_set"])),
+        "p": _rounded(set_overlap(a["p_set"], b["p_set"])),
     }
 
 
@@ -90,6 +90,15 @@ def tooling_parts(a: Column, b: Column) -> Column:
     )
 
 
+def order_bound(a: Column, b: Column) -> Column:
+    """No header order similarity is above the share of headers two messages have in common."""
+    left, right = a["m"]["header_order"], b["m"]["header_order"]
+    longest = F.greatest(F.size(left), F.size(right), F.lit(1))
+    common = F.size(F.array_intersect(left, right)) / longest
+    share = F.when(_same(a, b, "header_order_hash"), F.lit(1.0)).otherwise(common)
+    return share * fv.TOOLING_WEIGHTS["order"]
+
+
 def slow_similarities(a: Column, b: Column) -> dict[str, Column]:
     """Naming (a cosine and an overlap) and tooling (a longest common subsequence)."""
     w = fv.TOOLING_WEIGHTS
@@ -108,7 +117,7 @@ def slow_similarities(a: Column, b: Column) -> dict[str, Column]:
     naming = (
         cosine(a["n"]["features"], b["n"]["features"]) * 0.4
         + F.when(a["n"]["tld"] == b["n"]["tld"], F.lit(0.2)).otherwise(0.0)
-        + jaccard(a["n"]["trigrams"], b["n"]["trigrams"]) * 0.4
+        + set_overlap(a["n"]["trigrams"], b["n"]["trigrams"]) * 0.4
     )
     return {"n": _rounded(naming), "m": _rounded(tooling)}
 
@@ -135,7 +144,7 @@ def link_of(a: Column, b: Column) -> Column:
     """The link of two forms as an array of no or one struct(score, sim_<locus>...).
 
     Every value is computed once. Pairs whose quick loci cannot reach the threshold even with
-    perfect naming and header order are dropped before the slow ones are looked at.
+    perfect naming and the best header order possible are dropped before the slow ones are looked at.
     """
     w = fv.LOCUS_WEIGHTS
 
@@ -151,7 +160,8 @@ def link_of(a: Column, b: Column) -> Column:
 
     def score(pair: Column, quick: Column) -> Column:
         best = sum((quick[k] * w[k] for k in ("i", "d", "c", "p")), F.lit(0.0)) + w["n"]
-        best = best + (tooling_parts(pair["a"], pair["b"]) + fv.TOOLING_WEIGHTS["order"]) * w["m"]
+        tooling = tooling_parts(pair["a"], pair["b"]) + order_bound(pair["a"], pair["b"])
+        best = best + tooling * w["m"]
         return F.when(best >= fv.LINK_THRESHOLD - 0.001, finish(pair, quick))
 
     def both(pair: Column) -> Column:
