@@ -207,7 +207,7 @@ def _(c: Context) -> DataFrame:
       SELECT i.k, i.type || ':' || i.normalised, 'shares' FROM ind i JOIN (SELECT org_id, type, normalised FROM ind GROUP BY ALL HAVING count(DISTINCT k) > 1) p ON p.org_id = i.org_id AND p.type = i.type AND p.normalised = i.normalised
       WHERE NOT list_contains({strs(fv.HUB_VALUES)}, i.normalised)) SELECT k, target, edge_type FROM e""", "content"))
 def _(c: Context) -> DataFrame:
-    edges = graph.graph_edges(c.indicators, c.members.limit(0)).select(
+    edges = graph.graph_edges(c.indicators, c.members).where("edge_type <> 'member_of'").select(
         F.substring_index("source", ":", -1).alias("case_id"), "target", "edge_type")
     return _numbered(c, edges, "case_id").select(F.col("case_id_k").alias("k"), "target", "edge_type")
 

@@ -191,13 +191,13 @@ def _(c: Context) -> DataFrame:
 
 
 # ------------------------------------------------------------------ names, vectors, sequences ---
-@query("osa_neighbours", """WITH s AS (SELECT p_partkey, substr(p_name, 1, 14) AS n FROM part), p AS (SELECT x.p_partkey, string_split(x.n, '') AS a, string_split(y.n, '') AS b FROM s x JOIN s y ON y.p_partkey = x.p_partkey + 1)
+@query("osa_neighbours", """WITH s AS (SELECT p_partkey, p_name AS n FROM part), p AS (SELECT x.p_partkey, string_split(x.n, '') AS a, string_split(y.n, '') AS b FROM s x JOIN s y ON y.p_partkey = x.p_partkey + 1)
   SELECT p_partkey, list_reduce(list_prepend({'r': range(0, len(b) + 1), 'q': range(0, len(b) + 1), 'i': 0::BIGINT}, list_transform(range(1, len(a) + 1), lambda i: {'r': [0::BIGINT], 'q': [0::BIGINT], 'i': i})),
     lambda st, x: {'r': list_reduce(list_prepend([x.i], list_transform(range(1, len(b) + 1), lambda j: [j])),
       lambda row, c: list_append(row, least(row[-1] + 1, st.r[c[1] + 1] + 1, st.r[c[1]] + CASE WHEN a[x.i] = b[c[1]] THEN 0 ELSE 1 END,
         CASE WHEN x.i > 1 AND c[1] > 1 AND a[x.i] = b[c[1] - 1] AND a[x.i - 1] = b[c[1]] THEN st.q[c[1] - 1] + CASE WHEN a[x.i] = b[c[1]] THEN 0 ELSE 1 END ELSE 999 END))), 'q': st.r, 'i': x.i}).r[-1] AS distance FROM p""")
 def _(c: Context) -> DataFrame:
-    part = spread(c.table("part")).select("p_partkey", F.substring("p_name", 1, 14).alias("n"))
+    part = spread(c.table("part")).select("p_partkey", F.col("p_name").alias("n"))
     after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("n").alias("m"))
     return part.join(after, "p_partkey").select("p_partkey", similarity.osa_distance(F.col("n"), F.col("m")).alias("distance"))
 
@@ -214,21 +214,14 @@ def _(c: Context) -> DataFrame:
     return v.join(after, "vec_id").select("vec_id", F.round(similarity.cosine(F.col("embedding"), F.col("other")), 5).alias("sim"))
 
 
-@query("lcs_orders", """WITH s AS (SELECT user_id, week, list(event_type ORDER BY ts, event_id)[1:12] AS seq FROM (SELECT *, date_trunc('day', ts) AS week FROM events) GROUP BY user_id, week), p AS (SELECT a.user_id, a.week AS d, a.seq AS a, b.seq AS b FROM s a JOIN s b ON b.user_id = a.user_id AND b.week = a.week + INTERVAL 1 DAY)
-  SELECT user_id, d AS "day", round(list_reduce(list_prepend({'r': list_transform(range(0, len(b) + 1), lambda z: 0), 'v': ''}, list_transform(a, lambda x: {'r': [0], 'v': x})),
+@query("lcs_neighbours", """WITH s AS (SELECT p_partkey, string_split(p_name, '') AS n FROM part), p AS (SELECT x.p_partkey, x.n AS a, y.n AS b FROM s x JOIN s y ON y.p_partkey = x.p_partkey + 1)
+  SELECT p_partkey, round(list_reduce(list_prepend({'r': list_transform(range(0, len(b) + 1), lambda z: 0), 'v': ''}, list_transform(a, lambda x: {'r': [0], 'v': x})),
     lambda q, x: {'r': list_reduce(list_prepend([0], list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN b[j] = x.v THEN 1000 + q.r[j] + 1 ELSE q.r[j + 1] END])),
       lambda row, cell: list_append(row, CASE WHEN cell[1] >= 1000 THEN cell[1] - 1000 ELSE greatest(cell[1], row[-1]) END)), 'v': ''}).r[-1] / greatest(len(a), len(b))::DOUBLE, 6) AS ratio FROM p""")
 def _(c: Context) -> DataFrame:
-    """Event order of a user's day against the next; a day's order is its first twelve events."""
-    from pyspark.sql import Window
-
-    ranked = c.table("events").withColumn("day", F.date_trunc("day", "ts"))
-    order = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
-    first = ranked.withColumn("n", F.row_number().over(order)).where("n <= 12")
-    days = first.groupBy("user_id", "day").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "event_type"))), lambda x: x["event_type"]).alias("a"))
-    after = days.select("user_id", (F.col("day") - F.expr("INTERVAL 1 DAY")).alias("day"), F.col("a").alias("b"))
-    return days.join(after, ["user_id", "day"]).select("user_id", "day", F.round(similarity.lcs_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    part = spread(c.table("part")).select("p_partkey", F.split("p_name", "").alias("a"))
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a").alias("b"))
+    return part.join(after, "p_partkey").select("p_partkey", F.round(similarity.lcs_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 _IP = """CASE WHEN event_id % 10 = 0 THEN '2001:db8:' || lower(to_hex(event_id % 4096 + 1)) || '::' || lower(to_hex(user_id + 1)) WHEN event_id % 10 = 1 THEN 'fe80::' || lower(to_hex(user_id + 1))
@@ -268,7 +261,7 @@ def _(c: Context) -> DataFrame:
 def _(c: Context) -> DataFrame:
     return numbering.sequence_numbers(
         c.table("orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), ["o_orderstatus"],
-        [F.col("o_orderdate"), F.col("o_orderkey")], F.date_trunc("month", "o_orderdate")).select("o_orderkey", "seq_no")
+        [F.col("o_orderdate"), F.col("o_orderkey")], [F.date_trunc("month", "o_orderdate"), F.col("o_orderdate"), F.floor(F.col("o_orderkey") / 1000)]).select("o_orderkey", "seq_no")
 
 
 def _memberships(c: Context) -> DataFrame:
