@@ -136,3 +136,16 @@ def with_registrable_domain(
         F.lower(F.col(domain))
     )
     return joined.select(*rows.columns, F.coalesce("_listed", fallback).alias(out))
+
+
+def with_dataset_flags(
+    rows: DataFrame, asn: bool = False, country: bool = False, bundled: bool = True
+) -> DataFrame:
+    """Provenance columns: which network datasets were available to the run."""
+    return rows.withColumns(
+        {
+            "has_asn_dataset": F.lit(asn),
+            "has_country_dataset": F.lit(country),
+            "has_bundled_table": F.lit(bundled),
+        }
+    )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from relaytrail import fixed_values as fv
-from relaytrail.operators import campaign, evidence, graph, hops, indicators, linkage, report
+from relaytrail.operators import (
+    campaign, evidence, graph, hops, indicators, linkage, report, views,
+)
 from workload.context import Context
 from workload.mail_queries import IND
 from workload.oracle_base import HEADER_LIST, last_two, lit, mail_with, strs
@@ -172,6 +174,24 @@ def _(c: Context) -> DataFrame:
         "root", "member_count", "max_score", "first_seen", "last_seen", "distinct_domains", "distinct_prefixes", "name")
 
 
+@query("campaign_view", mail_with(
+    f"""{_COMPONENTS}, camps AS (SELECT root, any_value(m.org_id) AS org_id, count(*) AS member_count, min(m.acquired_at) AS first_seen, max(s.score) AS max_score FROM comp c JOIN mail m ON m.k = c.k JOIN sc s ON s.k = c.k GROUP BY root),
+    nm AS (SELECT *, 'CAMPAIGN-2026-' || lpad(CAST(row_number() OVER (PARTITION BY org_id ORDER BY first_seen, root) AS VARCHAR), 3, '0') AS name FROM camps)
+    SELECT c.k, n.name, n.member_count, n.max_score, s.score FROM comp c JOIN nm n ON n.root = c.root JOIN sc s ON s.k = c.k""", "score"))
+def _(c: Context) -> DataFrame:
+    campaigns = campaign.campaign_rollup(c.members, _cases(c), c.indicators)
+    shown = views.campaign_view(c.members, campaigns, _cases(c))
+    return _numbered(c, shown, "case_id").select(F.col("case_id_k").alias("k"), "name", "member_count", "max_score", "score")
+
+
+@query("top_link_scores", mail_with(
+    f"""{_PAIRS}, b2 AS (SELECT a AS k, score FROM lk UNION ALL SELECT b, score FROM lk) SELECT k, link_rank, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC) AS link_rank FROM b2) WHERE link_rank <= 5""", "rules"))
+def _(c: Context) -> DataFrame:
+    _, links = c.links
+    best = views.top_links(linkage.case_links(c.dna, links))
+    return _numbered(c, best.select("case_id", "link_rank", "score"), "case_id").select(F.col("case_id_k").alias("k"), "link_rank", "score")
+
+
 @query("link_evidence", mail_with(
     f"""{_PAIRS} {IND}, shr AS (SELECT l.a, l.b, count(DISTINCT x.normalised) AS shared_count, array_to_string(list_sort(list(DISTINCT x.normalised))[1:20], ' ') AS shared FROM lk l JOIN ind x ON x.k = l.a JOIN ind y ON y.k = l.b AND y.normalised = x.normalised
       JOIN idf f ON f.org_id = l.org_id AND f.normalised = x.normalised AND f.idf >= 1.0 GROUP BY l.a, l.b),
