@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relaytrail.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_files, toxicity, url_filters
+from relaytrail.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files, toxicity, url_filters
 from relaytrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,27 @@ def _query(name: str, oracle: str | None = None):
     return register
 
 
+@_query("op1_substring_dedup", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(w[i:i+34], ' ')) AS s FROM d, unnest(generate_series(1, len(w) - 34)) AS t(i) WHERE len(w) >= 35
+), hit AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT r, list_distinct(flatten(list(generate_series(i, i + 34)))) AS g FROM hit GROUP BY r
+), word AS (
+  SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), kept AS (
+  SELECT word.r, string_agg(x, ' ' ORDER BY i) AS k FROM word ANTI JOIN (SELECT r, unnest(g) AS i FROM gone) n USING (r, i) GROUP BY word.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+""")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.kept_digests(table(spark, sf_dir, "documents"))
+
+
 @_query("op2_exact_dedup", r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
