@@ -34,6 +34,11 @@ def identity(*columns: str | Column) -> list[Column]:
     ]
 
 
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows in a struct ``row`` beside new columns, so that no name of theirs can clash."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from relaytrail.llm.common import out_batches, small_batches, text_of, without_space
+from relaytrail.llm.common import out_batches, small_batches, text_of, without_space, wrapped
 from relaytrail.llm.patricia import PatriciaTrie
 
 TRIE_BYTES = 32 << 20
@@ -107,13 +107,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    sha = F.sha2(without_space(text_of(text_col)), 256)
-    stays = exact_duplicates(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
+    stays = exact_duplicates(docs, id_col, text_col).filter("kept").select("keep_id", F.col("text_sha256").alias("keep_sha"))
+    marked = wrapped(
+        docs, id=F.col(id_col).cast("long"), sha=F.sha2(without_space(text_of(text_col)), 256), points=F.char_length(text_of(text_col))
     )
-    marked = docs.withColumns({"_sha": sha, "_points": F.char_length(text_of(text_col))})
-    first = Window.partitionBy("_sha", F.col(id_col)).orderBy(F.desc("_points"))
+    first = Window.partitionBy("sha", "id").orderBy(F.desc("points"))
     return (
-        marked.join(stays, F.col("_sha").eqNullSafe(F.col("_keep_sha")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
-        .withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+        marked.join(stays, (F.col("sha") == F.col("keep_sha")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+        .withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
     )

@@ -24,15 +24,15 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relaytrail.llm.common import LOWER, SPACE, durable_table, text_of
+from relaytrail.llm.common import LOWER, SPACE, durable_table, text_of, wrapped
 from relaytrail.llm.quality import bound, n_words_of, word_array
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of the mixture's tokens.
 TARGETS = {"good": 0.90, "plain": 0.07, "toxic": 0.03}
 #: Labelled rows the classifier is fitted on (by a hash of their id); tokens chosen for each domain
-#: and the documents a token needs.
-MAX_FIT, TOKENS, LEAST_DOCUMENTS = 20_000, 200, 5
+#: and the likelihood ratio (G statistic) a token needs, far above that of chance.
+MAX_FIT, TOKENS, LEAST_EVIDENCE = 20_000, 200, 25.0
 #: Log-odds are divided by this, as the tokens of a text are not independent.
 TEMPERATURE = 1.0
 STEPS, TOLERANCE = 40, 1e-4
@@ -61,6 +61,16 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max
     return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(known, "_id").select("text", "domain")
 
 
+def likelihood_ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+    """G statistic of a token held by ``a`` of ``n_a`` and ``b`` of ``n_b`` documents."""
+
+    def part(x: Column, n: int, share: Column) -> Column:
+        return F.when((x > 0) & F.lit(n > 0), x * F.log(x / (share * n))).otherwise(0.0)
+
+    share = (a + b) / max(1, n_a + n_b)
+    return 2 * (part(a, n_a, share) + part(b, n_b, share) + part(n_a - a, n_a, 1 - share) + part(n_b - b, n_b, 1 - share))
+
+
 def fit_weights(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT,
 ) -> tuple[list[float], dict[int, list[float]]]:
@@ -76,8 +86,8 @@ def fit_weights(
     rate = [F.log((F.col(f"n{k}") + 0.5) / (n[k] + 1)) for k in range(len(DOMAINS))]
     chosen: dict[int, list[float]] = {}
     for k in range(1, len(DOMAINS)):
-        odds = rate[k] - rate[0]
-        best = seen.filter(F.col("n0") + F.col(f"n{k}") >= LEAST_DOCUMENTS).orderBy(F.desc(F.abs(odds) * F.sqrt(F.col("n0") + F.col(f"n{k}"))), "token").limit(TOKENS)
+        evidence = likelihood_ratio(F.col(f"n{k}"), F.col("n0"), n[k], n[0])
+        best = seen.withColumn("g", evidence).filter(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "token").limit(TOKENS)
         for r in best.select("token", *[(rate[j] - rate[0]).alias(f"w{j}") for j in range(1, len(DOMAINS))]).collect():
             chosen[r["token"]] = [r[f"w{j}"] for j in range(1, len(DOMAINS))]
     return [math.log((c + 1e-3) / total) for c in n], chosen
@@ -150,11 +160,12 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most: float | None
             total = sums["s0"] / share[0] if keep_first else float(sums["tokens"])
             goal = [s * total for s in share]
         off = [sums[f"s{k}"] - goal[k] for k in d]
-        worst = max(abs(o) / max(g, 1e-3 * total) for o, g in zip(off, goal))
-        if worst > 0.98 * last:  # the last step did not help
+        relative = [o / max(g, 1e-3 * total) for o, g in zip(off, goal)]
+        loss = sum(r * r for r in relative)
+        if loss > 0.98 * last:  # the projection lets no step improve
             return steps[:-1]
-        last = worst
-        if worst <= TOLERANCE:
+        last = loss
+        if max(map(abs, relative)) <= TOLERANCE:
             break
         curvature = np.array([[sums[f"m{i}{j}"] for j in d] for i in d]) + 1e-9 * total * np.eye(len(DOMAINS))
         steps.append([float(x) for x in np.linalg.solve(curvature, off)])
@@ -185,10 +196,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, most: float | None = None) -> DataFrame:
     """Every row of ``docs`` as often as its copies say, with all its columns."""
-    rated = mixing_rates(docs, labels, id_col, text_col, targets, most).select(
-        F.col("doc_id").alias("_rated_id"), F.col("text_hash").alias("_rated_hash"), F.col("copies").alias("_copies")
-    ).distinct()
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_of(text_col))})
-    joined = marked.join(rated, F.col("_id").eqNullSafe(F.col("_rated_id")) & (F.col("_hash") == F.col("_rated_hash")))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return joined.filter("_copies > 0").withColumn("_copy", copies).select(*docs.columns)
+    rated = mixing_rates(docs, labels, id_col, text_col, targets, most).select("doc_id", "text_hash", "copies").distinct()
+    rows = wrapped(docs, id=F.col(id_col).cast("long"), hash=F.xxhash64(text_of(text_col)))
+    joined = rows.join(rated, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).filter("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relaytrail.llm.common import SPACE, identity, text_of
+from relaytrail.llm.common import SPACE, identity, text_of, wrapped
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -155,17 +155,18 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The kept rows with boilerplate lines removed from their text."""
-    found = quality_rules(docs, id_col, text_col, host_col).filter("kept").select("_u1", "_u2", "removed_lines").distinct()
-    keys = identity(id_col, host_col, text_col)
-    text = F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col("removed_lines")))
-    return docs.select("*", *keys).join(found, ["_u1", "_u2"]).withColumn(text_col, text).select(*docs.columns)
+    """The kept rows as (doc_id, host, text), with boilerplate lines removed from their text."""
+    found = quality_rules(docs, id_col, text_col, host_col).filter("kept").select("_u1", "_u2", "removed_lines").dropDuplicates(["_u1", "_u2"])
+    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("removed_lines")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"), *identity(id_col, host_col, text_col))
+    return rows.join(found, ["_u1", "_u2"]).select("doc_id", "host", text.alias("text"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` the rules keep, with all their columns and whole texts."""
     found = quality_rules(docs, id_col, text_col, host_col).filter("kept").select("_u1", "_u2")
-    return docs.select("*", *identity(id_col, host_col, text_col)).join(found, ["_u1", "_u2"], "left_semi").select(*docs.columns)
+    u1, u2 = identity(id_col, host_col, text_col)
+    return wrapped(docs, _u1=u1, _u2=u2).join(found, ["_u1", "_u2"], "left_semi").select("row.*")
 
 
 ORACLE_SQL = r"""

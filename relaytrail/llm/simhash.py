@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relaytrail.llm.common import LOWER, UPPER, durable_table, small_batches
+from relaytrail.llm.common import LOWER, UPPER, durable_table, small_batches, wrapped
 from relaytrail.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -215,6 +215,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all their columns."""
-    stays = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi")
+    stays = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = wrapped(docs, id=F.col(id_col).cast("long"))
+    return rows.join(stays, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
