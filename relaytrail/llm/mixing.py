@@ -35,7 +35,7 @@ TARGETS = {"good": 0.90, "plain": 0.07, "toxic": 0.03}
 MAX_FIT, TOKENS, LEAST_EVIDENCE = 20_000, 200, 25.0
 #: Log-odds are divided by this, as the tokens of a text are not independent.
 TEMPERATURE = 1.0
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, HALVINGS, TOLERANCE = 40, 4, 1e-4
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -74,7 +74,7 @@ def likelihood_ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:
 def fit_weights(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit: int = MAX_FIT,
 ) -> tuple[list[float], dict[int, list[float]]]:
-    """Log priors of the domains, and the chosen tokens' log-odds against the first domain."""
+    """Logits of the domains without any chosen token, and what each adds against the first domain."""
     sample = durable_table(labelled(docs, labels, id_col, text_col, max_fit).select("domain", tokens_of(F.col("text")).alias("tokens")), "mixing_sample")
     sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     n, total = [sizes.get(k, 0) for k in range(len(DOMAINS))], sum(sizes.values())
@@ -83,17 +83,23 @@ def fit_weights(
     seen = sample.select("domain", F.explode("tokens").alias("token")).groupBy("token").agg(
         *[F.count(F.when(F.col("domain") == k, 1)).alias(f"n{k}") for k in range(len(DOMAINS))]
     )
-    rate = [F.log((F.col(f"n{k}") + 0.5) / (n[k] + 1)) for k in range(len(DOMAINS))]
+    held = [(F.col(f"n{k}") + 0.5) / (n[k] + 1) for k in range(len(DOMAINS))]
+    odds, absent = [F.log(h / (1 - h)) for h in held], [F.log(1 - h) for h in held]
     chosen: dict[int, list[float]] = {}
+    bias = [math.log((c + 1e-3) / total) for c in n]
     for k in range(1, len(DOMAINS)):
         evidence = likelihood_ratio(F.col(f"n{k}"), F.col("n0"), n[k], n[0])
         best = seen.withColumn("g", evidence).filter(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "token").limit(TOKENS)
-        for r in best.select("token", *[(rate[j] - rate[0]).alias(f"w{j}") for j in range(1, len(DOMAINS))]).collect():
-            chosen[r["token"]] = [r[f"w{j}"] for j in range(1, len(DOMAINS))]
-    return [math.log((c + 1e-3) / total) for c in n], chosen
+        others = range(1, len(DOMAINS))
+        for r in best.select("token", *[(odds[j] - odds[0]).alias(f"w{j}") for j in others], *[(absent[j] - absent[0]).alias(f"b{j}") for j in others]).collect():
+            if r["token"] not in chosen:
+                chosen[r["token"]] = [r[f"w{j}"] for j in others]
+                for j in others:  # what the token's absence says; its presence takes that back
+                    bias[j] += r[f"b{j}"]
+    return bias, chosen
 
 
-def posteriors(text: Column, priors: list[float], weights: dict[int, list[float]]) -> Column:
+def posteriors(text: Column, bias: list[float], weights: dict[int, list[float]]) -> Column:
     """Array of the domains' posteriors of a text."""
     d = range(1, len(DOMAINS))
     none = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in d])
@@ -112,7 +118,7 @@ def posteriors(text: Column, priors: list[float], weights: dict[int, list[float]
         sums = F.when(F.btrim(text, F.lit(SPACE)) == "", none).otherwise(F.aggregate(hits, none, add))
 
     def shares(total: Column) -> Column:
-        logits = [F.lit(priors[0])] + [F.lit(priors[k]) + total[f"d{k}"] / TEMPERATURE for k in d]
+        logits = [F.lit(bias[0])] + [F.lit(bias[k]) + total[f"d{k}"] / TEMPERATURE for k in d]
         top = F.greatest(*logits)
         powers = [F.exp(x - top) for x in logits]
         whole = reduce(lambda a, b: a + b, powers)
@@ -144,7 +150,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most: float | None
     d = range(len(DOMAINS))
     share = [targets[k] / sum(targets.values()) for k in DOMAINS]
     steps: list[list[float]] = []
-    goal, last = None, math.inf
+    goal, last, halved = None, math.inf, 0
     while len(steps) < STEPS:
         rated = members.select("tokens", "posterior", rate_of(F.col("posterior"), steps, most).alias("rate"))
         free = (F.col("rate") > 0) if most is None or not steps else (F.col("rate") > 0) & (F.col("rate") < most)
@@ -162,8 +168,12 @@ def fit_rates(members: DataFrame, targets: dict[str, float], most: float | None
         off = [sums[f"s{k}"] - goal[k] for k in d]
         relative = [o / max(g, 1e-3 * total) for o, g in zip(off, goal)]
         loss = sum(r * r for r in relative)
-        if loss > 0.98 * last:  # the projection lets no step improve
-            return steps[:-1]
+        if loss > 0.98 * last:  # the projection cut the step short: half of it, or none
+            if halved == HALVINGS:
+                return steps[:-1]
+            steps[-1], halved = [x / 2 for x in steps[-1]], halved + 1
+            continue
+        halved = 0
         last = loss
         if max(map(abs, relative)) <= TOLERANCE:
             break
@@ -180,12 +190,12 @@ def copies_of(rate: Column, row_key: Column) -> Column:
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, most: float | None = None) -> DataFrame:
     """(doc_id, text_hash, tokens, posterior, rate, copies) of every row."""
-    priors, weights = fit_weights(docs, labels, id_col, text_col)
+    bias, weights = fit_weights(docs, labels, id_col, text_col)
     text = text_of(text_col)
     members = durable_table(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), n_words_of(text).alias("tokens"),
-            posteriors(text, priors, weights).alias("posterior"),
+            posteriors(text, bias, weights).alias("posterior"),
         ),
         "mixing_members",
     )
