@@ -37,14 +37,7 @@ JOB_STATES = ("queued", "running", "done", "failed", "dead")
 MEMBERSHIP_ROLES = ("owner", "analyst", "viewer")
 
 # --- limits -------------------------------------------------------------------------
-MAX_MESSAGE_BYTES = 26_214_400
-MAX_MIME_PARTS = 200
-MAX_MIME_DEPTH = 20
-MAX_BODY_CHARS = 1_000_000
-RULE_URL_LIMIT = 50
-INDICATOR_URL_LIMIT = 100
 CLOCK_SKEW_SECONDS = 300
-MODEL_BODY_CHARS = 12_000
 NARRATIVE_MIN_SCORE = 40
 
 # --- scoring ------------------------------------------------------------------------
@@ -104,7 +97,7 @@ RAW_HEADER_PROBE = (
 )
 
 # --- Received header patterns -------------------------------------------------------
-CLAUSE_PATTERN = r"[\[(]([^\])]{2,80})[\])]"
+CLAUSE_PATTERN = r"[\[(]([^\])]{2,})[\])]"
 ADDRESS_TOKEN_PATTERN = r"(?i)(?:IPv6:)?([0-9a-f:.]{3,45})"
 HELO_PATTERN = r"(?is)\bfrom\s+([^\s(;]+)"
 RDNS_PATTERN = r"(?is)\bfrom\s+[^\s(;]+\s*\(\s*([A-Za-z0-9._-]+)?\s*[\[(]"
@@ -241,8 +234,6 @@ LOCUS_AGREEMENT = 0.50
 NON_CONTENT_THRESHOLD = 0.60
 NON_CONTENT_LOCI = ("i", "m", "p")
 HUB_IDF_THRESHOLD = 1.0
-SHARED_INDICATOR_LIMIT = 20
-RECORDED_LINK_LIMIT = 5
 LOCUS_NAMES = {
     "i": "infrastructure", "d": "identity", "n": "naming", "m": "tooling", "c": "content",
     "p": "payload",
@@ -271,7 +262,6 @@ FORBIDDEN_NOTICE = (
     " [A statement asserting the operator's physical location was removed: "
     "the evidence does not support such a claim.]"
 )
-RECOMMENDED_ACTION_LIMIT = 5
 
 # --- texts shown to readers ---------------------------------------------------------
 CLAIM_NO_HEADERS = (

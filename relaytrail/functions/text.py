@@ -49,17 +49,16 @@ def shannon_entropy(c: Column) -> Column:
 
 
 def char_shape(c: Column) -> Column:
-    """Character-class skeleton of the first 80 characters, runs cut to three."""
+    """Character-class skeleton of the text, runs cut to three."""
     shaped = F.regexp_replace(
-        F.regexp_replace(F.substring(c, 1, 80), r"\p{Nd}", "9"), r"\p{L}", "a"
+        F.regexp_replace(c, r"\p{Nd}", "9"), r"\p{L}", "a"
     )
     return F.regexp_replace(shaped, r"(?s)(.)\1{2,}", "$1$1$1")
 
 
 def token_shape(c: Column) -> Column:
-    """Each alphanumeric run of the first 80 characters becomes ``w<length>``."""
-    cut = F.substring(c, 1, 80)
-    pieces = F.regexp_extract_all(cut, F.lit(r"(?s)([A-Za-z0-9]+|[^A-Za-z0-9])"), 1)
+    """Each alphanumeric run becomes ``w<length>``."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)([A-Za-z0-9]+|[^A-Za-z0-9])"), 1)
     return F.array_join(
         F.transform(
             pieces,
@@ -78,7 +77,7 @@ def message_id_template(c: Column) -> Column:
     marked = F.regexp_replace(
         F.regexp_replace(local, fv.MESSAGE_ID_HEX_PATTERN, "H"), r"\d+", "N"
     )
-    return F.when(c != "", F.substring(marked, 1, 60))
+    return F.when(c != "", marked)
 
 
 @bound
@@ -185,7 +184,7 @@ def tag_map(record: Column) -> Column:
 
 
 def quote_around(
-    body: Column, lowered: Column, term: Column, margin: int = 60, limit: int = 500
+    body: Column, lowered: Column, term: Column, margin: int = 60
 ) -> Column:
     """Up to ``margin`` characters on both sides of the first hit of a lower-case term."""
 
@@ -193,7 +192,7 @@ def quote_around(
         start = F.greatest(at - margin, F.lit(1))
         part = body.substr(start, at + F.length(term) + margin - start)
         cleaned = strip(F.replace(part, F.lit("\n"), F.lit(" ")))
-        return F.substring(F.when(at > 0, cleaned).otherwise(term), 1, limit)
+        return F.when(at > 0, cleaned).otherwise(term)
 
     return let(F.instr(lowered, term), cut)
 

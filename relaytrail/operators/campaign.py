@@ -12,7 +12,7 @@ from relaytrail.operators.linkage import (
 from relaytrail.operators.numbering import campaign_names
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an undirected edge list ``src, dst``.
 
     Alternates large-star and small-star steps until the edges stop changing: every node points
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     current = current.where("u <> v")
     signature = None
-    for _ in range(max_rounds):
+    while True:
         current = durable(_small_star(_large_star(current)))
         state = current.agg(
             F.count(F.lit(1)).alias("n"),
@@ -36,8 +36,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (state.n, state.h) == signature:
             break
         signature = (state.n, state.h)
-    else:
-        raise RuntimeError("components did not settle")
     pointed = current.select(F.col("v").alias("node"), F.col("u").alias("component"))
     roots = pointed.select(F.col("component").alias("node"), "component").distinct()
     linked = pointed.unionByName(roots)

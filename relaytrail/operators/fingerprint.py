@@ -85,7 +85,7 @@ def locus_tooling() -> Column:
     return F.struct(
         order.alias("header_order"),
         F.substring(F.sha2(F.to_json(order), 256), 1, 32).alias("header_order_hash"),
-        blank_to_null(F.substring(strip(mailer), 1, 120)).alias("x_mailer"),
+        blank_to_null(strip(mailer)).alias("x_mailer"),
         blank_to_null(F.lower(strip(before_first(content_type, ";")))).alias("mime_root"),
         F.array_sort(F.transform("attachments", lambda a: a["content_type"])).alias("mime_parts"),
         text.token_shape(boundary).alias("boundary_shape"),
@@ -109,7 +109,7 @@ def locus_content() -> Column:
 
 
 def locus_payload() -> Column:
-    urls = F.slice("urls", 1, fv.RULE_URL_LIMIT)
+    urls = F.col("urls")
     return F.struct(
         F.array_sort(F.transform("attachments", lambda a: a["sha256"])).alias("attachment_hashes"),
         _sorted_set(F.transform(urls, lambda u: text.char_shape(net.url_path(u)))).alias(

@@ -123,12 +123,12 @@ def check_claims(text: Column) -> Column:
 
 
 def checked_narrative(narratives: DataFrame) -> DataFrame:
-    """Apply the claim check to ``explanation`` and keep the first five actions."""
+    """Apply the claim check to ``explanation`` and keep the actions."""
     checked = narratives.withColumn("_c", check_claims(F.col("explanation")))
     return checked.select(
         *[c for c in narratives.columns if c not in ("explanation", "recommended_actions")],
         F.col("_c.text").alias("explanation"),
-        F.slice("recommended_actions", 1, fv.RECOMMENDED_ACTION_LIMIT).alias("recommended_actions"),
+        "recommended_actions",
         F.col("_c.violations").alias("violations"),
     )
 

@@ -41,14 +41,14 @@ def first_address(segment: Column) -> Column:
 def _one_hop(raw: Column, seq: Column) -> Column:
     return F.struct(
         seq.alias("seq"),
-        F.substring(raw, 1, 2000).alias("raw"),
+        raw.alias("raw"),
         _host(_find(raw, fv.HELO_PATTERN)).alias("helo"),
         F.lower(_find(raw, fv.RDNS_PATTERN)).alias("rdns_claim"),
         first_address(F.split(raw, r"(?iU)\sby\s", 2)[0]).alias("observed_ip"),
         _host(_find(raw, fv.BY_PATTERN)).alias("by_host"),
         _find(raw, fv.WITH_PATTERN).alias("protocol"),
         _find(raw, fv.ID_PATTERN).alias("queue_id"),
-        F.substring(_find(raw, fv.TLS_PATTERN), 1, 250).alias("tls_info"),
+        _find(raw, fv.TLS_PATTERN).alias("tls_info"),
         F.when(raw.contains(";"), parse_mail_date(F.substring_index(raw, ";", -1))).alias(
             "hop_ts_utc"
         ),

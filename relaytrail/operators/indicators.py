@@ -40,7 +40,7 @@ def message_indicators(analysed: DataFrame, *keys: str) -> DataFrame:
             one("domain", "from_domain"),
             one("message_id", "message_id"),
             typed("ip", F.transform("hops", lambda h: h["observed_ip"])),
-            typed("url", F.slice("urls", 1, fv.INDICATOR_URL_LIMIT)),
+            typed("url", F.col("urls")),
             typed("file_hash", F.transform("attachments", lambda a: a["sha256"])),
         ),
         lambda x: x["value"] != "",
@@ -51,8 +51,8 @@ def message_indicators(analysed: DataFrame, *keys: str) -> DataFrame:
             F.concat(x["type"], F.lit("\u0000"), F.lower(strip(x["value"]))).alias("key"),
             i.alias("at"),
             x["type"].alias("type"),
-            F.substring(x["value"], 1, 2000).alias("value"),
-            F.substring(F.lower(strip(x["value"])), 1, 2000).alias("normalised"),
+            x["value"].alias("value"),
+            F.lower(strip(x["value"])).alias("normalised"),
         ),
     )
     return analysed.select(*keys, F.inline(distinct_by_key(entries))).drop("key", "at")

@@ -348,9 +348,9 @@ def best_links(forms: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shared_indicators(
-    pairs: DataFrame, indicators: DataFrame, idf: DataFrame, limit: int = fv.SHARED_INDICATOR_LIMIT
+    pairs: DataFrame, indicators: DataFrame, idf: DataFrame
 ) -> DataFrame:
-    """Discriminative values two linked cases share: their number and the first ``limit``.
+    """Discriminative values two linked cases share: their number and the values.
 
     Hub values are dropped before the join, so nothing is joined on them.
     """
@@ -365,7 +365,7 @@ def shared_indicators(
     # bounded: the indicators of one case
     return common.groupBy("org_id", "case_id", "other_case").agg(
         F.count(F.lit(1)).alias("shared_count"),
-        F.slice(F.sort_array(F.collect_set("normalised")), 1, limit).alias("shared_indicators"),
+        F.sort_array(F.collect_set("normalised")).alias("shared_indicators"),
     )
 
 

@@ -9,7 +9,7 @@ from relaytrail.functions.core import map_lookup, strings
 
 
 def top_finding_titles(findings: Column, n: int = 3) -> Column:
-    """Titles of the findings with the highest contribution, in report order for ties."""
+    """Titles of the ``n`` findings with the highest contribution, in report order for ties."""
     ranked = F.array_sort(
         F.transform(
             findings,

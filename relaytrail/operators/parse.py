@@ -120,8 +120,6 @@ class _CorpusPolicy(email.policy.EmailPolicy):
         value = "".join(value.splitlines()) if isinstance(value, str) else value
         if name.lower() not in _STRUCTURED and value.isascii() and "=?" not in value:
             return value
-        if len(value) > 500:
-            return _HEADER_FACTORY(name, value)
         return _structured(name, value)
 
 
@@ -177,22 +175,15 @@ def _address_rows(headers: list[dict]) -> list[dict]:
     return rows
 
 
-def _leaves(message, defects: list[str]):
-    """Leaf parts in document order, bounded in depth and number."""
-    left = fv.MAX_MIME_PARTS
-    stack = [(message, 0)]
+def _leaves(message):
+    """All leaf parts in document order; the stack is the walk's own, so depth has no bound."""
+    stack = [message]
     while stack:
-        part, depth = stack.pop()
-        if depth > fv.MAX_MIME_DEPTH:
-            defects.append("max_mime_depth_exceeded")
-        elif left <= 0:
-            defects.append("max_mime_parts_exceeded")
+        part = stack.pop()
+        if part.is_multipart():
+            stack.extend(reversed(list(part.iter_parts())))
         else:
-            left -= 1
-            if part.is_multipart():
-                stack.extend((child, depth + 1) for child in reversed(list(part.iter_parts())))
-            else:
-                yield part
+            yield part
 
 
 def _decode_one(raw: bytes) -> dict:
@@ -200,7 +191,7 @@ def _decode_one(raw: bytes) -> dict:
     defects = [type(d).__name__ for d in message.defects]
     headers = _header_pairs(message)
     texts, htmls, files = [], [], []
-    for part in _leaves(message, defects):
+    for part in _leaves(message):
         try:
             kind = (part.get_content_type() or "application/octet-stream").lower()
             disposition = (part.get_content_disposition() or "").lower()
@@ -281,8 +272,8 @@ def parse_messages(messages: DataFrame, content: str = "content") -> DataFrame:
     parts = decoded.select(
         *carried,
         F.col("_decoded.headers").alias("headers"),
-        F.substring(F.array_join("_decoded.texts", "\n"), 1, fv.MAX_BODY_CHARS).alias("_plain"),
-        F.substring(F.array_join("_decoded.htmls", "\n"), 1, fv.MAX_BODY_CHARS).alias("html_body"),
+        F.array_join("_decoded.texts", "\n").alias("_plain"),
+        F.array_join("_decoded.htmls", "\n").alias("html_body"),
         describe_attachments(F.col("_decoded.files")).alias("attachments"),
         F.col("_decoded.addresses").alias("addresses"),
         F.col("_decoded.defects").alias("defects"),
@@ -290,9 +281,7 @@ def parse_messages(messages: DataFrame, content: str = "content") -> DataFrame:
     no_plain = (strip(F.col("_plain")) == "") & (F.col("html_body") != "")
     bodied = parts.withColumn(
         "text_body",
-        F.when(
-            no_plain, F.substring(text.html_to_text(F.col("html_body")), 1, fv.MAX_BODY_CHARS)
-        ).otherwise(F.col("_plain")),
+        F.when(no_plain, text.html_to_text(F.col("html_body"))).otherwise(F.col("_plain")),
     ).drop("_plain")
     return bodied.select(
         "*",
@@ -317,8 +306,8 @@ def header_rows(parsed: DataFrame, *keys: str) -> DataFrame:
     return parsed.select(*keys, F.posexplode("headers").alias("ordinal", "h")).select(
         *keys,
         "ordinal",
-        F.substring("h.name", 1, 200).alias("name"),
-        F.substring("h.value", 1, 8000).alias("value_raw"),
+        F.col("h.name").alias("name"),
+        F.col("h.value").alias("value_raw"),
         F.col("h.is_duplicate").alias("is_duplicate"),
     )
 

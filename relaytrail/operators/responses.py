@@ -37,7 +37,7 @@ def model_payloads(analysed: DataFrame, *keys: str) -> DataFrame:
         {
             "established_facts": F.struct(*[facts[k].alias(k) for k in sorted(facts)]),
             "subject": F.coalesce("subject", F.lit("")),
-            "email_body": F.substring("text_body", 1, fv.MODEL_BODY_CHARS),
+            "email_body": F.col("text_body"),
         }
     )
     return analysed.select(*keys, payload.alias("payload")).withColumn(

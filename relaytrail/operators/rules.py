@@ -43,9 +43,9 @@ def finding(
         group,
         F.format_string(rule, rule_fill) if rule_fill is not None else rule,
         default_severity if severity is None else severity,
-        F.substring(F.format_string(title, fill), 1, 300) if fill is not None else title,
+        F.format_string(title, fill) if fill is not None else title,
         detail,
-        None if ref is None else F.substring(_text(ref), 1, 300),
+        None if ref is None else _text(ref),
         quote,
         technique,
     )
@@ -253,7 +253,7 @@ def infrastructure_rules() -> Column:
 
 
 def url_rules(config: AnalysisConfig) -> Column:
-    urls = F.slice("urls", 1, fv.RULE_URL_LIMIT)
+    urls = F.col("urls")
     markers, suffixes = strings(fv.CREDENTIAL_URL_MARKERS), strings(config.public_suffixes)
     landing = F.get(
         F.filter(urls, lambda u: F.exists(markers, lambda m: F.lower(u).contains(m))), 0

@@ -44,7 +44,7 @@ def base64url_bytes(payload: Column) -> Column:
 
 
 def _looks_raw(text: Column) -> Column:
-    return F.substring(text, 1, 2000).rlike(fv.RAW_HEADER_PROBE)
+    return text.rlike(fv.RAW_HEADER_PROBE)
 
 
 def unwrap_page(body: Column) -> Column:
@@ -76,10 +76,11 @@ def unwrap_page(body: Column) -> Column:
     return F.when(_looks_raw(body) & ~is_page, body).otherwise(inner)
 
 
-def acquire(raw: DataFrame, max_bytes: int = fv.MAX_MESSAGE_BYTES) -> DataFrame:
+def acquire(raw: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Digest, size and a deterministic case key, taken from the bytes before any parsing.
 
-    Every row is kept; ``reject_reason`` is NULL for those that may be parsed.
+    Every row is kept; ``reject_reason`` is NULL for those that may be parsed. Messages of any size
+    are parsed, unless the caller sets ``max_bytes``.
     """
     size = F.length("content")
     return raw.select(
@@ -88,7 +89,7 @@ def acquire(raw: DataFrame, max_bytes: int = fv.MAX_MESSAGE_BYTES) -> DataFrame:
         F.sha2("content", 256).alias("sha256"),
         F.when(F.col("content").isNull(), "undecodable")
         .when(size == 0, "empty")
-        .when(size > max_bytes, "too_large")
+        .when(size > F.lit(max_bytes), "too_large")
         .alias("reject_reason"),
     ).withColumn("case_id", F.sha2(F.concat_ws("\u0000", "org_id", "sha256"), 256))
 

@@ -18,7 +18,7 @@ _TOKENS = r"""regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(re
   '\b[\d,]+(?:\.\d+)?\b', '<NUM>', 'g'), 'https?://\S+', '<URL>', 'g'), '\b[\w.+-]+@[\w.-]+\b', '<EMAIL>', 'g'), '\b\d{1,2}[:.]\d{2}\b', '<TIME>', 'g'), '[a-z<>]{3,}')"""
 _ENTROPY = "list_sum(list_transform(list_distinct(string_split({0}, '')), lambda ch: -(len(list_filter(string_split({0}, ''), lambda y: y = ch)) / length({0})::DOUBLE) * log2(len(list_filter(string_split({0}, ''), lambda y: y = ch)) / length({0})::DOUBLE)))"
 _ORDER = f"list_filter(list_transform({HEADER_LIST}, lambda h: lower(h.name)), lambda n: list_contains({strs(fv.FINGERPRINT_HEADERS)}, n))"
-_SHAPE = "array_to_string(list_transform(string_split(substr({0}, 1, 80), ''), lambda ch: CASE WHEN regexp_matches(ch, '\\p{{Nd}}') THEN '9' WHEN regexp_matches(ch, '\\p{{L}}') THEN 'a' ELSE ch END), '')"
+_SHAPE = "array_to_string(list_transform(string_split({0}, ''), lambda ch: CASE WHEN regexp_matches(ch, '\\p{{Nd}}') THEN '9' WHEN regexp_matches(ch, '\\p{{L}}') THEN 'a' ELSE ch END), '')"
 _RUNS = "regexp_replace(regexp_replace(regexp_replace({0}, 'a{{3,}}', 'aaa', 'g'), '9{{3,}}', '999', 'g'), '-{{3,}}', '---', 'g')"
 
 
@@ -188,12 +188,12 @@ def _(c: Context) -> DataFrame:
     f"""{_PAIRS}, b2 AS (SELECT a AS k, score FROM lk UNION ALL SELECT b, score FROM lk) SELECT k, link_rank, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC) AS link_rank FROM b2) WHERE link_rank <= 5""", "rules"))
 def _(c: Context) -> DataFrame:
     _, links = c.links
-    best = views.top_links(linkage.case_links(c.dna, links))
+    best = views.top_links(linkage.case_links(c.dna, links), limit=5)
     return _numbered(c, best.select("case_id", "link_rank", "score"), "case_id").select(F.col("case_id_k").alias("k"), "link_rank", "score")
 
 
 @query("link_evidence", mail_with(
-    f"""{_PAIRS} {IND}, shr AS (SELECT l.a, l.b, count(DISTINCT x.normalised) AS shared_count, array_to_string(list_sort(list(DISTINCT x.normalised))[1:20], ' ') AS shared FROM lk l JOIN ind x ON x.k = l.a JOIN ind y ON y.k = l.b AND y.normalised = x.normalised
+    f"""{_PAIRS} {IND}, shr AS (SELECT l.a, l.b, count(DISTINCT x.normalised) AS shared_count, array_to_string(list_sort(list(DISTINCT x.normalised)), ' ') AS shared FROM lk l JOIN ind x ON x.k = l.a JOIN ind y ON y.k = l.b AND y.normalised = x.normalised
       JOIN idf f ON f.org_id = l.org_id AND f.normalised = x.normalised AND f.idf >= 1.0 GROUP BY l.a, l.b),
     r AS (SELECT l.*, coalesce(s.shared_count, 0) AS shared_count, coalesce(s.shared, '') AS shared, greatest(si, sd, sn, sm, sc_, sp) AS top FROM lk l LEFT JOIN shr s ON s.a = l.a AND s.b = l.b)
     SELECT a, b, shared_count, shared, CASE WHEN si = top THEN {lit(fv.LOCUS_REASONS['i'])} WHEN sd = top THEN {lit(fv.LOCUS_REASONS['d'])} WHEN sn = top THEN {lit(fv.LOCUS_REASONS['n'])} WHEN sm = top THEN {lit(fv.LOCUS_REASONS['m'])}
@@ -215,7 +215,7 @@ def _(c: Context) -> DataFrame:
 # ------------------------------------------------------------------ graph ---
 @query("graph_nodes", mail_with(
     f"""{_COMPONENTS} {IND}, camps AS (SELECT root, any_value(m.org_id) AS org_id, min(m.acquired_at) AS first_seen FROM comp c JOIN mail m ON m.k = c.k GROUP BY root)
-    SELECT 'case' AS kind, 'CASE-' || k AS label, false AS hub FROM mail UNION ALL SELECT type, min(substr(value, 1, 60)), list_contains({strs(fv.HUB_VALUES)}, normalised) FROM ind GROUP BY type, normalised
+    SELECT 'case' AS kind, 'CASE-' || k AS label, false AS hub FROM mail UNION ALL SELECT type, min(value), list_contains({strs(fv.HUB_VALUES)}, normalised) FROM ind GROUP BY type, normalised
     UNION ALL SELECT 'campaign', 'CAMPAIGN-2026-' || lpad(CAST(row_number() OVER (PARTITION BY org_id ORDER BY first_seen, root) AS VARCHAR), 3, '0'), false FROM camps""", "rules"))
 def _(c: Context) -> DataFrame:
     campaigns = campaign.campaign_rollup(c.members, _cases(c), c.indicators)

@@ -231,7 +231,7 @@ def dns_snapshot(c: Context) -> DataFrame:
         return domains.where(cond).select(name.alias("name"), records.alias("records"), F.lit(True).alias("resolved"))
 
     empty = strings([])
-    keys = answer(F.concat(F.lit("selector1._domainkey."), F.col("from_domain")),
+    keys = answer(F.concat(F.lit("mk2._domainkey."), F.col("from_domain")),
                   F.when(n % 2 == 0, strings(["v=DKIM1; p=abc"])).otherwise(empty), n % 5 != 0)
     policies = answer(F.concat(F.lit("_dmarc."), own),
                       F.when(n % 3 == 0, strings(["other", "V=DMARC1; p=reject; sp=none; aspf=s"]))
@@ -360,7 +360,7 @@ def _(c: Context) -> DataFrame:
 
 @query("case_list", mail_with(
     """SELECT m.k, s.score, s.band, s.classification, m.acquired_at, m.subject, CASE WHEN kind = 7 THEN from_addr ELSE display || ' <' || from_addr || '>' END AS from_header
-    FROM mail m JOIN sc s ON s.k = m.k ORDER BY m.acquired_at DESC LIMIT 200"""))
+    FROM mail m JOIN sc s ON s.k = m.k ORDER BY m.acquired_at DESC LIMIT 500"""))
 def _(c: Context) -> DataFrame:
     listed = views.case_list(c.analysed, limit=500)
     return listed.select(
@@ -458,7 +458,7 @@ def _(c: Context) -> DataFrame:
 
 
 # ------------------------------------------------------------------ model inputs, reports ---
-@query("model_payloads", mail_with("""SELECT k, sha256('{"email_body":' || to_json(substr(text_body, 1, 12000)) || ',"established_facts":{"dmarc_aligned_to_claimed_identity":' || coalesce(d.ok, false) || ',"from_display":' || to_json(display)
+@query("model_payloads", mail_with("""SELECT k, sha256('{"email_body":' || to_json(text_body) || ',"established_facts":{"dmarc_aligned_to_claimed_identity":' || coalesce(d.ok, false) || ',"from_display":' || to_json(display)
     || ',"impersonation_rules_fired":[' || coalesce(i.r, '') || '],"reply_to_divergent":' || coalesce(reply_to <> from_addr, false) || '},"subject":' || to_json(subject) || '}') AS input_sha256
     FROM content c LEFT JOIN (SELECT k AS dk, bool_or(aligned) AS ok FROM auth WHERE trusted AND mechanism = 'dmarc' GROUP BY k) d ON d.dk = c.k
     LEFT JOIN (SELECT k AS ik, string_agg('"' || rule_id || '"', ',' ORDER BY rule_id) AS r FROM f0 WHERE starts_with(rule_id, 'IDENT_') GROUP BY k) i ON i.ik = c.k""", "rules"))

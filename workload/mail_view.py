@@ -47,10 +47,10 @@ SELECT *,
   substr(tag, 1, CAST(6 + camp % 9 AS INT)) AS btag,
   '45.' || CAST(camp % 200 AS STRING) || '.7.' || CAST(1 + k % 250 AS STRING) AS ip,
   CASE kind
-    WHEN 0 THEN 'northbank-corp' || CAST(camp AS STRING) || '.com'
-    WHEN 1 THEN 'ledger' || CAST(camp AS STRING) || '-pay.test'
-    WHEN 2 THEN 'review' || CAST(camp AS STRING) || '.example'
-    WHEN 3 THEN 'groupmailer' || CAST(camp AS STRING) || '.com'
+    WHEN 0 THEN 'northbank-treasury' || CAST(camp AS STRING) || '.com'
+    WHEN 1 THEN 'receivables' || CAST(camp AS STRING) || '.test'
+    WHEN 2 THEN 'theweek' || CAST(camp AS STRING) || '.example'
+    WHEN 3 THEN 'accountspace' || CAST(camp AS STRING) || '.com'
     WHEN 4 THEN 'n0rthbamk.test'
     WHEN 5 THEN 'vendor' || CAST(camp AS STRING) || '.co.uk'
     WHEN 6 THEN 'parts' || CAST(camp AS STRING) || '.com.au'
@@ -60,79 +60,76 @@ FROM b
 
 _FIELDS = """
 SELECT *,
-  CASE kind WHEN 0 THEN 'm.okafor' WHEN 1 THEN 'billing' WHEN 2 THEN 'digest' WHEN 3 THEN 'no-reply'
+  CASE kind WHEN 0 THEN 'mara' WHEN 1 THEN 'accounts' WHEN 2 THEN 'weekly' WHEN 3 THEN 'security'
     WHEN 4 THEN 'ceo.office' WHEN 5 THEN 'desk' WHEN 6 THEN 'pay' ELSE 'user' || CAST(k % 10 AS STRING)
     END || '@' || dom AS from_addr,
-  CASE kind WHEN 0 THEN 'Mara Okafor' WHEN 1 THEN 'Accounts ' || cc WHEN 2 THEN 'Quarterly Digest'
-    WHEN 3 THEN 'Reset - No Reply' WHEN 4 THEN 'The CFO office' WHEN 5 THEN 'Vendor Desk'
+  CASE kind WHEN 0 THEN 'Mara Okafor' WHEN 1 THEN 'Receivables ' || cc WHEN 2 THEN 'The Week'
+    WHEN 3 THEN 'Sign-in alerts' WHEN 4 THEN 'The CFO office' WHEN 5 THEN 'Vendor Desk'
     WHEN 6 THEN 'Pay\u200broll' ELSE '' END AS display,
-  CASE kind WHEN 0 THEN 'm.okafor@northbank-corp' || c || '.net' WHEN 1 THEN 'billing@ledger' || c || '-pay.net'
-    WHEN 2 THEN 'replies@' || dom WHEN 5 THEN 'vendor' || c || '@gmail.com' END AS reply_to,
-  CASE kind WHEN 0 THEN 'bounce-' || CAST(k AS STRING) || '@mail.' || dom
-    WHEN 1 THEN 'bounce-' || CAST(k AS STRING) || '@mail.' || dom
-    WHEN 2 THEN 'bounce@bounce.' || dom WHEN 3 THEN 'bounce@' || dom WHEN 4 THEN 'bounce@elsewhere.example'
+  CASE kind WHEN 0 THEN 'mara.okafor@mailbox' || c || '.example' WHEN 1 THEN 'statements@collect' || c || '.test'
+    WHEN 2 THEN 'editor@' || dom WHEN 5 THEN 'vendor' || c || '@gmail.com' END AS reply_to,
+  CASE kind WHEN 0 THEN 'rp' || CAST(k AS STRING) || '@out.' || dom
+    WHEN 1 THEN 'return+' || CAST(k AS STRING) || '@out.' || dom
+    WHEN 2 THEN 'w' || CAST(k AS STRING) || '@list.' || dom WHEN 3 THEN 'rp@' || dom WHEN 4 THEN 'bounce@elsewhere.example'
     WHEN 5 THEN 'bounce@bulk.co.uk' WHEN 6 THEN 'x@mail.' || dom END AS return_path,
   CASE kind
-    WHEN 0 THEN 'from IN-01.mail.protection.outlook.com (10.20.4.11) by mailgw.northbank.test (10.20.4.2) with Microsoft SMTP Server id 15.20; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':41:06 +0530'
-    WHEN 1 THEN 'from IN-01.mail.protection.outlook.com (10.20.4.11) by mailgw.northbank.test (10.20.4.2) with Microsoft SMTP Server id 15.20; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':41:06 +0530'
-    WHEN 2 THEN 'from mail-lf1.google.com (209.85.167.54) by mailgw.northbank.test (10.20.4.2) with ESMTP id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':12:14 +0530'
-    WHEN 3 THEN 'from mail-sor.google.com (209.85.220.41) by mx.google.com with SMTPS id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':14:22 -0700 (PDT)'
+    WHEN 0 THEN 'from gate3.pphosted.com (gate3.pphosted.com [172.18.5.20]) by edge.northbank.test with ESMTPS id e' || tag6 || ' (version=TLS1_2 cipher=ECDHE); ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':52:30 +0200'
+    WHEN 1 THEN 'from mx2.mimecast.com ([IPv6:2001:db8:77::9]) by edge.northbank.test with ESMTPS id e' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':20:11 +0200'
+    WHEN 2 THEN 'from bulk4.google.com ([74.125.20.' || CAST(k % 250 AS STRING) || ']) by edge.northbank.test with ESMTPS id e' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':15:40 +0200'
+    WHEN 3 THEN 'from se2.office365.com (52.100.7.' || CAST(k % 250 AS STRING) || ') by edge.northbank.test with ESMTPS id e' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':08:44 GMT'
     WHEN 4 THEN 'from relay.bad.test ([' || ip || ']) by mx.unknown.test with ESMTP id ' || tag6 || ' (version=TLS1_3 cipher=AES); ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':20:00 +0000'
     WHEN 5 THEN 'from o1.ptr.sendgrid.net (o1.ptr.sendgrid.net [167.89.12.' || CAST(k % 200 AS STRING) || ']) by mx1.northbank.test with ESMTP id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':30:05 GMT'
     WHEN 6 THEN 'from alpha.host.test (100.64.1.2) by mx.northbank.test with ESMTP id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':33:00 +0200'
     END AS r0,
   CASE kind
-    WHEN 0 THEN 'from MUM01.prod.outlook.com (2001:db8:2::17) by IN-01.mail.protection.outlook.com (2001:db8:2::4) with Microsoft SMTP Server id 15.20; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':40:58 +0530'
-    WHEN 1 THEN 'from MUM01.prod.outlook.com (2001:db8:2::17) by IN-01.mail.protection.outlook.com (2001:db8:2::4) with Microsoft SMTP Server id 15.20; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':40:58 +0530'
-    WHEN 2 THEN 'by mail-lf1.google.com with SMTP id ' || tag6 || ' for <ap@northbank.test>; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':12:10 +0530'
-    WHEN 3 THEN 'from mailer.' || dom || ' (198.51.100.140) by mail-sor.google.com with ESMTPS id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':14:19 -0700 (PDT)'
+    WHEN 0 THEN 'from smtp-out.' || dom || ' (smtp-out.' || dom || ' [' || ip || ']) by gate3.pphosted.com with ESMTP id p' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':52:21 +0200'
+    WHEN 1 THEN 'from out.' || dom || ' ([' || ip || ']) by mx2.mimecast.com with ESMTP id m' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':20:04 +0200'
+    WHEN 2 THEN 'from composer.' || dom || ' by bulk4.google.com with HTTP id g' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':15:33 +0200'
+    WHEN 3 THEN 'from portal.' || dom || ' (portal.' || dom || ' [185.33.' || CAST(camp % 200 AS STRING) || '.9]) by se2.office365.com with ESMTPSA id o' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':08:41 GMT'
     WHEN 5 THEN 'from app.' || dom || ' (app.' || dom || ' [IPv6:2001:0DB8:5::000' || substr('123456789abcdef', CAST(1 + k % 15 AS INT), 1) || ']) by o1.ptr.sendgrid.net with ESMTPSA id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':30:01 GMT'
     WHEN 6 THEN 'from beta.example (198.18.0.5) by gamma.example with SMTP id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':31:00 +0200'
     END AS r1,
-  CASE WHEN kind IN (0, 1) THEN 'from mx.' || dom || ' (' || ip || ') by MUM01.prod.outlook.com (2001:db8:2::17) with Microsoft SMTP Server id 15.20; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':40:44 +0530' END AS r2,
   CASE kind
-    WHEN 0 THEN 'from vps-' || tag6 || ' (46.' || CAST(camp % 200 AS STRING) || '.9.9) by mx.' || dom || ' (' || ip || ') with ESMTP id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh1 || ':07:31 +0530'
-    WHEN 1 THEN 'from inner-' || tag6 || ' (10.9.8.7) by mx.' || dom || ' (' || ip || ') with ESMTP id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':39:31 +0530'
-    END AS r3,
+    WHEN 0 THEN 'from desk-' || tag6 || ' (unknown [192.168.' || CAST(camp % 200 AS STRING) || '.7]) by relay9.' || dom || ' with ESMTPA id q' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh1 || ':15:00 +0200'
+    WHEN 1 THEN 'from queue.' || dom || ' (10.44.0.8) by out.' || dom || ' with LMTP id l' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':19:58 +0200'
+    END AS r2,
+  CASE kind WHEN 1 THEN 'from laptop (61.' || CAST(camp % 200 AS STRING) || '.12.4) by queue.' || dom || ' with ESMTPSA id s' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':19:40 +0200' END AS r3,
+  CASE WHEN kind = 9 THEN tag END AS r4,
   CASE kind
-    WHEN 0 THEN 'from [10.0.0.14] (unknown [10.0.0.14]) by vps-' || tag6 || ' (Postfix) with ESMTPSA id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':39:02 +0530'
-    WHEN 1 THEN 'from home (47.' || CAST(camp % 200 AS STRING) || '.3.3) by inner-' || tag6 || ' with ESMTPSA id ' || tag6 || '; ' || wd || ', ' || dd || ' Sep 2026 ' || hh || ':38:02 +0530'
-    END AS r4,
-  CASE kind
-    WHEN 0 THEN 'northbank.test; spf=pass (sender IP is ' || ip || ') smtp.mailfrom=mail.' || dom || '; dkim=pass (signature was verified) header.d=' || dom || ' header.s=selector1; dmarc=pass action=none header.from=' || dom
-    WHEN 1 THEN 'northbank.test; spf=pass (sender IP is ' || ip || ') smtp.mailfrom=mail.' || dom || '; dkim=pass (signature was verified) header.d=' || dom || ' header.s=selector1; dmarc=pass action=none header.from=' || dom
-    WHEN 2 THEN 'northbank.test; spf=pass smtp.mailfrom=bounce.' || dom || '; dkim=pass header.d=' || dom || ' header.s=k1; dmarc=pass action=none header.from=' || dom
-    WHEN 3 THEN 'mx.google.com; dkim=pass header.i=@' || dom || ' header.s=s1 header.b=Kx91; spf=pass (google.com: domain of bounce@' || dom || ') smtp.mailfrom=bounce@' || dom || '; dmarc=pass (p=REJECT) header.from=' || dom
+    WHEN 0 THEN 'northbank.test; dmarc=pass header.from=' || dom || '; dkim=pass header.d=' || dom || ' header.s=mk2; spf=pass smtp.mailfrom=out.' || dom
+    WHEN 1 THEN 'northbank.test; spf=pass smtp.mailfrom=out.' || dom || '; dkim=fail header.d=' || dom || ' header.s=mk2; dmarc=pass header.from=' || dom
+    WHEN 2 THEN 'northbank.test; dkim=pass header.d=' || dom || ' header.s=w1; dmarc=pass header.from=' || dom || '; spf=pass smtp.mailfrom=list.' || dom
+    WHEN 3 THEN 'northbank.test; spf=pass smtp.mailfrom=' || dom || '; dkim=pass header.i=@' || dom || ' header.s=n7; dmarc=pass header.from=' || dom
     WHEN 4 THEN 'mx.unknown.test; spf=neutral smtp.mailfrom=x.test'
     WHEN 5 THEN 'northbank.test; spf=softfail smtp.mailfrom=bulk.co.uk; dkim=none; dmarc=fail header.from=' || dom
-    WHEN 6 THEN 'outlook.com; spf=pass smtp.mailfrom=elsewhere.test; dkim=pass header.d=esp.test header.s=k9; dmarc=bestguesspass header.from=' || dom
+    WHEN 6 THEN 'outlook.com; spf=pass smtp.mailfrom=elsewhere.test; dkim=pass header.d=esp.test header.s=k9; arc=fail; dmarc=pass header.from=esp.test'
     END AS ar1,
-  CASE kind WHEN 0 THEN 'northbank.test; spf=pass smtp.mailfrom=northbank.test; dkim=pass header.d=northbank.test; dmarc=pass header.from=northbank.test' END AS ar2,
-  CASE kind WHEN 0 THEN 'v=1; a=rsa-sha256; d=' || dom || '; s=selector1; h=from:to:subject:date; bh=' || tag6 || '=; b=Xk9p='
-    WHEN 1 THEN 'v=1; a=rsa-sha256; d=' || dom || '; s=selector1; h=from:to:subject:date; bh=' || tag6 || '=; b=Xk9p='
-    WHEN 2 THEN 'v=1; a=rsa-sha256; d=' || dom || '; s=k1; h=to:subject; l=100; bh=' || tag6 || '=; b=Yy='
-    WHEN 3 THEN 'v=1; a=rsa-sha256; d=' || dom || '; s=s1; h=from:subject; b=Zz=' END AS dkim,
-  CASE kind WHEN 0 THEN 'Payment authorisation ' || c WHEN 1 THEN 'Outstanding invoice ' || c
-    WHEN 2 THEN 'Your digest is ready' WHEN 3 THEN 'Reset your password' WHEN 4 THEN 'Quick question'
+  CASE kind WHEN 0 THEN 'northbank.test; spf=pass smtp.mailfrom=treasury@northbank.test; dmarc=pass header.from=northbank.test' END AS ar2,
+  CASE kind WHEN 0 THEN 'v=1; a=ed25519-sha256; d=' || dom || '; s=mk2; h=subject:from:to; bh=' || tag6 || '=; b=Qq='
+    WHEN 1 THEN 'v=1; a=rsa-sha256; d=' || dom || '; s=mk2; h=subject:from:to; bh=' || tag6 || '=; b=Qr='
+    WHEN 2 THEN 'v=1; a=rsa-sha256; d=' || dom || '; s=w1; h=to:subject; l=100; bh=' || tag6 || '=; b=Yy='
+    WHEN 3 THEN 'v=1; a=rsa-sha256; d=' || dom || '; s=n7; h=from:date; b=Zz=' END AS dkim,
+  CASE kind WHEN 0 THEN 'Approval needed ' || c WHEN 1 THEN 'Overdue statement ' || c
+    WHEN 2 THEN 'This week' WHEN 3 THEN 'New device' WHEN 4 THEN 'Quick question'
     WHEN 5 THEN 'Documents ' || c WHEN 6 THEN 'Updated report' ELSE 'Note ' || CAST(k AS STRING) END AS subject,
   wd || ', ' || dd || ' Sep 2026 ' || hh || ':05:44 ' || CASE WHEN kind = 3 THEN '-0700' ELSE '+0530' END AS date_text,
-  CASE WHEN kind IN (0, 1) THEN '<' || cc || '20260902.' || tag6 || '@vps.hostwinds.test>'
-    WHEN kind IN (2, 3) THEN '<20260901' || cc || '.' || tag6 || '@' || dom || '>'
+  CASE WHEN kind IN (0, 1) THEN '<' || tag6 || '.' || cc || '20260903@node.rented.test>'
+    WHEN kind IN (2, 3) THEN '<' || cc || '/' || tag6 || '@' || dom || '>'
     ELSE '<' || cc || '-' || tag6 || '@' || dom || '>' END AS msgid,
-  CASE WHEN kind IN (0, 1) THEN 'KitMailer 6.' || CAST(camp % 40 AS STRING) END AS mailer,
+  CASE WHEN kind IN (0, 1) THEN 'PostKit/' || CAST(camp % 40 AS STRING) || '.2' END AS mailer,
   CASE kind WHEN 5 THEN 'AgentMail 1.' || c END AS agent,
-  CASE kind WHEN 2 THEN '<digest.' || dom || '>' END AS list_id,
+  CASE kind WHEN 2 THEN '<weekly.' || dom || '>' END AS list_id,
   CASE kind WHEN 6 THEN 'Second <second@parts.test>' END AS from2,
   CASE kind WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/pdf' WHEN 5 THEN 'application/zip'
     WHEN 6 THEN 'application/octet-stream' END AS att_type,
-  CASE kind WHEN 0 THEN 'Vendor_Details.pdf' WHEN 1 THEN 'Invoice_' || c || '.pdf' WHEN 5 THEN 'papers.zip'
+  CASE kind WHEN 0 THEN 'approval.pdf' WHEN 1 THEN 'statement-' || c || '.pdf' WHEN 5 THEN 'papers.zip'
     WHEN 6 THEN 'report.pdf' END AS att_name,
   CASE WHEN kind IN (0, 1) THEN 'payload of campaign ' || c WHEN kind IN (5, 6) THEN 'payload ' || CAST(k AS STRING) END AS att_payload,
   CASE kind
-    WHEN 0 THEN text || chr(10) || 'Release the payment before close today. Please do not discuss this. I am in a board meeting, do not call. Confirm in the vendor portal:' || chr(10) || 'https://' || dom || '/vendor-portal/verify?ref=' || tag6 || chr(10) || 'Amount: INR 47,80,000 by 16:00.'
-    WHEN 1 THEN text || chr(10) || 'Invoice ' || c || ' is outstanding. Updated bank details are attached.' || chr(10) || 'hxxps://' || dom || '/billing-portal/verify?ref=' || c || ', then write to ap@northbank.test'
-    WHEN 2 THEN text || chr(10) || 'Read it here: https://' || dom || '/issues/2026-09. Unsubscribe: https://' || dom || '/unsubscribe?id=' || CAST(k % 50 AS STRING)
-    WHEN 3 THEN '<html><body><p>' || text || '</p>' || chr(10) || '<p>It looks like you forgot your password.</p><p><a href="https://' || dom || '/account/reset?token=' || tag6 || '">Reset Password</a></p></body></html>'
+    WHEN 0 THEN text || chr(10) || 'Kindly wire the balance right away. This stays confidential. As CEO I approve it in writing, here:' || chr(10) || 'https://' || dom || '/approvals/login?item=' || tag6 || chr(10) || 'Total EUR 91,400.'
+    WHEN 1 THEN text || chr(10) || 'Statement ' || c || ' is past its deadline. Our new account number is enclosed.' || chr(10) || 'hxxps://' || dom || '/statement/auth?doc=' || c || ', or answer ap@northbank.test'
+    WHEN 2 THEN text || chr(10) || 'All stories: https://' || dom || '/weekly/36. Preferences: https://' || dom || '/prefs?id=' || CAST(k % 50 AS STRING)
+    WHEN 3 THEN '<html><body><div>' || text || '</div>' || chr(10) || '<div>Somebody used a new device to sign in.</div><div><a href="https://' || dom || '/account/session?id=' || tag6 || '">Review the session</a></div></body></html>'
     WHEN 4 THEN text || chr(10) || 'See http://northbank-login.example:8080/sso and http://bit[.]ly/' || tag6
     WHEN 6 THEN text || chr(10) || 'Please verify your account.'
     ELSE text END AS body
@@ -149,7 +146,7 @@ HEADERS = (
     ("From", "CASE WHEN kind = 7 THEN from_addr ELSE display || ' <' || from_addr || '>' END"),
     ("From", "from2"),
     ("Reply-To", "reply_to"),
-    ("To", "'Priya Menon <p.menon@northbank.test>'"),
+    ("To", "'Treasury Desk <treasury@northbank.test>'"),
     ("Subject", "subject"),
     ("X-Mailer", "CASE WHEN camp % 2 = 0 THEN mailer END"),
     ("Date", "date_text"),
@@ -231,9 +228,8 @@ def mail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Use every core for inputs of few splits; larger inputs are left as they are split."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Deal rows out by their first column: the tables come as one file each."""
+    return rows.repartition(rows[rows.columns[0]])
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

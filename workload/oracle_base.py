@@ -82,7 +82,7 @@ hop1 AS (SELECT k, org_id, seq, raw,
   nullif(regexp_extract(raw, '(?is)\bwith\s+([A-Za-z0-9/_.-]+)', 1), '') AS protocol,
   nullif(regexp_extract(raw, '(?is)\bid\s+([^\s;]+)', 1), '') AS queue_id,
   nullif(regexp_extract(raw, '(?is)\((version=TLS[^)]*)\)', 1), '') AS tls_info,
-  list_filter(list_transform(flatten(list_transform(regexp_extract_all(string_split_regex(raw, '(?i)\sby\s')[1], '[\[(]([^\])]{2,80})[\])]', 1),
+  list_filter(list_transform(flatten(list_transform(regexp_extract_all(string_split_regex(raw, '(?i)\sby\s')[1], '[\[(]([^\])]{2,})[\])]', 1),
       lambda c: regexp_extract_all(c, '(?i)(?:IPv6:)?([0-9a-f:.]{3,45})', 1))),
       lambda x: regexp_replace(lower(trim(x, '.:')), '(^|:)0+([0-9a-f])', '\1\2', 'g')),
     lambda x: regexp_matches(x, '__V4__') OR regexp_matches(x, '^[0-9a-f]{1,4}(:[0-9a-f]{0,4}){2,7}$'))[1] AS observed_ip,
@@ -203,10 +203,10 @@ def _rules() -> str:
     marked = f"""(SELECT u.k, u.url, x.dmarc_aligned AS al, coalesce(({registrable_sql(host_sql('u.url'))}) = ({registrable_sql('x.dom')}), false) AS own
       FROM urlp u JOIN x ON x.k = u.k JOIN (SELECT k, min(position) AS p FROM urlp WHERE position < 50 AND len(list_filter({strs(fv.CREDENTIAL_URL_MARKERS)}, lambda m: contains(lower(url), m))) > 0 GROUP BY k) f
       ON f.k = u.k AND f.p = u.position)"""
-    add(40, "URL_CREDENTIAL_LANDING", marked, "true", ref="url[:300]", severity="CASE WHEN own AND al THEN 'low' WHEN own THEN 'medium' ELSE 'high' END")
+    add(40, "URL_CREDENTIAL_LANDING", marked, "true", ref="url", severity="CASE WHEN own AND al THEN 'low' WHEN own THEN 'medium' ELSE 'high' END")
     like = f"""(SELECT u.k, u.url FROM urlp u JOIN (SELECT k, min(position) AS p FROM urlp WHERE position < 50 AND {host_sql('url')} <> {lit(p)}
       AND contains({host_sql('url')}, {lit(p.split('.')[0])}) GROUP BY k) f ON f.k = u.k AND f.p = u.position)"""
-    add(41, "URL_LOOKALIKE_HOST", like, "true", ref="url[:300]", title=lit(f"Link host imitates a protected domain ({p})"))
+    add(41, "URL_LOOKALIKE_HOST", like, "true", ref="url", title=lit(f"Link host imitates a protected domain ({p})"))
     add(50, "ATTACH_TYPE_MISMATCH", full, "kind = 6", ref="sha256(att_payload)", title="'Attachment extension disagrees with its declared type: ' || att_name")
     add(50, "ATTACH_ARCHIVE", full, "kind = 5", ref="sha256(att_payload)", title="'Archive attachment: ' || att_name")
     add(50, "ATTACH_PRESENT", full, "kind IN (0, 1)", ref="sha256(att_payload)", title="'Attachment: ' || att_name")
