@@ -66,7 +66,13 @@ def test_hub_values_do_not_link(spark):
     assert hop == {("9.9.9.9", "c2")}
     loose = {(r.normalised, r.other_case) for r in graph.second_hop(roots, table, match_type=False).collect()}
     assert loose == {("9.9.9.9", "c2"), ("9.9.9.9", "c3")}
-    edges = graph.graph_edges(table, spark.createDataFrame([], "case_id string, campaign_id string, dna_score double")).where("edge_type = 'shares'")
+    edges = graph.graph_edges(table, spark.createDataFrame([], "org_id string, case_id string, campaign_id string, dna_score double")).where("edge_type = 'shares'")
     assert edges.count() == 2
+    tenants = table.unionByName(table.where("case_id = 'c1'").withColumns({"org_id": F.lit("p"), "case_id": F.lit("d1"), "value": F.lit("9.9.9.9 seen by p")}))
+    cases = spark.createDataFrame([("o", "c1", "C1", 5, "benign"), ("p", "d1", "D1", 7, "benign")], "org_id string, case_id string, case_ref string, score int, band string")
+    none = spark.createDataFrame([], "org_id string, campaign_id string, name string, member_count long")
+    nodes = {(r.org_id, r.node_id): r.label for r in graph.graph_nodes(cases, tenants, none).collect()}
+    assert nodes["o", "ip:9.9.9.9"] == "9.9.9.9" and nodes["p", "ip:9.9.9.9"] == "9.9.9.9 seen by p"
+    assert {r.org_id for r in graph.graph_edges(tenants, spark.createDataFrame([], "org_id string, case_id string, campaign_id string, dna_score double")).where("target = 'ip:9.9.9.9' AND edge_type = 'shares'").collect()} == {"o"}
     idf = {r.normalised: r.df for r in indicators.indicator_idf(table).collect()}
     assert idf == {"gmail.com": 2, "9.9.9.9": 3}

@@ -158,7 +158,7 @@ def _(c: Context) -> DataFrame:
 
 def _cases(c: Context) -> DataFrame:
     return c.analysed.select(
-        "org_id", "case_id", "k", "score", F.col("acquired_at").alias("created_at"),
+        "org_id", "case_id", "k", "score", "band", F.col("acquired_at").alias("created_at"),
         F.concat(F.lit("CASE-"), "k").alias("case_ref"))
 
 
@@ -214,22 +214,41 @@ def _(c: Context) -> DataFrame:
 
 # ------------------------------------------------------------------ graph ---
 @query("graph_nodes", mail_with(
-    f"""{_COMPONENTS} {IND}, camps AS (SELECT root, any_value(m.org_id) AS org_id, min(m.acquired_at) AS first_seen FROM comp c JOIN mail m ON m.k = c.k GROUP BY root)
-    SELECT 'case' AS kind, 'CASE-' || k AS label, false AS hub FROM mail UNION ALL SELECT type, min(value), list_contains({strs(fv.HUB_VALUES)}, normalised) FROM ind GROUP BY type, normalised
-    UNION ALL SELECT 'campaign', 'CAMPAIGN-2026-' || lpad(CAST(row_number() OVER (PARTITION BY org_id ORDER BY first_seen, root) AS VARCHAR), 3, '0'), false FROM camps""", "rules"))
+    f"""{_COMPONENTS} {IND}, camps AS (SELECT root, any_value(m.org_id) AS org_id, min(m.acquired_at) AS first_seen, count(*) AS n FROM comp c JOIN mail m ON m.k = c.k GROUP BY root)
+    SELECT m.org_id, 'case' AS kind, 'CASE-' || m.k AS label, false AS hub, s.score, s.band, CAST(NULL AS BIGINT) AS member_count FROM mail m JOIN sc s ON s.k = m.k
+    UNION ALL SELECT org_id, type, min(value), list_contains({strs(fv.HUB_VALUES)}, normalised), NULL, NULL, NULL FROM ind GROUP BY org_id, type, normalised
+    UNION ALL SELECT org_id, 'campaign', 'CAMPAIGN-2026-' || lpad(CAST(row_number() OVER (PARTITION BY org_id ORDER BY first_seen, root) AS VARCHAR), 3, '0'), false, NULL, NULL, n FROM camps"""))
 def _(c: Context) -> DataFrame:
     campaigns = campaign.campaign_rollup(c.members, _cases(c), c.indicators)
-    return graph.graph_nodes(_cases(c), c.indicators, campaigns).select("kind", "label", "hub")
+    return graph.graph_nodes(_cases(c), c.indicators, campaigns).drop("node_id")
+
+
+def _rooted_members(c: Context) -> DataFrame:
+    """Members with their campaign named by its first message."""
+    members = _numbered(c, c.members.select("org_id", "campaign_id", "case_id", "dna_score").withColumn("case", F.col("case_id")), "case_id")
+    roots = members.groupBy("campaign_id").agg(F.min("case_id_k").cast("string").alias("root"))
+    return members.join(roots, "campaign_id").select("org_id", F.col("root").alias("campaign_id"), F.col("case").alias("case_id"), "dna_score")
 
 
 @query("graph_edges", mail_with(
-    f"""{IND}, e AS (SELECT k, type || ':' || normalised AS target, 'contains' AS edge_type FROM ind UNION ALL
-      SELECT i.k, i.type || ':' || i.normalised, 'shares' FROM ind i JOIN (SELECT org_id, type, normalised FROM ind GROUP BY ALL HAVING count(DISTINCT k) > 1) p ON p.org_id = i.org_id AND p.type = i.type AND p.normalised = i.normalised
-      WHERE NOT list_contains({strs(fv.HUB_VALUES)}, i.normalised)) SELECT k, target, edge_type FROM e""", "content"))
+    f"""{_COMPONENTS} {IND}, e AS (SELECT org_id, k, type || ':' || normalised AS target, 'contains' AS edge_type, CAST(NULL AS DOUBLE) AS weight FROM ind UNION ALL
+      SELECT i.org_id, i.k, i.type || ':' || i.normalised, 'shares', NULL FROM ind i JOIN (SELECT org_id, type, normalised FROM ind GROUP BY ALL HAVING count(DISTINCT k) > 1) p ON p.org_id = i.org_id AND p.type = i.type AND p.normalised = i.normalised
+      WHERE NOT list_contains({strs(fv.HUB_VALUES)}, i.normalised) UNION ALL
+      SELECT m.org_id, c.k, 'campaign:' || c.root, 'member_of', max(l.score) FROM comp c JOIN mail m ON m.k = c.k JOIN (SELECT a, b, score FROM lk UNION ALL SELECT b, a, score FROM lk) l ON l.a = c.k GROUP BY m.org_id, c.k, c.root)
+    SELECT org_id, k, target, edge_type, weight FROM e""", "rules"))
+def _(c: Context) -> DataFrame:
+    edges = graph.graph_edges(c.indicators, _rooted_members(c)).select(
+        "org_id", F.substring_index("source", ":", -1).alias("case_id"), "target", "edge_type", "weight")
+    return _numbered(c, edges, "case_id").withColumnRenamed("case_id_k", "k")
+
+
+@query("second_hop", mail_with(
+    f"""{IND}, u AS (SELECT DISTINCT org_id, k, type, normalised FROM ind WHERE NOT list_contains({strs(fv.HUB_VALUES)}, normalised))
+    SELECT x.org_id, x.k AS root, x.type, x.normalised, y.k AS other FROM u x JOIN u y ON y.org_id = x.org_id AND y.type = x.type AND y.normalised = x.normalised AND y.k <> x.k WHERE x.k % 100 = 0""", "content"))
 def _(c: Context) -> DataFrame:
-    edges = graph.graph_edges(c.indicators, c.members).where("edge_type <> 'member_of'").select(
-        F.substring_index("source", ":", -1).alias("case_id"), "target", "edge_type")
-    return _numbered(c, edges, "case_id").select(F.col("case_id_k").alias("k"), "target", "edge_type")
+    roots = c.analysed.filter("k % 100 = 0").select("org_id", "case_id")
+    found = _numbered(c, graph.second_hop(roots, c.indicators), "root_case", "other_case")
+    return found.select("org_id", F.col("root_case_k").alias("root"), "type", "normalised", F.col("other_case_k").alias("other"))
 
 
 @query("timeline", mail_with(
