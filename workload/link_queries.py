@@ -193,11 +193,12 @@ def _(c: Context) -> DataFrame:
 
 
 @query("link_evidence", mail_with(
-    f"""{_PAIRS} {IND}, shr AS (SELECT l.a, l.b, count(DISTINCT x.normalised) AS shared_count, array_to_string(list_sort(list(DISTINCT x.normalised)), ' ') AS shared FROM lk l JOIN ind x ON x.k = l.a JOIN ind y ON y.k = l.b AND y.normalised = x.normalised
-      JOIN idf f ON f.org_id = l.org_id AND f.normalised = x.normalised AND f.idf >= 1.0 GROUP BY l.a, l.b),
-    r AS (SELECT l.*, coalesce(s.shared_count, 0) AS shared_count, coalesce(s.shared, '') AS shared, greatest(si, sd, sn, sm, sc_, sp) AS top FROM lk l LEFT JOIN shr s ON s.a = l.a AND s.b = l.b)
+    f"""{_PAIRS} {IND}, lkm AS MATERIALIZED (SELECT * FROM lk), good AS MATERIALIZED (SELECT DISTINCT i.org_id, i.k, i.normalised FROM ind i JOIN idf f ON f.org_id = i.org_id AND f.normalised = i.normalised WHERE f.idf >= 1.0),
+    shr AS (SELECT l.a, l.b, count(*) AS shared_count, array_to_string(list_sort(list(x.normalised)), ' ') AS shared FROM lkm l JOIN good x ON x.k = l.a JOIN good y ON y.k = l.b AND y.normalised = x.normalised GROUP BY l.a, l.b),
+    r AS (SELECT l.*, coalesce(s.shared_count, 0) AS shared_count, coalesce(s.shared, '') AS shared, greatest(si, sd, sn, sm, sc_, sp) AS top FROM lkm l LEFT JOIN shr s ON s.a = l.a AND s.b = l.b)
     SELECT a, b, shared_count, shared, CASE WHEN si = top THEN {lit(fv.LOCUS_REASONS['i'])} WHEN sd = top THEN {lit(fv.LOCUS_REASONS['d'])} WHEN sn = top THEN {lit(fv.LOCUS_REASONS['n'])} WHEN sm = top THEN {lit(fv.LOCUS_REASONS['m'])}
-      WHEN sc_ = top THEN {lit(fv.LOCUS_REASONS['c'])} ELSE {lit(fv.LOCUS_REASONS['p'])} END AS reason FROM r""", "rules"))
+      WHEN sc_ = top THEN {lit(fv.LOCUS_REASONS['c'])} ELSE {lit(fv.LOCUS_REASONS['p'])} END || ' (' || CAST(round(CAST(top AS DECIMAL(6, 4)), 2) AS DECIMAL(4, 2)) || ')'
+      || CASE WHEN shared_count > 0 THEN '; ' || shared_count || ' discriminative indicator(s) in common' ELSE '' END AS reason FROM r""", "rules"))
 def _(c: Context) -> DataFrame:
     _, links = c.links
     pairs = linkage.case_links(c.dna, links)
@@ -206,10 +207,9 @@ def _(c: Context) -> DataFrame:
     reasons = joined.select(
         "case_id", "other_case", F.coalesce("shared_count", F.lit(0)).alias("shared_count"),
         F.coalesce(F.array_join("shared_indicators", " "), F.lit("")).alias("shared"),
-        F.substring_index(linkage.link_reason(F.lit(0)), " (0.", 1).alias("r"))
+        linkage.link_reason(F.col("shared_count")).alias("reason"))
     return _numbered(c, reasons, "case_id", "other_case").where("case_id_k < other_case_k").select(
-        F.col("case_id_k").alias("a"), F.col("other_case_k").alias("b"), "shared_count", "shared",
-        F.regexp_replace("r", r" \(1\.00\)$", "").alias("reason"))
+        F.col("case_id_k").alias("a"), F.col("other_case_k").alias("b"), "shared_count", "shared", "reason")
 
 
 # ------------------------------------------------------------------ graph ---
