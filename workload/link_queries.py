@@ -331,9 +331,39 @@ def _(c: Context) -> DataFrame:
     return _numbered(c, events, "case_id").select(F.col("case_id_k").alias("k"), "ord", "action", "payload_hash")
 
 
-@query("case_documents")
+@query("case_documents", mail_with(
+    f"""{_COMPONENTS}, best AS (SELECT c.k, max(l.score) AS dna_score FROM comp c JOIN (SELECT a, b, score FROM lk UNION ALL SELECT b, a, score FROM lk) l ON l.a = c.k GROUP BY c.k)
+    SELECT m.k, s.score, s.band, s.classification, sha256(m.raw) AS artifact, CAST(strlen(m.raw) AS BIGINT) AS artifact_bytes, m.subject,
+      coalesce((SELECT string_agg(coalesce(h.by_host, '-') || '/' || h.role || '/' || h.trust_state, ' ' ORDER BY h.seq) FROM hop3 h WHERE h.k = m.k), '') AS hops,
+      o.feos_ip, CAST(o.confidence AS BIGINT) AS confidence,
+      coalesce((SELECT string_agg(a.mechanism || '=' || a.result_reported, ' ' ORDER BY a.mechanism || '=' || a.result_reported) FROM auth a WHERE a.k = m.k AND a.trusted), '') AS auth,
+      coalesce((SELECT string_agg(f.rule_id || ':' || f.severity, ' ' ORDER BY f.rule_id || ':' || f.severity) FROM fnd f WHERE f.k = m.k), '') AS findings,
+      coalesce((SELECT string_agg(DISTINCT f.mitre_technique, ' ' ORDER BY f.mitre_technique) FROM fnd f WHERE f.k = m.k), '') AS mitre,
+      b.dna_score, 'acquired parsed auth_evaluated origin_reconstructed scored' AS events
+    FROM mail m JOIN sc s ON s.k = m.k JOIN orig o ON o.k = m.k LEFT JOIN best b ON b.k = m.k"""))
 def _(c: Context) -> DataFrame:
     chain = evidence.build_chain(evidence.stage_events(c.analysed))
-    return report.case_documents(c.analysed, chain, c.members).select("case_id", "sha256", "size_bytes")
+    documents = _numbered(c, report.case_documents(c.analysed, chain, c.members), "case_id")
+    read = F.from_json("document", _DOCUMENT)
+    d = documents.select(F.col("case_id_k").alias("k"), read.alias("d"))
+    listed = lambda items: F.array_join(F.array_sort(items), " ")
+    return d.select(
+        "k", "d.case.score", "d.case.band", "d.case.classification", F.col("d.artifact.sha256").alias("artifact"),
+        F.col("d.artifact.size_bytes").alias("artifact_bytes"), F.col("d.headers")["subject"].alias("subject"),
+        F.array_join(F.transform("d.hops", lambda h: F.concat_ws("/", F.coalesce(h["by_host"], F.lit("-")), h["role"], h["trust_state"])), " ").alias("hops"),
+        F.col("d.origin.feos_ip").alias("feos_ip"), F.col("d.origin.origin_confidence").alias("confidence"),
+        listed(F.transform("d.auth", lambda a: F.concat_ws("=", a["mechanism"], a["result_reported"]))).alias("auth"),
+        listed(F.transform("d.findings", lambda f: F.concat_ws(":", f["rule_id"], f["severity"]))).alias("findings"),
+        F.array_join("d.mitre", " ").alias("mitre"), F.col("d.campaign.dna_score").alias("dna_score"),
+        F.array_join(F.transform("d.events", lambda e: e["action"]), " ").alias("events"))
+
+
+#: The parts of a case document that its check reads back.
+_DOCUMENT = (
+    "case struct<score:long,band:string,classification:string>, artifact struct<sha256:string,size_bytes:long>, headers map<string,string>, "
+    "hops array<struct<by_host:string,role:string,trust_state:string>>, origin struct<feos_ip:string,origin_confidence:long>, "
+    "auth array<struct<mechanism:string,result_reported:string>>, findings array<struct<rule_id:string,severity:string>>, mitre array<string>, "
+    "campaign struct<dna_score:double>, events array<struct<action:string>>"
+)
 
 
