@@ -8,6 +8,7 @@ words this way, and documents that fail the base rules, are rejected.
 Copies of one document are one document here: documents that hold a line are told apart by the
 least hash among their other lines, which copies share and unrelated documents do not. So a popular
 clean document does not make its own lines boilerplate; copies are the business of deduplication.
+Pages that share a part of their lines count in proportion to what they do not share.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host
 of its own; repeated rows get equal verdicts; an empty table gives an empty result; other columns
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relaytrail.llm.common import SPACE, identity, text_of, wrapped
+from relaytrail.llm.common import SPACE, durable_table, identity, text_of, wrapped
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -89,25 +90,35 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         *identity(id_col, host_col, text_col),
     )
     bare = F.translate("text", SPACE, "")
+
+    def counted(words: Column) -> Column:
+        n = F.when(F.get(words, F.lit(0)) == "", 0).otherwise(F.size(words)).cast("long")
+        return F.struct(n.alias("n_words"), repeated_words(words).alias("n_repeat_words"))
+
+    rows = rows.withColumn("counted", bound(word_array(F.col("text")), counted))
     return rows.select(
-        "doc_id", "host", "_u1", "_u2",
-        n_words_of(F.col("text")).alias("n_words"),
+        "doc_id", "host", "_u1", "_u2", "counted.n_words",
         F.char_length(bare).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bound(worded_lines(F.col("text")), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-        repeated_words(word_array(F.col("text"))).alias("n_repeat_words"),
+        "counted.n_repeat_words",
     )
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(u1, u2, host, line, words, other) of every distinct normalised line of every document."""
-    hashed = F.transform(worded_lines(text_of(text_col)), lambda line: F.struct(F.xxhash64(normal_line(line)).alias("line"), n_words_of(line).alias("words")))
-    lines = docs.select(F.col(host_col).alias("host"), *identity(id_col, host_col, text_col), hashed.alias("lines"))
+    """(host, u1, u2, place, line, words, other) of every line with a word of every document."""
+
+    def hashed(norm: Column) -> Column:
+        words = F.char_length(norm) - F.char_length(F.translate(norm, " ", "")) + 1
+        return F.struct(F.xxhash64(norm).alias("line"), words.alias("words"))
+
+    lines = F.transform(worded_lines(text_of(text_col)), lambda line: bound(normal_line(line), hashed))
+    rows = docs.select(F.col(host_col).alias("host"), *identity(id_col, host_col, text_col), lines.alias("lines"))
     least = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"])))
-    lines = lines.withColumn("least", F.slice(least, 1, 2)).select("host", "_u1", "_u2", "least", F.explode("lines").alias("x"))
+    rows = rows.withColumn("least", F.slice(least, 1, 2)).select("host", "_u1", "_u2", "least", F.posexplode("lines").alias("place", "x"))
     first, second = F.get("least", F.lit(0)), F.coalesce(F.get("least", F.lit(1)), F.lit(0))
-    return lines.select(
-        "host", "_u1", "_u2", F.col("x.line").alias("line"), F.col("x.words").alias("words"),
+    return rows.select(
+        "host", "_u1", "_u2", "place", F.col("x.line").alias("line"), F.col("x.words").alias("words"),
         F.when(F.col("x.line") == first, second).otherwise(first).alias("other"),
     )
 
@@ -130,18 +141,16 @@ def quality_rules(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")),
     )
-    lines = line_rows(docs, id_col, text_col, host_col)
+    lines = durable_table(line_rows(docs, id_col, text_col, host_col), "lines")
     frequent = boilerplate(lines, max_documents).withColumnRenamed("line", "f_line").withColumnRenamed("host", "f_host")
     removed = (
         lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line")))
-        # the occurrences of a line in its document add up; a repeated row's are counted per row
-        .groupBy("_u1", "_u2", "line").agg(F.sum("words").alias("words"))
-        .groupBy("_u1", "_u2").agg(F.sum("words").alias("words"), F.collect_list("line").alias("removed_lines"))
+        # repeated rows bring the same places of the same text: each counts once
+        .groupBy("_u1", "_u2", "place").agg(F.max("words").alias("words"), F.max("line").alias("line"))
+        .groupBy("_u1", "_u2").agg(F.sum("words").alias("words"), F.collect_set("line").alias("removed_lines"))
     )
-    rows_alike = measured.groupBy("_u1", "_u2").agg(F.count(F.lit(1)).alias("alike")).filter("alike > 1")
-    verdict = measured.join(removed, ["_u1", "_u2"], "left").join(rows_alike, ["_u1", "_u2"], "left")
-    removed_words = F.coalesce(F.col("words") / F.coalesce("alike", F.lit(1)), F.lit(0)).cast("long")
-    return verdict.select(
+    removed_words = F.coalesce(F.col("words"), F.lit(0)).cast("long")
+    return measured.join(removed, ["_u1", "_u2"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         removed_words.alias("removed_words"), "removed_lines",
         (~F.col("base_failed") & (removed_words <= max_removed * F.col("n_words"))).alias("kept"), "_u1", "_u2",
