@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 from functools import wraps
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,3 +64,13 @@ def map_lookup(mapping: dict, key: Column) -> Column:
     """Value of a small fixed mapping, NULL for keys it lacks."""
     kind = {str: "string", int: "int", float: "double"}[type(next(iter(mapping.values())))]
     return F.try_element_at(constant(mapping, f"map<string,{kind}>"), key)
+
+
+def spread_nulls(rows: DataFrame, key: Column) -> Column:
+    """A join key whose NULLs become many values that match nothing.
+
+    A left join keeps all rows without a key; under one NULL they would all meet in one task. Only
+    rows without a key pay for the hash.
+    """
+    hashed = [F.col(f"`{name}`") for name, kind in rows.dtypes if "map<" not in kind]
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*hashed), F.lit(4096)).cast("string")))

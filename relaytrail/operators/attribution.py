@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relaytrail import fixed_values as fv
-from relaytrail.functions.core import constant
+from relaytrail.functions.core import constant, spread_nulls
 from relaytrail.functions.net import (
     hex_prefix, ip_canonical, ip_class, ip_hex, ip_version, is_documentation_range, trim_dots,
 )
@@ -86,7 +86,7 @@ def enrich_hops(hops: DataFrame, prefixes: DataFrame) -> DataFrame:
         keyed.where(F.col("_peer").isNotNull()), prefixes, "_peer"
     ).where(F.col("geo_source") != "unavailable")
     info = networks.select(F.col("ip").alias("_peer"), "asn", "asn_org", "country", "net_type")
-    return keyed.join(info, "_peer", "left").drop("_peer")
+    return keyed.withColumn("_peer", spread_nulls(hops, F.col("_peer"))).join(info, "_peer", "left").drop("_peer")
 
 
 def enrich_origin(origins: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -95,14 +95,15 @@ def enrich_origin(origins: DataFrame, prefixes: DataFrame) -> DataFrame:
         origins.where(F.col("feos_ip").isNotNull()), prefixes, "feos_ip"
     ).where(F.col("geo_source") != "unavailable")
     info = networks.select(
-        F.col("ip").alias("feos_ip"),
+        F.col("ip").alias("_sender"),
         F.col("asn").alias("feos_asn"),
         F.col("asn_org").alias("feos_org"),
         F.col("country").alias("feos_country"),
         "net_type",
         F.col("geo_source").alias("geo_dataset"),
     )
-    return origins.join(info, "feos_ip", "left").withColumn(
+    keyed = origins.withColumn("_sender", spread_nulls(origins, F.col("feos_ip")))
+    return keyed.join(info, "_sender", "left").drop("_sender").withColumn(
         "geo_available", F.col("geo_dataset").isNotNull()
     )
 
@@ -130,7 +131,8 @@ def with_registrable_domain(
         ).alias("name"),
     ).join(suffixes.select("suffix").distinct(), "suffix")
     best = listed.groupBy("_d").agg(F.min_by("name", "at").alias("_listed"))
-    joined = rows.join(best, rows[domain] == best["_d"], "left")
+    keyed = rows.withColumn("_key", spread_nulls(rows, F.col(domain)))
+    joined = keyed.join(best, keyed["_key"] == best["_d"], "left")
     clean = F.lower(trim_dots(F.col(domain)))
     fallback = F.when(clean.contains("."), F.substring_index(clean, ".", -2)).otherwise(
         F.lower(F.col(domain))

@@ -221,7 +221,8 @@ def tooling_keys(forms: DataFrame) -> DataFrame:
     keys = F.array_compact(
         F.array(
             F.concat(F.lit("mailer:"), F.col(m + "x_mailer")),
-            F.concat(F.lit("msgid:"), F.col(m + "message_id_template")),
+            # an empty template equals none
+            F.concat(F.lit("msgid:"), F.nullif(F.col(m + "message_id_template"), F.lit(""))),
             F.concat(
                 F.lit("shape:"), F.col(m + "boundary_shape"), F.lit("|"),
                 F.col(m + "header_order_hash"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from relaytrail.config import AnalysisConfig
 from relaytrail.operators.auth import auth_rows
-from relaytrail.operators.evidence import build_chain, stage_events
+from relaytrail.operators.durable import durable_table
+from relaytrail.operators.evidence import stage_chain
 from relaytrail.operators.fingerprint import fingerprint
 from relaytrail.operators.hops import hop_rows
 from relaytrail.operators.indicators import message_indicators
@@ -61,9 +62,7 @@ def case_tables(analysed: DataFrame) -> dict[str, DataFrame]:
         "findings": finding_rows(analysed, *KEYS),
         "indicators": message_indicators(analysed, *KEYS),
         "dna_fingerprints": fingerprint(analysed, *KEYS),
-        "evidence_events": build_chain(stage_events(analysed)).join(
-            analysed.select("case_id", "ingest_date"), "case_id"
-        ),
+        "evidence_events": stage_chain(analysed, "ingest_date"),
     }
 
 
@@ -85,11 +84,10 @@ def ingest_batch(
         "ingest_date", F.to_date("acquired_at")
     )
     refs = spark.createDataFrame([], "org_id string, case_ref string") if known is None else known
-    staged = f"{root}/_staged"
-    analyse_messages(fresh, config, org_config).write.mode("overwrite").parquet(staged)
-    analysed = spark.read.parquet(staged)
+    # each batch stages under a name of its own, and numbers its cases once
+    analysed = durable_table(analyse_messages(fresh, config, org_config), "staged")
     numbers = next_case_refs(analysed.select("org_id", "case_id", "acquired_at"), refs)
-    numbered = analysed.join(numbers.select("case_id", "case_ref"), "case_id")
+    numbered = analysed.join(durable_table(numbers.select("case_id", "case_ref"), "case_numbers"), "case_id")
     tables = case_tables(numbered)
     for name in [n for n in tables if n != "cases"] + ["cases"]:
         rows = tables[name]

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relaytrail import fixed_values as fv
+from relaytrail.functions.core import spread_nulls
 from relaytrail.operators import attribution, narrative, verify
 from relaytrail.operators.durable import durable_table
 from relaytrail.operators.fingerprint import fingerprint
@@ -159,6 +160,15 @@ def test_attribution_prefers_the_longest_prefix(spark):
     assert got["2001:db8::9"].asn_org == "Docs6"
 
 
+def test_rows_without_a_peer_do_not_share_a_key(spark):
+    hops = spark.createDataFrame([(i, "8.8.8.8" if i % 10 == 0 else None, "public" if i % 10 == 0 else "unknown") for i in range(500)], "k int, observed_ip string, ip_class string")
+    prefixes = tables.prepare_prefixes(spark.createDataFrame([("8.8.8.0/24", "15169", "Narrow", "US", "dc", "")], tables.PREFIX_SCHEMA))
+    got = attribution.enrich_hops(hops, prefixes).collect()
+    assert len(got) == 500 and all(r.asn == (15169 if r.k % 10 == 0 else None) for r in got)
+    keys = hops.select(spread_nulls(hops, F.col("observed_ip")).alias("x")).groupBy("x").count()
+    assert keys.agg(F.max("count")).first()[0] == 50 and keys.count() > 300
+
+
 def test_expired_dkim_key_is_indeterminate(spark):
     snapshot = spark.createDataFrame([("s1._domainkey.a.test", ["v=DKIM1; p=x"], True)], "name string, records array<string>, resolved boolean")
     mail = {

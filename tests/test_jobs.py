@@ -2,7 +2,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from relaytrail.operators.evidence import build_chain, stage_events
+from relaytrail.operators.evidence import build_chain, stage_chain, stage_events
 from relaytrail.operators.numbering import next_case_refs
 from relaytrail.plans.analyse import analyse_messages
 from relaytrail.plans.ingest import ingest_batch
@@ -64,6 +64,15 @@ def test_stream_gives_the_batch_result(spark):
     assert streamed == sorted(map(tuple, batch.collect()))
 
 
+def test_stages_link_in_the_row_as_in_a_chain(spark):
+    analysed = analyse_messages(accepted(acquire(raw_frame(spark))))
+    columns = ("org_id", "case_id", "ts_utc", "actor", "action", "payload_hash", "seq", "prev_hash", "entry_hash")
+    linked = stage_chain(analysed)
+    assert "MapInArrow" not in linked._jdf.queryExecution().toString()
+    got = sorted(map(str, linked.select(*columns).collect()))
+    assert got == sorted(map(str, build_chain(stage_events(analysed)).select(*columns).collect()))
+
+
 def test_streamed_chain_equals_the_batch_chain(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     events = stage_events(analyse_messages(accepted(acquire(raw_frame(spark)))))
