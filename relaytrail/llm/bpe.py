@@ -28,29 +28,30 @@ from relaytrail.llm.common import small_batches
 from relaytrail.llm.pieces import PieceEncoder
 
 #: Bytes of text, bytes of new pieces, and tokens to decode that one query takes.
-GROUP_BYTES, WORD_BYTES, DECODE_TOKENS = 8 << 20, 2 << 20, 400_000
+GROUP_BYTES, WORD_BYTES, DECODE_TOKENS = 6 << 20, 1 << 20, 400_000
 #: Pieces above this many bytes contract several pairs a round.
 LONG = 64
 #: Rows of all rounds that one recursive query may keep; the next one goes on from its last round.
 KEPT_ROWS = 4_000_000
-DUCKDB = {"threads": 1, "memory_limit": "400MB"}
+DUCKDB = {"threads": 1, "memory_limit": "256MB"}
 
+# word and position in one number, position in its low byte; rounds end by themselves (LONG at most)
 _SHORT_SQL = """
 WITH RECURSIVE steps AS (
-  SELECT 0 AS round, word, pos, tok FROM start
+  SELECT 0 AS round, place, tok FROM start
   UNION ALL
-  SELECT s.round + 1, s.word, (s.pos - (s.pos > b.at)::INT)::INT, CASE WHEN s.pos = b.at THEN b.rank ELSE s.tok END
+  SELECT s.round + 1, s.place - (s.place > b.place)::INT, CASE WHEN s.place = b.place THEN b.rank ELSE s.tok END
   FROM steps s JOIN (
-    SELECT x.word, (min((m.rank::BIGINT << 32) | x.pos) & 4294967295)::INT AS at,
-           (min((m.rank::BIGINT << 32) | x.pos) >> 32)::INT AS rank
-    FROM steps x JOIN steps y ON x.word = y.word AND y.pos = x.pos + 1
-    JOIN merges m ON m.l = x.tok AND m.r = y.tok
-    GROUP BY x.word
-  ) b ON s.word = b.word
-  WHERE s.pos <> b.at + 1 AND s.round < $rounds
+    SELECT x.place >> 8 AS word, ((x.place >> 8) << 8) | (min((m.rank::BIGINT << 8) | (x.place & 255)) & 255) AS place,
+           (min((m.rank::BIGINT << 8) | (x.place & 255)) >> 8)::INT AS rank
+    FROM steps x JOIN steps y ON y.place = x.place + 1
+    JOIN pairs m ON m.pair = (x.tok::BIGINT << 32) | y.tok
+    GROUP BY x.place >> 8
+  ) b ON s.place >> 8 = b.word
+  WHERE s.place <> b.place + 1
 )
-SELECT word, pos, tok, round FROM steps JOIN (SELECT word, max(round) AS round FROM steps GROUP BY word) USING (word, round)
-ORDER BY word, pos
+SELECT place, tok FROM steps JOIN (SELECT place >> 8 AS word, max(round) AS round FROM steps GROUP BY place >> 8) last
+  ON last.word = steps.place >> 8 AND last.round = steps.round
 """
 
 _LONG_SQL = """
@@ -115,6 +116,7 @@ class Codec:
                     rank.append(r)
         self.db = duckdb.connect(config=DUCKDB)
         self._table("merges", pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())}))
+        self.db.execute("CREATE TABLE pairs AS SELECT (l::BIGINT << 32) | r AS pair, rank FROM merges")
         self._table("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.encoder = PieceEncoder(pattern, self.merge_pieces)
@@ -147,19 +149,31 @@ class Codec:
         tokens = self.bytes[np.frombuffer(b"".join(raw[i] for i in group), np.uint8)]
         words = np.repeat(np.arange(len(group), dtype=np.int32), lengths)
         places = (np.arange(len(tokens)) - np.repeat(lengths.cumsum() - lengths, lengths)).astype(np.int32)
+        if not long:
+            self.db.register("start", pa.table({"place": (words.astype(np.int64) << 8) | places, "tok": tokens}))
+            got = self.db.execute(_SHORT_SQL).fetchnumpy()
+            self.db.unregister("start")
+            order = np.argsort(got["place"])
+            self._give(got["place"][order] >> 8, got["tok"][order], group, out)
+            return
         while len(words):
-            rounds = max(4, KEPT_ROWS // len(words)) if long else max(LONG, 1)
+            rounds = max(4, KEPT_ROWS // len(words))
             self.db.register("start", pa.table({"word": words, "pos": places, "tok": tokens}))
-            got = self.db.execute(_LONG_SQL if long else _SHORT_SQL, {"rounds": rounds}).fetchnumpy()
+            got = self.db.execute(_LONG_SQL, {"rounds": rounds}).fetchnumpy()
             self.db.unregister("start")
             done = got["round"] < rounds  # the others may have pairs left
-            cuts = np.flatnonzero(np.diff(got["word"][done])) + 1
-            packed = got["tok"][done].astype("<u4")
-            heads = got["word"][done][np.r_[0, cuts]] if done.any() else ()
-            for word, ids in zip(heads, np.split(packed, cuts)):
-                out[group[word]] = ids.tobytes()
+            self._give(got["word"][done], got["tok"][done], group, out)
             words, places, tokens = (np.ascontiguousarray(got[c][~done]) for c in ("word", "pos", "tok"))
 
+    @staticmethod
+    def _give(word: np.ndarray, tokens: np.ndarray, group: list[int], out: list[bytes]) -> None:
+        """Pack the tokens of each word, which stand together and in order."""
+        packed = tokens.astype("<u4").tobytes()
+        heads = np.flatnonzero(np.diff(word, prepend=-1))
+        ends = (4 * np.r_[heads[1:], len(word)]).tolist()
+        for w, a, b in zip(word[heads].tolist(), (4 * heads).tolist(), ends):
+            out[group[w]] = packed[a:b]
+
     def decode(self, packed: list[bytes]) -> list[bytes]:
         """Bytes of each packed id sequence; a long one is cut into parts that are decoded in order."""
         out = [bytearray() for _ in packed]
@@ -260,4 +274,18 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path, pattern)
+    """(doc_id, ids, decoded): both steps in one worker, which holds one connection for them."""
+    small_batches(docs.sparkSession, rows=256)
+    ranks_file = read_ranks(ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(ranks_file, pattern)
+        for keys, texts in _groups(batches):
+            ids, at = coder.encoder.encode([t or "" for t in texts]), 0
+            for out in _bounded(keys, coder.decode(ids), ["doc_id", "decoded"]):
+                part = pa.array(ids[at : at + len(out)], pa.binary())
+                yield pa.RecordBatch.from_arrays([out.column(0), part, out.column(1)], ["doc_id", "ids", "decoded"])
+                at += len(out)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -8,12 +8,14 @@ whole. So chunks repeat, and each distinct one is encoded once while the memo ho
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
+from itertools import chain, islice
 
 import regex
 
 #: Chunks and pieces a worker remembers at most; a full memo is emptied.
-MEMO = 400_000
+MEMO = 700_000
 
 
 class PieceEncoder:
@@ -26,31 +28,46 @@ class PieceEncoder:
         self.chunks: dict[str, bytes | None] = {}
 
     def _learn(self, pieces: set[str]) -> None:
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
         new = list(pieces.difference(self.pieces))
         if new:
             self.pieces.update(zip(new, self.encode_pieces(new)))
 
+    def _cut(self, chunks: list[str]) -> dict[str, list[str]]:
+        """Pieces of chunks that follow a space, matched in one go: a piece with a space starts a chunk."""
+        if not chunks:
+            return {}
+        pieces = self.find(" " + " ".join(chunks))
+        starts = [i for i, p in enumerate(pieces) if p[0] == " "]
+        return {c: pieces[a:b] for c, a, b in zip(chunks, starts, [*starts[1:], len(pieces)], strict=True)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short strings and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         if len(self.chunks) > MEMO:
             self.chunks.clear()
             self.pieces.clear()
-        new = set().union(*(c[1:] for c in cut)).difference(self.chunks)
-        found = {c: self.find(" " + c) for c in new if c and not c[0].isspace()}
+        new = set(chain.from_iterable(cut)).difference(self.chunks)
+        found = self._cut([c for c in new if c and not c[0].isspace()])
         firsts = [self.find(c[0]) for c in cut]
-        self._learn(set().union(*found.values(), *firsts))
-        known = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(known, found[c])) if c in found else None) for c in new)
-        get = self.chunks.__getitem__
+        self._learn(set(chain.from_iterable(found.values())).union(*firsts))
+        known, get = self.pieces.__getitem__, self.chunks.__getitem__
+        self.chunks.update(zip(found, (b"".join(map(known, f)) for f in found.values())))
+        self.chunks.update(dict.fromkeys(new.difference(found)))
         out = []
         for text, chunks, first in zip(texts, cut, firsts):
             try:
-                out.append(b"".join([*map(known, first), *map(get, chunks[1:])]))
+                out.append(b"".join(chain(map(known, first), map(get, islice(chunks, 1, None)))))
             except TypeError:  # a chunk that starts with white space
                 whole = self.find(text)
-                self.pieces.update(zip(rest := list(set(whole).difference(self.pieces)), self.encode_pieces(rest) if rest else ()))
+                self._learn(set(whole))
                 out.append(b"".join(map(known, whole)))
         return out

@@ -190,6 +190,8 @@ def test_byte_bpe(docs, rows, none):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
     same(got, [(i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows])
+    again = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    same(again.collect(), got)
     assert bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
