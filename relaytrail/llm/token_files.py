@@ -131,6 +131,13 @@ def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character of each byte: its own in Latin-1, or the next one from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 _tokenizers: dict[bytes, PieceEncoder] = {}
 
 
@@ -143,11 +150,16 @@ def piece_tokenizer(tokenizer_file: bytes, pattern: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_file.decode())
-        tokenizer.encode_special_tokens = True
+
+        # a piece in the tokenizer's byte alphabet goes straight to its BPE model
+        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
 
         def encode_pieces(pieces: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
+            out = []
+            for piece in pieces:
+                ids = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            return out
 
         _tokenizers.clear()
         _tokenizers[tokenizer_file] = PieceEncoder(pattern, encode_pieces)
@@ -214,8 +226,9 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
         yield from out_batches(rows(), schema, size=500)
 
-    # one task for each group of files: the list itself is short
-    return files.select("file", "start").repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # a number, as the rows are too small for the planner to see the files behind them
+    tasks = max(1, files.count())
+    return files.select("file", "start").repartition(tasks, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_folder(docs: DataFrame) -> str:
