@@ -212,7 +212,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(docs.sparkSession, rows=500)
     u1, u2 = identity(id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), u1.alias("u1"), u2.alias("u2"), text_of(text_col).alias("text"))
-    keys = rows.select("u1", "text").mapInArrow(_keys, "u1 long, key long, repeats int")
+    keys = durable_table(rows.select("u1", "text").mapInArrow(_keys, "u1 long, key long, repeats int"), "minimizers")
     repeated = keys.groupBy("key").agg(F.sum("repeats").alias("n")).filter("n > 1").select("key")
     wanted = keys.select("u1", "key").join(repeated, "key", "left_semi").groupBy("u1").agg(F.collect_set("key").alias("keys"))
     suspects = durable_table(rows.select("u1", "u2", "text").join(wanted, "u1"), "suspects")
