@@ -58,7 +58,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max
         .agg(domain_of(F.min("quality"), F.coalesce(F.max("toxic"), F.lit(0))).alias("domain"))
         .orderBy(F.xxhash64("_id"), "_id").limit(max_fit)
     )
-    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(known, "_id").select("text", "domain")
+    # at most max_fit ids, so they are sent to the texts
+    return docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(known), "_id").select("text", "domain")
 
 
 def likelihood_ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:

@@ -237,8 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("_id"), "_id").limit(max_fit)
     )
+    # at most max_fit ids, so they are sent to the texts
     sample = durable_table(
-        docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(known, "_id")
+        docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(known), "_id")
         .select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(PARTS)).cast("int").alias("part")),
         "toxicity_sample",
     )
