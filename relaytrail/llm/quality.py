@@ -5,10 +5,10 @@ hashed; for every host (the ``source`` column) the distinct documents that hold
 lines above ``max_documents`` are removed. Documents that lose more than ``max_removed`` of their
 words this way, and documents that fail the base rules, are rejected.
 
-Copies of one document are one document here: documents that hold a line are told apart by the
-least hash among their other lines, which copies share and unrelated documents do not. So a popular
-clean document does not make its own lines boilerplate; copies are the business of deduplication.
-Pages that share a part of their lines count in proportion to what they do not share.
+Copies of one document are one document here: documents that hold a line are told apart by a
+128-bit hash of their whole text without white space, the text by which exact deduplication compares.
+So a popular clean document does not make its own lines boilerplate; copies are the business of
+deduplication. Every other document counts, however many lines it shares; so do near copies.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host is a host
 of its own; repeated rows get equal verdicts; an empty table gives an empty result; other columns
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relaytrail.llm.common import SPACE, durable_table, identity, text_of, wrapped
+from relaytrail.llm.common import SPACE, durable_table, identity, text_of, without_space, wrapped
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -106,28 +106,26 @@ def measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(host, u1, u2, place, line, words, other) of every line with a word of every document."""
+    """(host, u1, u2, d1, d2, place, line, words) of every line with a word of every document."""
 
     def hashed(norm: Column) -> Column:
         words = F.char_length(norm) - F.char_length(F.translate(norm, " ", "")) + 1
         return F.struct(F.xxhash64(norm).alias("line"), words.alias("words"))
 
     lines = F.transform(worded_lines(text_of(text_col)), lambda line: bound(normal_line(line), hashed))
-    rows = docs.select(F.col(host_col).alias("host"), *identity(id_col, host_col, text_col), lines.alias("lines"))
-    least = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"])))
-    rows = rows.withColumn("least", F.slice(least, 1, 2)).select("host", "_u1", "_u2", "least", F.posexplode("lines").alias("place", "x"))
-    first, second = F.get("least", F.lit(0)), F.coalesce(F.get("least", F.lit(1)), F.lit(0))
-    return rows.select(
-        "host", "_u1", "_u2", "place", F.col("x.line").alias("line"), F.col("x.words").alias("words"),
-        F.when(F.col("x.line") == first, second).otherwise(first).alias("other"),
+    d1, d2 = identity(without_space(text_of(text_col)))
+    rows = docs.select(
+        F.col(host_col).alias("host"), *identity(id_col, host_col, text_col), d1.alias("_d1"), d2.alias("_d2"), lines.alias("lines"),
     )
+    rows = rows.select("host", "_u1", "_u2", "_d1", "_d2", F.posexplode("lines").alias("place", "x"))
+    return rows.select("host", "_u1", "_u2", "_d1", "_d2", "place", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
 
 
 def boilerplate(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, line) of the lines that more distinct documents of the host hold than allowed."""
-    # a line of more than one document only, so distinct (host, line, other) first: no hot key
+    # distinct (host, line, document) first: no hot key
     return (
-        lines.groupBy("host", "line", "other").agg(F.lit(1).alias("one")).groupBy("host", "line")
+        lines.groupBy("host", "line", "_d1", "_d2").agg(F.lit(1).alias("one")).groupBy("host", "line")
         .agg(F.count("one").alias("documents")).filter(F.col("documents") > max_documents).select("host", "line")
     )
 

@@ -276,6 +276,19 @@ def test_depleted_documents_go_and_copies_do_not_make_boilerplate(spark):
     assert cleaned.filter("doc_id = 100").first().text == clean
 
 
+@pytest.mark.parametrize("n_own", [0, 1, 2])
+def test_pages_of_shared_lines_count_each(spark, n_own):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared = [" ".join(letters(6) for _ in range(6)) for _ in range(20)]
+    pages = ["\n".join(rng.sample(shared, 20) + [letters(9) for _ in range(n_own)]) for _ in range(30)]
+    few = [(100 + i, p, "b") for i, p in enumerate(pages[:20])]
+    copies = [(200 + i, pages[0] + " " * (i % 2), "c") for i in range(30)]
+    table = spark.createDataFrame([(i, p, "a") for i, p in enumerate(pages)] + few + copies, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(table, max_documents=20).collect()}
+    assert got == {i: i >= 100 for i in got} and len(got) == 80
+
+
 # 7 URL filters
 
 def test_url_filters(spark):
