@@ -10,7 +10,8 @@ block) and the document index (id and number of ids), so any document can be rea
 A task writes its range of documents to files under a temporary name and renames them, so a
 repeated task replaces its own files with equal ones. A file is closed after ``FILE_IDS`` ids.
 
-Defined results: a null text has only the end id; null ids come first; repeated rows are written
+Defined results: an added token of the tokenizer file inside a text gets its own id, as the library's
+``encode`` with ``add_special_tokens=False`` gives it; a null text has only the end id; null ids come first; repeated rows are written
 each; an empty table gives no files and an empty result; other columns are ignored.
 """
 
@@ -20,7 +21,7 @@ import io
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,11 +139,24 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_tokenizers: dict[bytes, PieceEncoder] = {}
+class TextEncoder:
+    """Texts that hold an added token go to ``encode_whole``, all others to the memo of pieces."""
 
+    def __init__(self, pieces: PieceEncoder, added: list[str], encode_whole: Callable[[str], bytes]) -> None:
+        self.pieces, self.added, self.encode_whole = pieces, added, encode_whole
 
-def piece_tokenizer(tokenizer_file: bytes, pattern: str) -> PieceEncoder:
-    """The worker's encoder of this tokenizer file, one thread, special strings as ordinary text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        whole = [any(a in t for a in self.added) for t in texts]
+        plain = iter(self.pieces.encode([t for t, w in zip(texts, whole) if not w]))
+        return [self.encode_whole(t) if w else next(plain) for t, w in zip(texts, whole)]
+
+
+_tokenizers: dict[bytes, TextEncoder] = {}
+
+
+def text_encoder(tokenizer_file: bytes, pattern: str) -> TextEncoder:
+    """The worker's encoder of this tokenizer file, one thread: added tokens in a text get their ids."""
     if tokenizer_file not in _tokenizers:
         import os
 
@@ -154,15 +168,18 @@ def piece_tokenizer(tokenizer_file: bytes, pattern: str) -> PieceEncoder:
         # a piece in the tokenizer's byte alphabet goes straight to its BPE model
         tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
 
+        def packed(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
         def encode_pieces(pieces: list[str]) -> list[bytes]:
-            out = []
-            for piece in pieces:
-                ids = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
-            return out
+            return [packed([t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]) for piece in pieces]
+
+        def encode_whole(text: str) -> bytes:
+            return packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
+        added = [t["content"] for t in json.loads(tokenizer_file)["added_tokens"]]
         _tokenizers.clear()
-        _tokenizers[tokenizer_file] = PieceEncoder(pattern, encode_pieces)
+        _tokenizers[tokenizer_file] = TextEncoder(PieceEncoder(pattern, encode_pieces), added, encode_whole)
     return _tokenizers[tokenizer_file]
 
 
@@ -176,7 +193,7 @@ def write_token_files(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = piece_tokenizer(tokenizer_file, pattern)
+        coder = text_encoder(tokenizer_file, pattern)
         system, base = _file_system(folder)
         system.create_dir(base, recursive=True)
         partition, made, writer, temporary = TaskContext.get().partitionId(), [], None, ""

@@ -168,6 +168,18 @@ def test_token_files(docs, rows, none, tmp_path):
     assert token_files.read_token_files(empty, str(tmp_path / "no")).count() == 0
 
 
+def test_added_tokens_in_a_text_get_their_ids(spark, tmp_path):
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    texts = [f"a {end} b", f"x{end}{end}y  z", f"{end}some words {end}", end, "before after", "<|endoftext |>", f"two\n {end}\n", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = token_files.write_token_files(table, str(tmp_path / "ids"), path, public_tokenizers.PATTERN, end_id=2)
+    got = sorted(token_files.read_token_files(files, str(tmp_path / "ids")).collect())
+    tokenizer = Tokenizer.from_file(path)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == want and want[0] == [64, 220, 50256, 275, 2]
+    assert [r.start for r in got] == [sum(map(len, want[:i])) for i in range(len(want))]
+
+
 def test_plane_file_round_trip(tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 100)
     from pyarrow import fs
