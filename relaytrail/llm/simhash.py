@@ -24,9 +24,9 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from relaytrail.llm.common import LOWER, UPPER, durable_table, small_batches, wrapped
+from relaytrail.llm.common import LOWER, UPPER, durable_table, identity, small_batches, wrapped
 from relaytrail.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -64,15 +64,21 @@ def majority(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [fingerprint(t) for t in batch.column(1).to_pylist()]
-        signed = np.array(values, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
+        *carried, texts = batch.columns
+        signed = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*carried, pa.array(signed)], [*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    return identity(F.col(id_col).cast("long"), text_col)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; with ``keyed`` also the hashes (_u1, _u2) of its id and text."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long"
+    keys = row_key(id_col, text_col) if keyed else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys, F.col(text_col).alias("text")).mapInArrow(
+        _fingerprints, "doc_id long, _u1 long, _u2 long, fp long" if keyed else "doc_id long, fp long"
     )
 
 
@@ -200,21 +206,32 @@ def near_links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHAR
     return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_links(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
-    prints = durable_table(fingerprints(docs, id_col, text_col), "fingerprints")
+def named_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(root, fp, component_id) of every distinct fingerprint."""
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(near_links(points.select("fp"), radius))
     named = points.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     components = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = named.join(components, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(
+    return named.join(components, "root").select("root", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    prints = durable_table(fingerprints(docs, id_col, text_col), "fingerprints")
+    return prints.join(named_prints(prints, radius).select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns."""
-    stays = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = wrapped(docs, id=F.col(id_col).cast("long"))
-    return rows.join(stays, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
+    """One row of each component, with all its columns: the least id, and of its texts the least hash.
+
+    A row with an id goes before rows without one, and of rows that agree in id and text any one stays.
+    """
+    prints = durable_table(fingerprints(docs, id_col, text_col, keyed=True), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_u1", "_u2")
+    least = prints.join(named_prints(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("first"))
+    u1, u2 = row_key(id_col, text_col)
+    rows = wrapped(docs, _u1=u1, _u2=u2).join(least.select("first._u1", "first._u2"), ["_u1", "_u2"], "left_semi")
+    once = Window.partitionBy("_u1", "_u2").orderBy("_u1")
+    return rows.withColumn("n", F.row_number().over(once)).filter("n = 1").select("row.*")

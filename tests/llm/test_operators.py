@@ -415,6 +415,18 @@ def test_simhash(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_near_group_stays(spark):
+    rng = random.Random(12)
+    a, b, c, d = (words(rng, 300, 5000) for _ in range(4))
+    rows = [(1, a), (1, a + " "), (1, a + "  "), (2, a), (None, a)]  # one id, several texts
+    rows += [(None, b), (None, b + " "), (None, b)]  # no id at all
+    rows += [(7, c), (7, c), (None, c)] + [(1, d), (9, d)]  # repeated rows; an id of another group
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(3)
+    got = simhash.drop_near_duplicates(table).collect()
+    same([(r.text.strip(), r.doc_id) for r in got], [(a, 1), (b, None), (c, 7), (d, 1)])
+    assert simhash.drop_near_duplicates(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("shard_points", [10**9, 5])
 def test_near_links_lose_none(spark, shard_points):
     rng = random.Random(9)
