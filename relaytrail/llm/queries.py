@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relaytrail.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files, toxicity, url_filters
+from relaytrail.llm import bpe, exact_dedup, mixing, plane_clusters, quality, sharding, simhash, substring_dedup, token_files, toxicity, url_filters
 from relaytrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,36 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_NEAREST = """, d{n} AS (
+  SELECT r, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{n} c USING (j) GROUP BY r, c.k
+), a{n} AS (
+  SELECT r, k, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+)"""
+_MEANS = """, m{n} AS (
+  SELECT k, j, sum(x) AS s, count(*) AS n FROM v JOIN a{n} USING (r) GROUP BY k, j
+), c{next} AS (
+  SELECT c.k, j, CASE WHEN n IS NULL THEN c.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{n} c LEFT JOIN m{n} USING (k, j)
+)"""
+
+
+@_query("op11_plane_clusters", """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), v AS (
+  SELECT r, j, CAST(floor(64 * CAST(embedding[j] AS DOUBLE)) AS HUGEINT) AS x FROM e, unnest(generate_series(1, 64)) AS t(j)
+), s AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k FROM e QUALIFY k < 16
+), c0 AS (
+  SELECT k, j, x FROM s JOIN v USING (r)
+)""" + "".join(_NEAREST.format(n=n) + _MEANS.format(n=n, next=n + 1) for n in range(3)) + _NEAREST.format(n=3) + """, h AS (
+  SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c3 GROUP BY k
+)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN e USING (r) JOIN h USING (k)
+""")
+def op11_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
