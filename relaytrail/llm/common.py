@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,6 +25,38 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """The same bounds for what runs inside only; the session gets its own settings back."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+    before = {key: spark.conf.get(key) for key in bounds}
+    for key, value in bounds.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+#: One more than the most keys that can each hold over one ``HOT``-th of all rows.
+HOT = 1024
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the facts of their key, where any key may be in a third of the rows.
+
+    ``facts`` has one row a key and its number of rows in ``weight``. Fewer than ``HOT`` keys can be in
+    more than a ``HOT``-th of the rows: those are sent to the rows. All others are joined by a shuffle in
+    which no key is large. Both tables should be stored, as each is read twice.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = facts.where(F.col(weight) * HOT > total)
+    some = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return some.unionByName(rest.join(facts.where(F.col(weight) * HOT <= total), keys, how))
+
+
 def identity(*columns: str | Column) -> list[Column]:
     """Two independent 64-bit hashes of a row's values: rows that agree on all of them share them."""
     cols = [F.col(c) if isinstance(c, str) else c for c in columns]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relaytrail.llm import bpe, exact_dedup, mixing, plane_clusters, quality, sharding, simhash, substring_dedup, token_files, toxicity, url_filters
+from relaytrail.llm import bpe, exact_dedup, mixing, plane_clusters, prefix_trie, quality, sharding, simhash, substring_dedup, token_files, toxicity, url_filters, warc
 from relaytrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,56 @@ FROM a3 JOIN e USING (r) JOIN h USING (k)
 """)
 def op11_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+@_query("op12_prefix_trie", """
+WITH t AS (
+  SELECT conv_id, md5(length(r) || ':' || r || x) AS id, length(x) AS size,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(length(r) || ':' || r || x), 1, 32)) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS donor, """ + _CRC32.format(text="CAST(conv_id AS VARCHAR)") + """ % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), b AS (
+  SELECT c.conv_id, 0 AS own, pos, id, size FROM c JOIN t ON t.conv_id = donor AND pos < h
+  UNION ALL SELECT conv_id, 1, pos, id, size FROM c JOIN t USING (conv_id) WHERE pos >= h
+), s AS (
+  SELECT conv_id, coalesce(list(id ORDER BY own, pos) FILTER (id IS NOT NULL), []) AS ids, coalesce(list(size ORDER BY own, pos) FILTER (id IS NOT NULL), []) AS sizes
+  FROM c LEFT JOIN b USING (conv_id) GROUP BY conv_id
+), p AS (
+  SELECT conv_id, d, len(ids) AS n, ids[1:d] AS node, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size FROM s, unnest(generate_series(0, len(ids))) AS u(d)
+), n AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM p GROUP BY node, d
+), k AS (
+  SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2
+), m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node, d)
+), below AS (
+  SELECT a.node, a.d, count(*) FILTER (z.n_children = 0) AS n_leaves, sum((z.n_convs - 1) * z.size) AS saved
+  FROM m a JOIN m z ON z.d >= a.d AND z.node[1:a.d] = a.node GROUP BY a.node, a.d
+)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN below USING (node, d) LEFT JOIN m u ON u.d = m.d - 1 AND u.node = m.node[1:m.d - 1] AND m.d > 0
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@_query("op13_warc", """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS original
+  FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN original END AS refers_to
+FROM r
+""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
