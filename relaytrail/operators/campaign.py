@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from relaytrail.functions.net import ip_prefix
 from relaytrail.operators.durable import durable
 from relaytrail.operators.linkage import (
-    best_links, copy_links, distinct_forms, form_links, with_form_id,
+    best_links, copy_links, distinct_forms, form_links, shared_indicators, with_form_id,
 )
 from relaytrail.operators.numbering import campaign_names
 
@@ -86,6 +86,18 @@ def campaign_members(dna: DataFrame, links: DataFrame | None = None, forms: Data
     )
 
 
+def with_shared_indicators(members: DataFrame, indicators: DataFrame, idf: DataFrame) -> DataFrame:
+    """Members with the discriminative values they share with their strongest partner.
+
+    One pair a member, so the cost is that of the members and not of all linked pairs.
+    """
+    pairs = members.select("org_id", "case_id", F.col("partner_case").alias("other_case")).distinct()
+    shared = shared_indicators(pairs, indicators, idf).withColumnRenamed("other_case", "partner_case")
+    return members.join(shared, ["org_id", "case_id", "partner_case"], "left").withColumns({
+        "shared_count": F.coalesce("shared_count", F.lit(0)), "shared_indicators": F.coalesce("shared_indicators", F.array().cast("array<string>")),
+    })
+
+
 def campaign_rollup(members: DataFrame, cases: DataFrame, indicators: DataFrame) -> DataFrame:
     """Size, highest score, first and last sighting, distinct domains and addresses.
 

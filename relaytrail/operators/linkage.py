@@ -1,30 +1,52 @@
 """Links between messages by fingerprint similarity.
 
 A link needs one of infrastructure, tooling or payload at 0.60 or more. That makes exact
-blocking possible: set loci are joined on the rare prefix of their elements (a pair above the
-threshold must share one), and tooling on the component combinations that can reach 0.60.
-Within that:
+blocking possible:
+
+* two sets at 0.60 have sizes near each other and share one of their rarest elements, so a set's
+  keys are its rare prefix for every size a partner may have;
+* tooling at 0.60 needs an equal mailer, an equal Message-ID template, or an equal boundary shape in
+  an equal header order. A block of one of these that grows large is cut by what the gate asks for
+  besides: infrastructure, identity and payload must add up to what perfect naming and content
+  leave open, so two messages share an element outside the most frequent ones, or, with all three
+  tooling parts equal and nothing else shared, a rare trigram of their domain.
+
+Only sketches move: an identifier and the hashed elements of a fingerprint. Within that:
 
 * identical fingerprints are one form with a number of copies, so a wave of copies costs one row;
 * a popular block is cut into chunks and chunk pairs become separate join keys, so it spreads
   over many tasks instead of landing in one;
-* every pair is scored once, under the first block its two forms share, and only accepted pairs
-  leave the join stage.
+* every pair is scored once, under the first block its two forms share, cheap parts first, and
+  only accepted pairs leave the join stage;
+* block keys can be stored, so a batch of new forms meets stored ones without any pair of stored
+  forms being looked at again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass, fields
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relaytrail import fixed_values as fv
 from relaytrail.functions.core import let
 from relaytrail.functions.similarity import cosine, hamming_similarity, lcs_ratio, set_overlap
+from relaytrail.operators.durable import durable_table
 from relaytrail.operators.fingerprint import LOCI
+from relaytrail.operators.hot_keys import join_popular
 
 _FORM_COLUMNS = (*LOCI, "i_set", "d_set", "p_set")
 #: similarities are rounded to four decimals before the gate
 _BLOCK_THRESHOLD = fv.NON_CONTENT_THRESHOLD - 0.0001
 CHUNK_ROWS = 2000
+#: Pairs of one task of the join, on average.
+PAIRS_A_TASK = 100_000
+#: Forms of a tooling block above which it is cut by a further element.
+REFINE_ROWS = 256
+#: Set sizes up to which every size is a class of its own.
+_EXACT_SIZES = 8
+#: What rounding similarities to four decimals can hide in a weighted sum, and more.
+_SLACK = 0.001
 
 
 def with_form_id(dna: DataFrame) -> DataFrame:
@@ -189,105 +211,380 @@ def similarity_of(a: Column, b: Column) -> Column:
     )
 
 
-def rare_prefix_keys(forms: DataFrame, locus: str, threshold: float = _BLOCK_THRESHOLD) -> DataFrame:
-    """Block keys of a set locus: the rarest ``n - ceil(t * n) + 1`` elements of each set.
+def _size_class(n: Column) -> Column:
+    """Sizes as classes, wider ones for larger sets; never decreasing."""
+    step = F.floor(F.ln(F.greatest(n, F.lit(_EXACT_SIZES)) / _EXACT_SIZES) / F.ln(F.lit(1 / _BLOCK_THRESHOLD)))
+    return F.when(n <= _EXACT_SIZES, n).otherwise(F.lit(_EXACT_SIZES) + step).cast("int")
+
+
+def _least_size(size_class: Column) -> Column:
+    """A lower bound of the sizes in a class."""
+    grown = F.floor(F.lit(_EXACT_SIZES) * F.pow(F.lit(1 / _BLOCK_THRESHOLD), size_class - _EXACT_SIZES) - 0.000001)
+    return F.when(size_class <= _EXACT_SIZES, size_class).otherwise(grown).cast("int")
+
 
-    Two sets with Jaccard of at least ``t`` share one of these, so no pair is lost.
+def _key(*parts) -> Column:
+    """A block key as 64 bits; a collision adds candidates and loses none."""
+    return F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def sketches(forms: DataFrame) -> DataFrame:
+    """What scoring needs of a form, small: its identifier, and hashes in place of its strings.
+
+    Two different elements of one pair of forms are taken for equal once in 2**64.
     """
-    elements = forms.select(
-        "org_id", "fp_id", F.size(f"form.{locus}_set").alias("n"),
-        F.explode(f"form.{locus}_set").alias("element"),
+
+    def hashed(values: str) -> Column:
+        return F.transform(values, lambda v: F.xxhash64(v))
+
+    def one(field: str) -> Column:
+        return F.when(F.col(field) != "", F.xxhash64(F.col(field)))
+
+    m, n = "form.m.", "form.n."
+    feature = [F.coalesce(F.get(n + "features", F.lit(i)).cast("double"), F.lit(0.0)) for i in range(_FEATURES)]
+    norm = F.lit(0.0)
+    for f in feature:
+        norm = norm + f * f
+    return forms.select(
+        "org_id", "dna_version", F.unhex("fp_id").alias("fid"),
+        F.struct(
+            hashed("form.i_set").alias("i"), hashed("form.d_set").alias("d"), hashed("form.p_set").alias("p"),
+            hashed(n + "trigrams").alias("trigrams"), F.when(F.col(n + "tld").isNotNull(), F.xxhash64(n + "tld")).alias("tld"),
+            F.size(n + "features").alias("features"), *[f.alias(f"f{i}") for i, f in enumerate(feature)], F.sqrt(norm).alias("norm"),
+            hashed(m + "header_order").alias("order"), one(m + "header_order_hash").alias("order_hash"),
+            one(m + "x_mailer").alias("mailer"), one(m + "message_id_template").alias("msgid"), one(m + "boundary_shape").alias("boundary"),
+            F.col("form.c.simhash").alias("simhash"), hashed("form.c.template_markers").alias("markers"),
+        ).alias("s"),
     )
-    frequency = elements.groupBy("org_id", "element").agg(F.count(F.lit(1)).alias("freq"))
-    ordered = (
-        elements.join(frequency, ["org_id", "element"])
-        .groupBy("org_id", "fp_id", "n")
-        # bounded: the elements of one message's locus
-        .agg(F.array_sort(F.collect_list(F.struct("freq", "element"))).alias("e"))
+
+
+#: Numbers that describe a domain's name; all fingerprints have as many, or none.
+_FEATURES = 5
+
+
+@dataclass(frozen=True)
+class LinkIndex:
+    """What block keys depend on besides a form: stored with the keys, the same for every batch.
+
+    ``elements`` (org_id, locus, element, freq), ``trigrams`` (org_id, trigram, freq), ``large``
+    (org_id, key, rows): the tooling blocks that are cut further. Elements that came later count as the
+    rarest, and blocks that grew later stay whole, until the index is built anew.
+    """
+
+    elements: DataFrame
+    trigrams: DataFrame
+    large: DataFrame
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+
+def link_index(sketched: DataFrame, refine_rows: int = REFINE_ROWS) -> LinkIndex:
+    elements = _each_element(sketched).groupBy("org_id", "locus", "element").agg(F.count(F.lit(1)).alias("freq"))
+    trigrams = sketched.select("org_id", F.explode("s.trigrams").alias("trigram")).groupBy("org_id", "trigram").agg(F.count(F.lit(1)).alias("freq"))
+    sizes = tooling_keys(sketched).groupBy("org_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    stored = {"elements": elements, "trigrams": trigrams, "large": sizes.where(F.col("rows") > refine_rows)}
+    return LinkIndex(**{name: durable_table(table, name) for name, table in stored.items()})
+
+
+def _each_element(sketched: DataFrame) -> DataFrame:
+    def of(k: str) -> Column:
+        return F.transform(f"s.{k}", lambda e: F.struct(F.lit(k).alias("locus"), e.alias("element"), F.size(f"s.{k}").alias("n")))
+
+    return sketched.select("org_id", "fid", F.explode(F.concat(of("i"), of("d"), of("p"))).alias("x")).select("org_id", "fid", "x.*")
+
+
+def _elements(sketched: DataFrame, index: LinkIndex) -> DataFrame:
+    """(org_id, fid, e): the elements of each form's sets, rarest first, as structs."""
+    known = join_popular(_each_element(sketched), index.elements, ["org_id", "locus", "element"], "freq", how="left")
+    # bounded: the elements of one message's fingerprint
+    entry = F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "locus", "element", "n")
+    return known.groupBy("org_id", "fid").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+
+
+def set_keys(elements: DataFrame, locus: str, threshold: float = _BLOCK_THRESHOLD) -> DataFrame:
+    """Block keys of a set locus: rare prefixes for every size class of a partner.
+
+    Sets of n and m elements with Jaccard of at least ``t`` share ``o = ceil(t / (1 + t) * (n + m))``
+    elements, so both have one of them among their rarest ``n - o + 1``.
+    """
+    own = elements.select("org_id", "fid", F.filter("e", lambda e: e["locus"] == locus).alias("e")).where(F.size("e") > 0)
+    n = F.size("e")
+    low = _size_class(F.ceil(n * threshold - 0.000001))
+    high = _size_class(F.floor(n / threshold + 0.000001))
+    partners = own.withColumns({"n": n, "own": _size_class(n)}).withColumn("other", F.explode(F.sequence(low, high)))
+    smallest = F.greatest(_least_size(F.col("other")), F.ceil(F.col("n") * threshold - 0.000001))
+    common = F.ceil((F.col("n") + smallest) * (threshold / (1 + threshold)) - 0.000001)
+    keep = F.greatest(F.least(F.col("n") - common + 1, F.col("n")), F.lit(1)).cast("int")
+    return partners.select("org_id", "fid", "own", "other", F.explode(F.slice("e", F.lit(1), keep)).alias("x")).select(
+        "org_id", "fid", _key(locus, F.least("own", "other"), F.greatest("own", "other"), F.col("x.element")).alias("key"),
     )
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)).cast("int") + 1
-    return ordered.select(
-        "org_id", "fp_id", F.explode(F.slice("e", 1, keep)).alias("e")
-    ).select("org_id", "fp_id", F.concat(F.lit(f"{locus}:"), F.col("e.element")).alias("key"))
 
 
-def tooling_keys(forms: DataFrame) -> DataFrame:
-    """Block keys of the tooling locus.
+def tooling_keys(sketched: DataFrame) -> DataFrame:
+    """Block keys of the tooling locus: (org_id, fid, kind, key).
 
     The header order alone gives at most 0.45, so a pair at 0.60 has equal mailers or equal
     Message-ID templates, or an equal boundary shape together with an equal header order.
     """
-    m = "form.m."
-    keys = F.array_compact(
-        F.array(
-            F.concat(F.lit("mailer:"), F.col(m + "x_mailer")),
-            # an empty template equals none
-            F.concat(F.lit("msgid:"), F.nullif(F.col(m + "message_id_template"), F.lit(""))),
-            F.concat(
-                F.lit("shape:"), F.col(m + "boundary_shape"), F.lit("|"),
-                F.col(m + "header_order_hash"),
-            ),
-        )
-    )
-    return forms.select("org_id", "fp_id", F.explode(keys).alias("key"))
+    s = {k: F.col(f"s.{k}") for k in ("mailer", "msgid", "boundary", "order_hash")}
+    kinds = {"mailer": (s["mailer"],), "msgid": (s["msgid"],), "shape": (s["boundary"], s["order_hash"])}
+    pairs = []
+    for kind, parts in kinds.items():
+        there = parts[0].isNotNull() if len(parts) == 1 else parts[0].isNotNull() & parts[1].isNotNull()
+        pairs.append(F.when(there, F.struct(F.lit(kind).alias("kind"), _key(kind, *parts).alias("key"))))
+    return sketched.select("org_id", "fid", F.explode(F.array_compact(F.array(*pairs))).alias("x")).select("org_id", "fid", "x.kind", "x.key")
 
 
-def block_rows(forms: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Forms under every block they belong to, popular blocks spread over chunk pairs."""
-    keys = (
-        rare_prefix_keys(forms, "i")
-        .unionByName(rare_prefix_keys(forms, "p"))
-        .unionByName(tooling_keys(forms))
-    )
-    sizes = keys.groupBy("org_id", "key").agg(F.count(F.lit(1)).alias("block_rows"))
-    shared = sizes.where("block_rows > 1").withColumn(
-        "chunks", F.ceil(F.col("block_rows") / chunk_rows).cast("int")
+def _open_part(parts: list[str], order: float = 1.0) -> float:
+    """What infrastructure, identity and payload must add when just these tooling parts agree."""
+    w = fv.LOCUS_WEIGHTS
+    tooling = order * fv.TOOLING_WEIGHTS["order"] + sum(fv.TOOLING_WEIGHTS[p] for p in parts)
+    return fv.LINK_THRESHOLD - w["m"] * tooling - w["n"] - w["c"] - _SLACK
+
+
+def _telling(elements: Column, least: float) -> Column:
+    """The elements without the most frequent ones that together cannot add ``least``.
+
+    Sharing one of a set's n elements adds at most a n-th of the locus weight. ``elements`` are
+    rarest first: an element stays while the more frequent ones after it, with itself, reach ``least``.
+    """
+    share = F.transform(elements, lambda e: sum(
+        (F.when(e["locus"] == k, F.lit(fv.LOCUS_WEIGHTS[k])).otherwise(0.0) for k in ("i", "d", "p")), F.lit(0.0)
+    ) / e["n"])
+    return F.filter(elements, lambda e, at: F.aggregate(
+        F.slice(share, at + 1, F.greatest(F.size(share) - at, F.lit(0))), F.lit(0.0), lambda a, v: a + v
+    ) >= least)
+
+
+def refined_keys(large: DataFrame, sketched: DataFrame, elements: DataFrame, trigrams: DataFrame) -> DataFrame:
+    """Keys in place of those of large tooling blocks: tooling parts together with an element.
+
+    ``large``: (org_id, fid, kind, key). A pair with equal mailers is left to the mailer's block, so the
+    keys of the other kinds are for pairs without.
+    """
+    rows = large.join(sketched.select("org_id", "fid", "s.msgid", "s.boundary"), ["org_id", "fid"]).join(
+        elements, ["org_id", "fid"], "left"
+    ).withColumn("e", F.coalesce("e", F.array().cast(elements.schema["e"].dataType)))
+    key, msgid, boundary = F.col("key"), F.col("msgid"), F.col("boundary")
+    combinations = {
+        "mailer": [("1", (), ["mailer"]), ("2", (msgid,), ["mailer", "msgid"]), ("3", (boundary,), ["mailer", "boundary"]),
+                   ("4", (msgid, boundary), ["mailer", "msgid", "boundary"])],
+        "msgid": [("1", (), ["msgid"]), ("3", (boundary,), ["msgid", "boundary"])],
+        "shape": [("1", (), ["boundary"])],
+    }
+    none = F.array().cast("array<bigint>")
+
+    def with_elements(number: str, parts: tuple, equal: list[str]) -> Column:
+        return F.transform(_telling(F.col("e"), _open_part(equal)), lambda e: _key(number, key, *parts, e["locus"], e["element"]))
+
+    keys = none
+    for kind, choices in combinations.items():
+        for number, parts, equal in choices:
+            there = F.col("kind") == kind
+            for part in parts:
+                there = there & part.isNotNull()
+            keys = F.concat(keys, F.when(there, with_elements(number, parts, equal)).otherwise(none))
+    refined = rows.select("org_id", "fid", F.explode(keys).alias("key"))
+    # all three parts equal and no element shared: naming has to make up for it
+    alone = rows.where((F.col("kind") == "mailer") & msgid.isNotNull() & boundary.isNotNull())
+    named = alone.join(trigrams, ["org_id", "fid"]).select("org_id", "fid", _key("5", key, msgid, boundary, F.col("trigram")).alias("key"))
+    return refined.unionByName(named)
+
+
+def _trigram_keys(sketched: DataFrame, index: LinkIndex) -> DataFrame:
+    """(org_id, fid, trigram): rare prefixes for the overlap that naming needs when nothing else is shared."""
+    w = fv.LOCUS_WEIGHTS
+    naming = (fv.LINK_THRESHOLD - w["m"] - w["c"] - _SLACK) / w["n"]
+    least = (naming - 0.6) / 0.4
+    each = sketched.select("org_id", "fid", F.size("s.trigrams").alias("n"), F.explode("s.trigrams").alias("trigram"))
+    known = join_popular(each, index.trigrams, ["org_id", "trigram"], "freq", how="left")
+    # bounded: the trigrams of one domain label
+    entry = F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "trigram")
+    rare = known.groupBy("org_id", "fid", "n").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int")
+    return rare.select("org_id", "fid", F.explode(F.slice("e", F.lit(1), keep)).alias("x")).select("org_id", "fid", "x.trigram")
+
+
+def block_keys(sketched: DataFrame, index: LinkIndex) -> DataFrame:
+    """(org_id, fid, key): the blocks each form belongs to. ``sketched`` should be stored."""
+    elements = durable_table(_elements(sketched, index), "elements")
+    large = join_popular(tooling_keys(sketched), index.large.withColumn("is_large", F.lit(True)), ["org_id", "key"], "rows", how="left")
+    tooling = durable_table(large, "tooling_keys")
+    whole = tooling.where("is_large IS NULL").select("org_id", "fid", "key")
+    keys = set_keys(elements, "i").unionByName(set_keys(elements, "p")).unionByName(whole)
+    cut = tooling.where("is_large").select("org_id", "fid", "kind", "key")
+    if cut.limit(1).count():
+        keys = keys.unionByName(refined_keys(cut, sketched, elements, _trigram_keys(sketched, index)))
+    return keys.distinct()
+
+
+def block_sides(
+    sketched: DataFrame, keys: DataFrame, stored: DataFrame | None = None, stored_keys: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS,
+) -> tuple[DataFrame, DataFrame, int]:
+    """The new forms, all forms they may meet, and the number of pairs to come.
+
+    Each row is a sketch under one block it shares. A popular block becomes separate join keys for every
+    chunk of its new forms with every chunk of all its forms. ``keys`` and the stored tables should be
+    stored; of the stored forms only those in a block of a new one are read further.
+    """
+    on = ["org_id", "key"]
+    fresh = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("new_rows"))
+    every, forms = keys.withColumn("known", F.lit(False)), sketched
+    if stored is not None:
+        every = every.unionByName(stored_keys.select("org_id", "fid", "key").withColumn("known", F.lit(True)).join(fresh, on, "left_semi"))
+        forms = sketched.unionByName(stored)
+    every = durable_table(every, "block_keys")
+    sizes = every.groupBy(*on).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").join(fresh, on)
+    shared = durable_table(
+        sizes.select(*on, "new_rows", "rows", F.ceil(F.col("new_rows") / chunk_rows).cast("int").alias("new_chunks"), F.ceil(F.col("rows") / chunk_rows).cast("int").alias("chunks")),
+        "block_sizes",
     )
-    useful = keys.join(shared, ["org_id", "key"])
+    pairs = shared.agg(F.sum(F.col("new_rows") * F.col("rows"))).first()[0] or 0
+    useful = join_popular(every, shared, on, "rows")
     # bounded: the blocks of one form
-    per_form = useful.groupBy("org_id", "fp_id").agg(
-        F.array_sort(F.collect_list(F.struct("key", "chunks"))).alias("blocks")
+    per_form = durable_table(
+        useful.groupBy("org_id", "fid", "known").agg(F.array_sort(F.collect_list(F.struct("key", "new_chunks", "chunks"))).alias("blocks")), "form_blocks"
+    )
+
+    def side(rows: DataFrame, own: str, other: str, x: str, y: str) -> DataFrame:
+        return (
+            forms.join(rows, ["org_id", "fid"])
+            .select("org_id", "dna_version", "fid", "known", "s", F.transform("blocks", lambda b: b["key"]).alias("keys"), F.explode("blocks").alias("b"))
+            .select(
+                "org_id", "dna_version", F.col("b.key").alias("key"), F.pmod(F.xxhash64("fid"), F.col(f"b.{own}")).cast("int").alias(x),
+                F.explode(F.sequence(F.lit(0), F.col(f"b.{other}") - 1)).alias(y), "fid", "known", "s", "keys",
+            )
+        )
+
+    return side(per_form.where("NOT known"), "new_chunks", "chunks", "x", "y"), side(per_form, "chunks", "new_chunks", "y", "x"), int(pairs)
+
+
+def candidates(new: DataFrame, every: DataFrame, pairs: int) -> DataFrame:
+    """Every pair of a new form and another that share a block, once: (org_id, a_fid, b_fid, a, b).
+
+    A block's work grows with its pairs and not with its bytes, so the number of partitions comes
+    from the pairs.
+    """
+    on = ["org_id", "dna_version", "key", "x", "y"]
+    tasks = max(4 * new.sparkSession.sparkContext.defaultParallelism, pairs // PAIRS_A_TASK)
+    a = new.select(*on, F.col("fid").alias("a_fid"), F.col("s").alias("a"), F.col("keys").alias("a_keys")).repartition(tasks, *on)
+    b = every.select(*on, F.col("fid").alias("b_fid"), "known", F.col("s").alias("b"), F.col("keys").alias("b_keys")).repartition(tasks, *on)
+    first_shared = F.get(F.array_intersect("a_keys", "b_keys"), F.lit(0))
+    once = F.col("known") | (F.col("a_fid") < F.col("b_fid"))
+    return a.join(b, on).where(once & (first_shared == F.col("key"))).select("org_id", "a_fid", "b_fid", "a", "b")
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """The accepted pairs: (org_id, a_fp, b_fp, score, sim_<locus>...), as ``link_of`` has them."""
+    return pairs.select(
+        "org_id", F.lower(F.hex("a_fid")).alias("a_fp"), F.lower(F.hex("b_fid")).alias("b_fp"),
+        F.inline(sketch_link(F.col("a"), F.col("b"))),
     )
-    spread = (
-        forms.join(per_form, ["org_id", "fp_id"])
-        .select(
-            "org_id", "dna_version", "fp_id", "form",
-            F.transform("blocks", lambda b: b["key"]).alias("keys"),
-            F.explode("blocks").alias("b"),
+
+
+def sketch_link(a: Column, b: Column) -> Column:
+    """``link_of`` of two sketches. Every value is bound once, and is only looked at if it can matter.
+
+    Pairs whose cheap loci cannot reach the threshold even with perfect naming and the best header
+    order possible are dropped before the others are looked at.
+    """
+    w, t = fv.LOCUS_WEIGHTS, fv.TOOLING_WEIGHTS
+    sims = [f"sim_{k}" for k in LOCI]
+    kind = "array<struct<score:double," + ",".join(f"{n}:double" for n in sims) + ">>"
+    none = F.array().cast(kind)
+
+    def same(pair: Column, field: str) -> Column:
+        return F.coalesce(pair["a"][field] == pair["b"][field], F.lit(False))
+
+    def part(pair: Column, field: str) -> Column:
+        return F.when(same(pair, field), F.lit(t[field])).otherwise(0.0)
+
+    def overlap(pair: Column, field: str) -> Column:
+        return set_overlap(pair["a"][field], pair["b"][field])
+
+    def cheap(pair: Column) -> Column:
+        content = (
+            F.greatest(F.lit(0.0), hamming_similarity(pair["a"]["simhash"], pair["b"]["simhash"])) * 0.7 + overlap(pair, "markers") * 0.3
         )
-        .select(
-            "*", F.pmod(F.xxhash64("fp_id"), F.col("b.chunks")).cast("int").alias("chunk")
+        order = F.when(same(pair, "order_hash"), F.lit(1.0)).otherwise(
+            F.least(F.size(pair["a"]["order"]), F.size(pair["b"]["order"])) / F.greatest(F.size(pair["a"]["order"]), F.size(pair["b"]["order"]), F.lit(1))
         )
-        .select(
-            "org_id", "dna_version", "fp_id", "form", "keys", "chunk",
-            F.col("b.key").alias("key"),
-            F.explode(F.sequence(F.lit(0), F.col("b.chunks") - 1)).alias("other"),
+        return F.struct(
+            pair.alias("pair"), _rounded(overlap(pair, "i")).alias("i"), _rounded(overlap(pair, "d")).alias("d"),
+            _rounded(content).alias("c"), _rounded(overlap(pair, "p")).alias("p"), order.alias("order"),
+            (part(pair, "mailer") + part(pair, "msgid") + part(pair, "boundary")).alias("parts"),
         )
-    )
-    return spread.select(
-        "org_id", "dna_version", "fp_id", "form", "keys", "key", "chunk",
-        F.least("chunk", "other").alias("lo"),
-        F.greatest("chunk", "other").alias("hi"),
-    )
 
+    def possible(q: Column) -> Column:
+        tooling = q["parts"] + q["order"] * t["order"]
+        best = sum((q[k] * w[k] for k in ("i", "d", "c", "p")), F.lit(w["n"])) + tooling * w["m"]
+        return (best >= fv.LINK_THRESHOLD - _SLACK) & (F.greatest(q["i"], q["p"], tooling) >= _BLOCK_THRESHOLD)
+
+    def whole(q: Column) -> Column:
+        pair = q["pair"]
+        left, right = pair["a"], pair["b"]
+        ratio = F.when(same(pair, "order_hash"), F.lit(1.0)).otherwise(
+            common_order(left["order"], right["order"]) / F.greatest(F.size(left["order"]), F.size(right["order"]), F.lit(1))
+        )
+        # summed in this order: the last digit of a sum depends on it
+        tooling = ratio * t["order"] + part(pair, "mailer") + part(pair, "msgid") + part(pair, "boundary")
+        dot = F.lit(0.0)
+        for i in range(_FEATURES):
+            dot = dot + left[f"f{i}"] * right[f"f{i}"]
+        norm = left["norm"] * right["norm"]
+        cosine_ = F.when((left["features"] != right["features"]) | (norm == 0), F.lit(0.0)).otherwise(F.try_divide(dot, norm))
+        naming = cosine_ * 0.4 + F.when(same(pair, "tld"), F.lit(0.2)).otherwise(0.0) + overlap(pair, "trigrams") * 0.4
+        return F.struct(*[(q[k] if k in ("i", "d", "c", "p") else _rounded(naming if k == "n" else tooling)).alias(k) for k in LOCI])
+
+    def finish(values: Column) -> Column:
+        return F.struct(_weighted(values).alias("score"), *[values[k].alias(f"sim_{k}") for k in LOCI])
+
+    def kept(link: Column) -> Column:
+        return _gate(F.struct(*[link[f"sim_{k}"].alias(k) for k in LOCI]), link["score"])
+
+    near = F.filter(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), cheap), possible)
+    links = F.transform(F.transform(near, whole), finish)
+    return F.filter(F.coalesce(links.cast(kind), none), kept)
 
-def form_links(forms: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+
+def common_order(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays without repeats, at most 60 long.
+
+    Bit-parallel: one addition for each element of ``a``.
+    """
+    def bit_at(n: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+    full = bit_at(F.size(b)) - 1
+
+    def step(v: Column, x: Column) -> Column:
+        at = F.array_position(b, x).cast("int")
+        bit = F.when(at > 0, bit_at(at - 1)).otherwise(F.lit(0).cast("long"))
+        return (v + v.bitwiseAND(bit)).bitwiseOR(v.bitwiseAND(full.bitwiseXOR(bit))).bitwiseAND(full)
+
+    return F.size(b) - F.bit_count(F.aggregate(a, full, step))
+
+
+def form_links(
+    forms: DataFrame, chunk_rows: int = CHUNK_ROWS, refine_rows: int = REFINE_ROWS
+) -> DataFrame:
     """Accepted links between distinct forms: every unordered pair once, ``a_fp < b_fp``."""
-    blocks = block_rows(forms, chunk_rows)
-    on = ["org_id", "dna_version", "key", "lo", "hi"]
-    a = blocks.select(*on, *[F.col(c).alias(f"a_{c}") for c in ("fp_id", "form", "keys", "chunk")])
-    b = blocks.select(*on, *[F.col(c).alias(f"b_{c}") for c in ("fp_id", "form", "keys", "chunk")])
-    ordered = F.when(
-        F.col("lo") == F.col("hi"), F.col("a_fp_id") < F.col("b_fp_id")
-    ).otherwise((F.col("a_chunk") == F.col("lo")) & (F.col("b_chunk") == F.col("hi")))
-    first_shared = F.get(F.array_intersect("a_keys", "b_keys"), 0)
-    met = a.join(b, on).where(ordered & (first_shared == F.col("key")))
-    return met.select(
-        "org_id",
-        F.least("a_fp_id", "b_fp_id").alias("a_fp"),
-        F.greatest("a_fp_id", "b_fp_id").alias("b_fp"),
-        F.inline(link_of(F.col("a_form"), F.col("b_form"))),
-    )
+    sketched = durable_table(sketches(forms), "sketches")
+    keys = durable_table(block_keys(sketched, link_index(sketched, refine_rows)), "block_keys")
+    return new_links(sketched, keys, chunk_rows=chunk_rows)
+
+
+def new_links(
+    sketched: DataFrame, keys: DataFrame, stored: DataFrame | None = None, stored_keys: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Links of new forms among each other and with stored ones; no pair of stored forms is met.
+
+    Forms come as ``sketches`` and their ``block_keys``, both of one ``LinkIndex``, and a form must not
+    be new and stored.
+    """
+    links = scored(candidates(*block_sides(sketched, keys, stored, stored_keys, chunk_rows)))
+    return links.withColumns({"a_fp": F.least("a_fp", "b_fp"), "b_fp": F.greatest("a_fp", "b_fp")})
 
 
 def copy_links(forms: DataFrame) -> DataFrame:
@@ -320,6 +617,45 @@ def case_links(dna: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def top_form_links(forms: DataFrame, links: DataFrame, dna: DataFrame, limit: int) -> DataFrame:
+    """The strongest links of every case, ties by the other case: (org_id, case_id, other_case, link_rank, score, sim_...).
+
+    ``links`` are form links and copy links together. The rank is taken between forms, where it is cut
+    down before the shuffle, and a form stands for its first few cases; only what is kept is given out to
+    cases, so nothing of the size of all linked pairs is made.
+    """
+    few = limit + 1  # a case is no partner of its own
+    loci = [f"sim_{k}" for k in LOCI]
+    both = links.select("org_id", F.col("a_fp").alias("fp_id"), F.col("b_fp").alias("partner"), "score", *loci).unionByName(
+        links.where("a_fp <> b_fp").select("org_id", F.col("b_fp").alias("fp_id"), F.col("a_fp").alias("partner"), "score", *loci)
+    )
+    members = with_form_id(dna).select("org_id", "case_id", "fp_id")
+    order = Window.partitionBy("org_id", "fp_id").orderBy("case_id")
+    first = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= few)
+    cases = durable_table(
+        first.groupBy("org_id", F.col("fp_id").alias("partner")).agg(F.array_sort(F.collect_list("case_id")).alias("cases"), F.count(F.lit(1)).alias("n")),
+        "first_cases",
+    )
+    first_case = forms.select("org_id", F.col("fp_id").alias("partner"), "first_case")
+    strongest = Window.partitionBy("org_id", "fp_id").orderBy(F.desc("score"), "first_case")
+    kept = both.join(first_case, ["org_id", "partner"]).withColumn("n", F.row_number().over(strongest)).where(F.col("n") <= few).drop("n", "first_case")
+    options = kept.join(cases.drop("n"), ["org_id", "partner"]).select(
+        "org_id", "fp_id", F.explode("cases").alias("other_case"), F.struct("score", *loci).alias("link")
+    )
+    # bounded: a few cases for each of a few forms
+    best = options.groupBy("org_id", "fp_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("link.score")).alias("s"), "other_case", "link"))), 1, few).alias("best")
+    )
+    weights = forms.select("org_id", "fp_id", F.col("copies").alias("weight"))
+    facts = durable_table(best.join(weights, ["org_id", "fp_id"]), "best_of_forms")
+    own = join_popular(members, facts, ["org_id", "fp_id"], "weight").select(
+        "org_id", "case_id", F.slice(F.filter("best", lambda x: x["other_case"] != F.col("case_id")), 1, limit).alias("best")
+    )
+    return own.select("org_id", "case_id", F.posexplode("best").alias("at", "x")).select(
+        "org_id", "case_id", "x.other_case", (F.col("at") + 1).alias("link_rank"), "x.link.*"
+    )
+
+
 def best_links(forms: DataFrame, links: DataFrame) -> DataFrame:
     """Strongest link of every form: score, loci and the first case of the partner.
 

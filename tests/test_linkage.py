@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from relaytrail.functions.similarity import lcs_length
 from relaytrail.operators import campaign, graph, indicators, linkage
+from relaytrail.operators.durable import durable_table
 
 SCHEMA = (
     "org_id string, case_id string, dna_version string, i struct<x:array<string>>, d struct<x:array<string>>, "
@@ -36,21 +38,58 @@ def random_dna(seed: int, n: int):
     return rows
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 2000), (2, 7), (3, 1)])
-def test_blocking_finds_exactly_the_links_of_all_pairs(spark, seed, chunk):
-    dna = spark.createDataFrame(random_dna(seed, 90), SCHEMA)
-    forms = linkage.distinct_forms(dna).persist()
-    links = linkage.form_links(forms, chunk_rows=chunk).unionByName(linkage.copy_links(forms))
-    got = {(r.case_id, r.other_case): r.score for r in linkage.case_links(dna, links).collect()}
+def all_links(spark, dna):
     form = F.struct("i", "d", "n", "m", "c", "p", "i_set", "d_set", "p_set")
     a = dna.select(F.col("case_id").alias("a"), form.alias("fa"))
     b = dna.select(F.col("case_id").alias("b"), form.alias("fb"))
     pairs = a.crossJoin(b).where("a <> b").select("a", "b", F.inline(linkage.link_of(F.col("fa"), F.col("fb"))))
-    want = {(r.a, r.b): r.score for r in pairs.collect()}
+    return {(r.a, r.b): r.score for r in pairs.collect()}
+
+
+@pytest.mark.parametrize("seed,chunk,refine,mailer", [(1, 2000, 256, None), (3, 1, 0, None), (5, 30, 5, "kit")])
+def test_blocking_finds_exactly_the_links_of_all_pairs(spark, seed, chunk, refine, mailer):
+    dna = spark.createDataFrame(random_dna(seed, 90), SCHEMA)
+    if mailer:
+        dna = dna.withColumn("m", F.col("m").withField("x_mailer", F.lit(mailer)))
+    forms = linkage.distinct_forms(dna).persist()
+    links = linkage.form_links(forms, chunk_rows=chunk, refine_rows=refine).unionByName(linkage.copy_links(forms))
+    got = {(r.case_id, r.other_case): r.score for r in linkage.case_links(dna, links).collect()}
+    want = all_links(spark, dna)
     assert want and got == want
+    top = {(r.case_id, r.link_rank): (r.other_case, r.score) for r in linkage.top_form_links(forms, links, dna, limit=3).collect()}
+    ranked = {}
+    for (case, other), score in sorted(want.items(), key=lambda x: (x[0][0], -x[1], x[0][1])):
+        ranked.setdefault(case, []).append((other, score))
+    assert top == {(case, n + 1): x for case, others in ranked.items() for n, x in enumerate(others[:3])}
     forms.unpersist()
 
 
+def test_batches_find_the_links_of_one_run(spark):
+    dna = spark.createDataFrame(random_dna(6, 90), SCHEMA)
+    forms = durable_table(linkage.distinct_forms(dna), "forms")
+    whole = {(r.a_fp, r.b_fp): r.score for r in linkage.form_links(forms).collect()}
+    third = F.pmod(F.xxhash64("fp_id"), F.lit(3))
+    stored = stored_keys = index = None
+    got = {}
+    for n in range(3):
+        sketched = durable_table(linkage.sketches(forms.where(third == n)), "sketches")
+        index = index or linkage.link_index(sketched, refine_rows=4)
+        keys = durable_table(linkage.block_keys(sketched, index), "keys")
+        found = linkage.new_links(sketched, keys, stored, stored_keys, chunk_rows=5).collect()
+        assert not {(r.a_fp, r.b_fp) for r in found} & set(got)
+        got |= {(r.a_fp, r.b_fp): r.score for r in found}
+        stored = sketched if stored is None else stored.unionByName(sketched)
+        stored_keys = keys if stored_keys is None else stored_keys.unionByName(keys)
+    assert whole and got == whole
+
+
+def test_common_order_is_the_longest_common_subsequence(spark):
+    rng = random.Random(3)
+    rows = [(rng.sample("abcdefghijklmnopqrstu", rng.randint(0, 21)), rng.sample("abcdefghijklmnopqrstu", rng.randint(0, 21))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    assert df.where(linkage.common_order(F.col("a"), F.col("b")) != lcs_length(F.col("a"), F.col("b"))).count() == 0
+
+
 def test_components_and_members(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x1", "x3"), ("x3", "x2"), ("z", "z")]
     got = {r.node: r.component for r in campaign.connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}

@@ -187,8 +187,8 @@ def _(c: Context) -> DataFrame:
 @query("top_link_scores", mail_with(
     f"""{_PAIRS}, b2 AS (SELECT a AS k, score FROM lk UNION ALL SELECT b, score FROM lk) SELECT k, link_rank, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC) AS link_rank FROM b2) WHERE link_rank <= 5""", "rules"))
 def _(c: Context) -> DataFrame:
-    _, links = c.links
-    best = views.top_links(linkage.case_links(c.dna, links), limit=5)
+    forms, links = c.links
+    best = linkage.top_form_links(forms, links, c.dna, limit=5)
     return _numbered(c, best.select("case_id", "link_rank", "score"), "case_id").select(F.col("case_id_k").alias("k"), "link_rank", "score")
 
 
@@ -223,6 +223,24 @@ def _(c: Context) -> DataFrame:
     return graph.graph_nodes(_cases(c), c.indicators, campaigns).drop("node_id")
 
 
+@query("member_evidence", mail_with(
+    f"""{_COMPONENTS} {IND}, b2 AS (SELECT a AS k, b AS o, score FROM lk UNION ALL SELECT b, a, score FROM lk), w AS (SELECT k, o FROM b2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, o) = 1),
+    good AS MATERIALIZED (SELECT DISTINCT i.org_id, i.k, i.normalised FROM ind i JOIN idf f ON f.org_id = i.org_id AND f.normalised = i.normalised WHERE f.idf >= 1.0),
+    shr AS (SELECT w.k, w.o, count(*) AS n, array_to_string(list_sort(list(x.normalised)), ' ') AS shared FROM w JOIN good x ON x.k = w.k JOIN good y ON y.k = w.o AND y.normalised = x.normalised GROUP BY w.k, w.o)
+    SELECT w.k, w.o AS partner, coalesce(s.n, 0) AS shared_count, coalesce(s.shared, '') AS shared FROM w LEFT JOIN shr s ON s.k = w.k""", "rules"))
+def _(c: Context) -> DataFrame:
+    """Members with their strongest partner, the smallest message number of equal ones, and the values both have."""
+    numbered = c.dna.withColumn("case_id", F.lpad(F.col("k").cast("string"), 12, "0"))
+    values = c.indicators.withColumn("case_id", F.lpad(F.col("k").cast("string"), 12, "0"))
+    forms, links = c.links
+    first = linkage.distinct_forms(numbered)
+    best = linkage.top_form_links(first, links, numbered, limit=1)
+    shown = campaign.with_shared_indicators(best.withColumnRenamed("other_case", "partner_case"), values, indicators.indicator_idf(values))
+    return shown.select(
+        F.col("case_id").cast("long").alias("k"), F.col("partner_case").cast("long").alias("partner"), "shared_count",
+        F.array_join("shared_indicators", " ").alias("shared"))
+
+
 def _rooted_members(c: Context) -> DataFrame:
     """Members with their campaign named by its first message."""
     members = _numbered(c, c.members.select("org_id", "campaign_id", "case_id", "dna_score").withColumn("case", F.col("case_id")), "case_id")
@@ -251,6 +269,47 @@ def _(c: Context) -> DataFrame:
     return found.select("org_id", F.col("root_case_k").alias("root"), "type", "normalised", F.col("other_case_k").alias("other"))
 
 
+_GRAPH = f"""{_COMPONENTS} {IND}, camps AS (SELECT root, any_value(m.org_id) AS org_id, min(m.acquired_at) AS first_seen, count(*) AS n FROM comp c JOIN mail m ON m.k = c.k GROUP BY root),
+  nm AS (SELECT root, n, 'CAMPAIGN-2026-' || lpad(CAST(row_number() OVER (PARTITION BY org_id ORDER BY first_seen, root) AS VARCHAR), 3, '0') AS name FROM camps),
+  dep AS (SELECT unnest([1, 2]) AS depth), iu AS (SELECT DISTINCT org_id, k, type, normalised, value FROM ind),
+  mine AS (SELECT * FROM iu WHERE k % 100 = 0),
+  oth AS MATERIALIZED (SELECT DISTINCT x.org_id, x.k AS root, y.k, y.type, y.normalised FROM mine x JOIN iu y ON y.org_id = x.org_id AND y.type = x.type AND y.normalised = x.normalised AND y.k <> x.k WHERE NOT list_contains({strs(fv.HUB_VALUES)}, x.normalised)),
+  mem AS (SELECT r.k AS root, c.k, c.root AS camp, m.org_id FROM comp r JOIN comp c ON c.root = r.root JOIN mail m ON m.k = r.k WHERE r.k % 100 = 0),
+  wt AS (SELECT l.a AS k, max(l.score) AS w FROM (SELECT a, b, score FROM lk UNION ALL SELECT b, a, score FROM lk) l GROUP BY l.a)"""
+
+
+@query("case_graph_edges", mail_with(
+    f"""{_GRAPH} SELECT depth, org_id, k AS root, k AS source, type || ':' || normalised AS target, 'contains' AS edge_type, CAST(NULL AS DOUBLE) AS weight FROM mine, dep
+    UNION ALL SELECT 2, org_id, root, k, type || ':' || normalised, 'shares', NULL FROM oth
+    UNION ALL SELECT depth, org_id, root, mem.k, 'campaign:' || camp, 'member_of', w FROM dep, mem JOIN wt ON wt.k = mem.k""", "rules"))
+def _(c: Context) -> DataFrame:
+    """Graphs of every hundredth case, at both depths."""
+    parts = [edges.withColumn("depth", F.lit(depth)) for depth, (_, edges) in _case_graphs(c).items()]
+    edges = parts[0].unionByName(parts[1]).withColumn("source", F.substring_index("source", ":", -1))
+    return _numbered(c, edges, "root_case", "source").select(
+        "depth", "org_id", F.col("root_case_k").alias("root"), F.col("source_k").alias("source"), "target", "edge_type", "weight")
+
+
+@query("case_graph_nodes", mail_with(
+    f"""{_GRAPH}, cs AS (SELECT depth, org_id, k AS root, k FROM mail, dep WHERE k % 100 = 0 UNION SELECT 2, org_id, root, k FROM oth UNION SELECT depth, org_id, root, k FROM mem, dep)
+    SELECT depth, cs.org_id, root, 'CASE-' || cs.k AS node, 'CASE-' || cs.k AS label, 'case' AS kind, false AS hub, cs.k = root AS is_root, s.score, s.band, CAST(NULL AS BIGINT) AS member_count FROM cs JOIN sc s ON s.k = cs.k
+    UNION ALL SELECT depth, org_id, k, type || ':' || normalised, substr(min(value), 1, 60), type, list_contains({strs(fv.HUB_VALUES)}, normalised), false, NULL, NULL, NULL FROM mine, dep GROUP BY depth, org_id, k, type, normalised
+    UNION ALL SELECT depth, mem.org_id, mem.root, 'campaign:' || camp, nm.name, 'campaign', false, false, NULL, NULL, nm.n FROM dep, mem JOIN nm ON nm.root = mem.camp WHERE mem.k = mem.root""", "score"))
+def _(c: Context) -> DataFrame:
+    parts = [nodes.withColumn("depth", F.lit(depth)) for depth, (nodes, _) in _case_graphs(c).items()]
+    nodes = parts[0].unionByName(parts[1])
+    named = nodes.withColumn("node", F.when(F.col("kind") == "case", F.col("label")).otherwise(F.col("node_id"))).drop("node_id")
+    return _numbered(c, named, "root_case").withColumnRenamed("root_case_k", "root")
+
+
+def _case_graphs(c: Context) -> dict[int, tuple[DataFrame, DataFrame]]:
+    roots = c.analysed.filter("k % 100 = 0").select("org_id", "case_id")
+    members = c.shared("rooted_members", lambda: _rooted_members(c))
+    names = members.join(c.members.select("case_id", F.col("campaign_id").alias("old")), "case_id").select("campaign_id", "old").distinct()
+    campaigns = campaign.campaign_rollup(c.members, _cases(c), c.indicators).withColumnRenamed("campaign_id", "old").join(names, "old")
+    return {depth: graph.case_graph(roots, _cases(c), c.indicators, members, campaigns, depth=depth) for depth in (1, 2)}
+
+
 @query("timeline", mail_with(
     """SELECT k, hop_ts_utc AS "moment", CASE WHEN trust_state IN ('vouched', 'boundary') THEN 'observed' ELSE 'asserted' END AS entry_kind, 'Hop ' || seq || ': handled by ' || coalesce(by_host, 'unknown host') AS title, 'peer ' || coalesce(observed_ip, 'not recorded') AS detail, trust_state AS trust FROM hop3 WHERE hop_ts_utc IS NOT NULL
     UNION ALL SELECT k, acquired_at, 'analysis', unnest(['acquired', 'parsed', 'auth evaluated', 'origin reconstructed', 'scored']), unnest(['collector', 'service:parser', 'service:auth', 'service:origin', 'service:scoring']), 'recorded' FROM mail""", "hops"))
