@@ -1,12 +1,13 @@
 """Mixing sources to target weights by soft membership.
 
 Built-in functions only. A naive Bayes classifier over hashed tokens, counted on the labelled table,
-gives every document a posterior over quality domains. Projected gradient descent fits one
-nonnegative rate per document so that the expected domain token totals (sum of rate * tokens *
-posterior) match the targets with as little change from rate one as the descent makes. Every step
-is one distributed sum over all documents; only the domains' totals reach the driver, and a
-document's rate is folded from the short list of past steps. With ``most`` (a greatest rate), the
-projection is onto [0, most] and the mixture is as large as the first domain fills at rate one.
+gives every document a posterior over quality domains. Projected gradient descent fits one nonnegative rate per document
+so that the expected domain token totals (sum of rate * tokens * posterior) match the targets with as
+little change from rate one as possible. Every step is one distributed sum over all documents; only
+the domains' totals reach the driver, and a document's rate follows from the summed gradients, one
+number a domain. With ``most`` (a greatest rate), the projection is onto [0, most] and the mixture is
+as large as the first domain fills at rate one; targets out of reach are met as far as least squares
+of the totals allow, which spares documents that are surely of the first domain.
 
 Domains: ``toxic`` (labelled toxic), ``plain`` (labelled of low quality), ``good`` (the others).
 
@@ -35,7 +36,9 @@ TARGETS = {"good": 0.90, "plain": 0.07, "toxic": 0.03}
 MAX_FIT, TOKENS, LEAST_EVIDENCE = 20_000, 200, 25.0
 #: Log-odds are divided by this, as the tokens of a text are not independent.
 TEMPERATURE = 1.0
-STEPS, HALVINGS, TOLERANCE = 40, 4, 1e-4
+#: Weights of the change of the rates, one round each; steps of a round at most, as fractions of a
+#: Newton step; and the gradient, in shares of all tokens, at which a round ends.
+CHANGES, STEPS, LENGTHS, TOLERANCE = (1e-1, 1e-3, 1e-5, 1e-6), 20, (1.0, 0.5, 0.2, 0.05, 0.01, 1e-3, 1e-5), 1e-6
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -44,8 +47,7 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Distinct hashes of the words, of their beginnings, and of what is not a plain letter in them."""
-    words = F.transform(word_array(text), lambda w: F.lower(w))
-    return bound(words, lambda ws: F.array_distinct(F.concat(
+    return bound(word_array(F.lower(text)), lambda ws: F.array_distinct(F.concat(
         F.transform(ws, lambda w: F.xxhash64(w)),
         F.transform(ws, lambda w: F.xxhash64(F.lit("begin"), F.substring(w, 1, 5))),
         F.transform(ws, lambda w: F.xxhash64(F.lit("shape"), F.translate(w, LOWER, ""))),
@@ -128,59 +130,91 @@ def posteriors(text: Column, bias: list[float], weights: dict[int, list[float]])
     return bound(sums, shares)
 
 
-def rate_of(posterior: Column, steps: list[list[float]], most: float | None = None) -> Column:
-    """The document's rate after the steps so far: each moves it along its posterior, then projects."""
-    if not steps:
-        return F.lit(1.0)
+def rate_of(posterior: Column, pull: list[float], most: float | None = None) -> Column:
+    """The document's rate: one, less what the summed gradient takes along its posterior, projected."""
+    moved = F.lit(1.0) - _along(posterior, pull)
+    return F.greatest(F.lit(0.0), moved if most is None else F.least(F.lit(float(most)), moved))
 
-    def step(rate: Column, g: Column) -> Column:
-        moved = rate - reduce(lambda a, b: a + b, [posterior[k] * g[k] for k in range(len(DOMAINS))])
-        return F.greatest(F.lit(0.0), moved if most is None else F.least(F.lit(most), moved))
 
-    past = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in g) + ")" for g in steps) + ")")
-    return F.aggregate(past, F.lit(1.0), step)
+def _along(posterior: Column, pull: list[float]) -> Column:
+    return reduce(lambda a, b: a + b, [posterior[k] * float(pull[k]) for k in range(len(DOMAINS))])
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], most: float | None = None, keep_first: bool = False) -> list[list[float]]:
-    """Steps that take rate one to the fitted rates of (tokens, posterior) rows.
+def _sums(members: DataFrame, pulls: list[list[float]], most: float | None) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(token totals, curvature, potential) of the rates under each pull: one pass over the documents.
 
-    The gradient of the squared residuals is scaled by the inverse curvature of the documents whose
-    rate is free to move (a matrix of domains by domains, summed in the same pass), so few steps are
-    needed. Ends within ``TOLERANCE`` of the targets, or when the projection lets no step improve.
+    The pulls are one array of constants, so that every pass runs the same generated code.
     """
     d = range(len(DOMAINS))
-    share = [targets[k] / sum(targets.values()) for k in DOMAINS]
-    steps: list[list[float]] = []
-    goal, last, halved = None, math.inf, 0
-    while len(steps) < STEPS:
-        rated = members.select("tokens", "posterior", rate_of(F.col("posterior"), steps, most).alias("rate"))
-        free = (F.col("rate") > 0) if most is None or not steps else (F.col("rate") > 0) & (F.col("rate") < most)
-        p = [F.col("posterior")[k] for k in d]
-        sums = rated.agg(
-            F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
-            *[F.sum(F.col("rate") * F.col("tokens") * p[k]).alias(f"s{k}") for k in d],
-            *[F.sum(F.when(free, F.col("tokens") * p[i] * p[j]).otherwise(0.0)).alias(f"m{i}{j}") for i in d for j in d],
-        ).first()
-        if not sums["tokens"]:
-            return []
-        if goal is None:
-            total = sums["s0"] / share[0] if keep_first else float(sums["tokens"])
-            goal = [s * total for s in share]
-        off = [sums[f"s{k}"] - goal[k] for k in d]
-        relative = [o / max(g, 1e-3 * total) for o, g in zip(off, goal)]
-        loss = sum(r * r for r in relative)
-        if loss > 0.98 * last:  # the projection cut the step short: half of it, or none
-            if halved == HALVINGS:
-                return steps[:-1]
-            steps[-1], halved = [x / 2 for x in steps[-1]], halved + 1
-            continue
-        halved = 0
-        last = loss
-        if max(map(abs, relative)) <= TOLERANCE:
-            break
-        curvature = np.array([[sums[f"m{i}{j}"] for j in d] for i in d]) + 1e-9 * total * np.eye(len(DOMAINS))
-        steps.append([float(x) for x in np.linalg.solve(curvature, off)])
-    return steps
+    listed = ", ".join(f"struct({n} AS n, " + ", ".join(f"{float(g)!r}D AS g{k}" for k, g in enumerate(pull)) + ")" for n, pull in enumerate(pulls))
+    rows = members.select("tokens", "posterior", F.expr(f"inline(array({listed}))"))
+    x = reduce(lambda a, b: a + b, [F.col("posterior")[k] * F.col(f"g{k}") for k in d])
+    at = rows.select("n", "tokens", *[F.col("posterior")[k].alias(f"p{k}") for k in d], x.alias("x"))
+    rest = 1.0 - F.col("x")  # the rate before its projection
+    rate = F.greatest(F.lit(0.0), rest if most is None else F.least(F.lit(float(most)), rest))
+    free = (rest > 0) if most is None else (rest > 0) & (rest <= most)
+    area = F.when(rest > 0, rest * rest / 2 if most is None else F.when(rest > most, most * (rest - most / 2)).otherwise(rest * rest / 2)).otherwise(0.0)
+    weighed = at.withColumns({"moved": F.col("tokens") * rate, "held": F.when(free, F.col("tokens")).otherwise(0.0), "area": F.col("tokens") * area})
+    sums = weighed.groupBy("n").agg(
+        *[F.sum(F.col("moved") * F.col(f"p{k}")).alias(f"s{k}") for k in d],
+        *[F.sum(F.col("held") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in d for j in d if i <= j], F.sum("area").alias("v"),
+    )
+    found = {r["n"]: r for r in sums.collect()}  # a row for each pull
+    return [
+        (np.array([r[f"s{k}"] for k in d]), np.array([[r[f"m{min(i, j)}{max(i, j)}"] for j in d] for i in d]), r["v"])
+        for r in (found[n] for n in range(len(pulls)))
+    ]
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], most: float | None = None, keep_first: bool = False) -> list[float]:
+    """The summed gradient (a number for each domain) whose projection gives the fitted rates of (tokens, posterior) rows.
+
+    Least squares of the domains' token totals less their targets, over rates in [0, ``most``], by
+    projected gradient steps with the projection taken last: a rate is the projection of one less the
+    sum of all gradients, so the state is one number a domain. A small weight on the squared change of
+    the rates makes the answer unique, the least change that reaches the optimum; it shrinks from round
+    to round. A step is scaled by the inverse curvature of the documents whose rate is free to move, and
+    the longest of ``LENGTHS`` that lowers the (convex) dual potential enough is taken, all of them
+    evaluated in one pass; a round ends when its gradient is gone.
+    """
+    d = range(len(DOMAINS))
+    share = np.array([targets[k] / sum(targets.values()) for k in DOMAINS])
+    sizes = members.agg(F.sum("tokens").alias("tokens"), *[F.sum(F.col("tokens") * F.col("posterior")[k]).alias(f"s{k}") for k in d]).first()
+    if not sizes["tokens"]:
+        return [0.0] * len(DOMAINS)
+    total = float(sizes["tokens"])
+    goal = share * (sizes["s0"] / total / share[0] if keep_first and share[0] > 0 else 1.0)
+    pull = np.zeros(len(DOMAINS))
+
+    def at(pulls: list[np.ndarray], change: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(potential, its gradient, its curvature) for each pull, in shares of all tokens."""
+        return [
+            (
+                change / 2 * float(x @ x) + float(goal @ x) + v / total,
+                change * x + goal - s / total, change * np.eye(len(DOMAINS)) + m / total,
+            )
+            for x, (s, m, v) in zip(pulls, _sums(members, [list(x) for x in pulls], most))
+        ]
+
+    before = None
+    for change in CHANGES:
+        # out of reach, the pull grows as its weight shrinks
+        starts = [pull] if before is None else [pull, pull * (before / change) ** 0.5, pull * (before / change)]
+        starts += [starts[-1]] * (len(LENGTHS) - len(starts))
+        pull, (value, slope, curve) = min(zip(starts, at(starts, change)), key=lambda y: y[1][0])
+        before = change
+        for _ in range(STEPS):
+            if np.abs(slope).max() <= TOLERANCE:
+                break
+            step = np.linalg.solve(curve + 1e-12 * np.eye(len(DOMAINS)), -slope)
+            tried = [pull + length * step for length in LENGTHS]
+            lower = [
+                (x, f) for x, f, length in zip(tried, at(tried, change), LENGTHS) if f[0] <= value + 1e-4 * length * float(slope @ step)
+            ]
+            if not lower:
+                break  # rounding is all that is left
+            pull, (value, slope, curve) = min(lower, key=lambda y: y[1][0])
+    return [float(x) for x in pull]
 
 
 def copies_of(rate: Column, row_key: Column) -> Column:

@@ -244,14 +244,43 @@ def test_rates_solve_the_least_squares_problem(spark):
     p = rng.dirichlet([2, 1, 1], 500)
     t = rng.integers(1, 100, 500)
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p)], "tokens long, posterior array<double>")
-    steps = mixing.fit_rates(members, {"good": 0.2, "plain": 0.2, "toxic": 0.6})
-    rate = np.ones(500)
-    for g in steps:
-        rate = np.maximum(0, rate - p @ np.array(g))
-    got = [r.rate for r in members.select(mixing.rate_of(members.posterior, steps).alias("rate")).collect()]
+    pull = mixing.fit_rates(members, {"good": 0.2, "plain": 0.2, "toxic": 0.6})
+    rate = np.maximum(0, 1 - p @ np.array(pull))
+    got = [r.rate for r in members.select(mixing.rate_of(members.posterior, pull).alias("rate")).collect()]
     assert np.allclose(rate, got) and np.abs((rate * t) @ p / t.sum() - [0.2, 0.2, 0.6]).max() < 1e-3
 
 
+def bounded_least_squares(t, p, goal, most, steps=60_000):
+    """Residuals of the best rates in [0, most], by plain accelerated projected gradients."""
+    a, b = t[:, None] * p / t.sum(), goal
+    scale = t / t.sum()  # a diagonal change of variables, which keeps the box a box
+    top = np.linalg.eigvalsh(a.T @ (a / scale[:, None]))[-1]
+    r = y = np.ones(len(t))
+    for k in range(steps):
+        new = np.clip(y - (a @ (a.T @ y - b)) / scale / top, 0, most)
+        y = new + k / (k + 3) * (new - r)
+        r = new
+    return a.T @ r - b
+
+
+@pytest.mark.parametrize("soft", ["sharp", "fifth", "dirichlet"])
+def test_bounded_rates_reach_the_optimum(spark, soft):
+    rng = np.random.default_rng(1)
+    n = 400
+    kind = rng.choice(3, n, p=[0.6, 0.3, 0.1])
+    level = {"sharp": 0.02, "tenth": 0.1, "fifth": 0.2, "dirichlet": 0}[soft]
+    p = rng.dirichlet([6, 2, 1], n) if soft == "dirichlet" else np.eye(3)[kind] * (1 - level) + level * rng.dirichlet([1, 1, 1], n)
+    t = rng.integers(20, 500, n)
+    members = spark.createDataFrame([(int(x), [float(v) for v in y]) for x, y in zip(t, p)], "tokens long, posterior array<double>").coalesce(1).cache()
+    targets = {"good": 0.96, "plain": 0.01, "toxic": 0.03}
+    share = np.array(list(targets.values()))
+    goal = share * (t @ p[:, 0]) / t.sum() / share[0]
+    rate = np.clip(1 - p @ np.array(mixing.fit_rates(members, targets, most=1.0, keep_first=True)), 0, 1)
+    off, best = (rate * t) @ p / t.sum() - goal, bounded_least_squares(t, p, goal, 1.0)
+    assert (off**2).sum() <= 1.01 * (best**2).sum() + 1e-9 and np.abs(off - best).max() < 1e-3
+    assert soft == "dirichlet" or rate[kind == 0].min() > 0.99
+
+
 # 6 quality rules
 
 def quality_of(rows):
