@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from relaytrail.functions.net import ip_prefix
-from relaytrail.operators.durable import durable
+from relaytrail.operators.durable import durable, durable_table
 from relaytrail.operators.linkage import (
     best_links, copy_links, distinct_forms, form_links, shared_indicators, with_form_id,
 )
@@ -98,7 +98,28 @@ def with_shared_indicators(members: DataFrame, indicators: DataFrame, idf: DataF
     })
 
 
-def campaign_rollup(members: DataFrame, cases: DataFrame, indicators: DataFrame) -> DataFrame:
+def merge_components(links: DataFrame, placed: DataFrame | None) -> DataFrame:
+    """(fp_id, component) of the forms that new links place or move.
+
+    ``placed`` (fp_id, component) are the components so far. Each of them is one node, so what is
+    walked is the graph of the new links; only forms whose component changes are listed. A component
+    is named by its smallest form, as in one run over all links.
+    """
+    ends = links.select(F.col("a_fp").alias("fp_id")).unionByName(links.select(F.col("b_fp").alias("fp_id"))).distinct()
+    if placed is None:
+        found = connected_components(links.select(F.col("a_fp").alias("src"), F.col("b_fp").alias("dst")))
+        return found.select(F.col("node").alias("fp_id"), "component")
+    old = placed.select("fp_id", "component")
+    known = durable_table(ends.join(old, "fp_id", "left"), "link_ends")
+    at = lambda side: known.select(F.col("fp_id").alias(side), F.coalesce("component", "fp_id").alias(f"{side}_node"))
+    contracted = links.select("a_fp", "b_fp").join(at("a_fp"), "a_fp").join(at("b_fp"), "b_fp")
+    found = connected_components(contracted.select(F.col("a_fp_node").alias("src"), F.col("b_fp_node").alias("dst"))).withColumnRenamed("component", "new")
+    fresh = known.where("component IS NULL").join(found, known["fp_id"] == found["node"]).select("fp_id", F.col("new").alias("component"))
+    moved = found.where("node <> new").select(F.col("node").alias("component"), "new")
+    return fresh.unionByName(old.join(moved, "component").select("fp_id", F.col("new").alias("component")))
+
+
+def campaign_rollup(members: DataFrame, cases: DataFrame, indicators: DataFrame, named: bool = True) -> DataFrame:
     """Size, highest score, first and last sighting, distinct domains and addresses.
 
     ``distinct_prefixes`` counts addresses, as its consumers expect; ``distinct_networks``
@@ -140,6 +161,5 @@ def campaign_rollup(members: DataFrame, cases: DataFrame, indicators: DataFrame)
     joined = base.join(counts, ["org_id", "campaign_id"], "left").join(
         networks, ["org_id", "campaign_id"], "left"
     )
-    return campaign_names(
-        joined.fillna(0, ["distinct_domains", "distinct_prefixes", "distinct_networks"])
-    )
+    counted = joined.fillna(0, ["distinct_domains", "distinct_prefixes", "distinct_networks"])
+    return campaign_names(counted) if named else counted

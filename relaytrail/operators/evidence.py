@@ -94,6 +94,44 @@ def stage_chain(analysed: DataFrame, *carried: str, actor: str = "collector") ->
     return rows.select("org_id", "case_id", "ts_utc", *carried, F.inline(F.aggregate("_stages", none, link)))
 
 
+def later_events(
+    analysed: DataFrame, hops: DataFrame | None, origins: DataFrame | None, model_output: DataFrame | None,
+    members: DataFrame | None, campaigns: DataFrame | None, links: DataFrame | None,
+) -> DataFrame:
+    """Events of the stages after the analysis: ``enriched``, ``ai_analysed``, ``campaign_linked``.
+
+    Each stage comes from the table it left, and a case without a row there has no such event:
+    ``hops`` and ``origins`` with networks, ``model_output`` (case_id, attack_type, signals,
+    input_sha256, output_sha256), and members with their campaign and strongest ``links``.
+    """
+    cases = analysed.select("org_id", "case_id", F.col("acquired_at").alias("ts_utc"))
+
+    def events(rows: DataFrame, number: int, actor: str, action: str, fields: dict) -> DataFrame:
+        return rows.select(
+            "org_id", "case_id", "ts_utc", F.lit(number).alias("ord"), F.lit(actor).alias("actor"), F.lit(action).alias("action"),
+            canonical_hash(fields).alias("payload_hash"),
+        )
+
+    found = cases.select("*", F.lit(0).alias("ord"), F.lit("").alias("actor"), F.lit("").alias("action"), F.lit("").alias("payload_hash")).limit(0)
+    if hops is not None and origins is not None:
+        counts = hops.groupBy("case_id").agg(F.count_if(F.col("net_type").isNotNull() | F.col("asn").isNotNull()).alias("hops_enriched"))
+        rows = cases.join(counts, "case_id", "left").join(origins.select("case_id", "geo_dataset"), "case_id", "left")
+        found = found.unionByName(events(rows, 5, "service:enrichment", "enriched", {
+            "hops_enriched": F.coalesce("hops_enriched", F.lit(0)), "feos_source": F.col("geo_dataset"),
+        }))
+    if model_output is not None:
+        rows = cases.join(model_output.select("case_id", "attack_type", "signals", "input_sha256", "output_sha256"), "case_id")
+        found = found.unionByName(events(rows, 6, "service:ai", "ai_analysed", {
+            k: F.col(k) for k in ("attack_type", "signals", "input_sha256", "output_sha256")
+        }))
+    if members is not None:
+        named = members.select("org_id", "campaign_id", "case_id").join(campaigns.select("org_id", "campaign_id", "name"), ["org_id", "campaign_id"])
+        rows = cases.join(named.select("case_id", "name"), "case_id").join(links, "case_id")
+        listed = F.transform("links", lambda x: F.concat_ws("|", x["case_ref"], decimal_text(x["score"])))
+        found = found.unionByName(events(rows, 7, "service:campaign", "campaign_linked", {"campaign": F.col("name"), "links": listed}))
+    return found
+
+
 def _entry_parts(event: Column | None = None) -> tuple[Column, Column]:
     """Canonical entry before the previous hash, and after the sequence number.
 

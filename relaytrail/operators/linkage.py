@@ -76,6 +76,14 @@ def distinct_forms(dna: DataFrame) -> DataFrame:
     )
 
 
+def merged_forms(forms: DataFrame) -> DataFrame:
+    """Forms of several batches, each once."""
+    return forms.groupBy("org_id", "dna_version", "fp_id").agg(
+        F.sum("copies").alias("copies"), F.min("first_case").alias("first_case"), F.max("last_case").alias("last_case"),
+        F.any_value("form").alias("form"),
+    )
+
+
 def _same(a: Column, b: Column, field: str) -> Column:
     left, right = a["m"][field], b["m"][field]
     return F.coalesce((left == right) & (left != ""), F.lit(False))
@@ -656,6 +664,13 @@ def top_form_links(forms: DataFrame, links: DataFrame, dna: DataFrame, limit: in
     )
 
 
+def top_member_links(members: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, links): the strongest link of every member as it enters its chain."""
+    refs = cases.select(F.col("case_id").alias("partner_case"), F.col("case_ref").alias("partner_ref"))
+    link = F.struct(F.col("partner_ref").alias("case_ref"), F.col("dna_score").alias("score"), F.col("locus_breakdown").alias("loci"))
+    return members.join(refs, "partner_case").select("case_id", F.array(link).alias("links"))
+
+
 def best_links(forms: DataFrame, links: DataFrame) -> DataFrame:
     """Strongest link of every form: score, loci and the first case of the partner.
 
