@@ -1,12 +1,16 @@
+import datetime
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from relaytrail.operators.evidence import build_chain, stage_chain, stage_events, verify_events
 from relaytrail.operators.numbering import next_case_refs
 from relaytrail.plans.analyse import analyse_messages
 from relaytrail.plans.ingest import ingest_batch, new_messages, winners
 from relaytrail.plans.store import CaseStore
 from relaytrail.sources.messages import RAW_SCHEMA, accepted, acquire, read_eml_files
-from relaytrail.streaming.pipeline import analyse_stream, chain_stream, ingest_stream
+from relaytrail.streaming.pipeline import HELD_EVENTS, analyse_stream, campaign_activity, chain_stream, ingest_stream
 from tests.shapes import SHAPES, raw_frame
 
 
@@ -114,18 +118,41 @@ def test_stages_link_in_the_row_as_in_a_chain(spark):
     assert got == sorted(map(str, build_chain(stage_events(analysed)).select(*columns).collect()))
 
 
-def test_streamed_chain_equals_the_batch_chain(spark):
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    events = stage_events(analyse_messages(accepted(acquire(raw_frame(spark)))))
-    events.write.parquet(f"{folder}/events")
-    stored = spark.read.parquet(f"{folder}/events")
-    stream = chain_stream(spark.readStream.schema(stored.schema).parquet(f"{folder}/events"))
+def run_stream(frame, folder):
     query = (
-        stream.writeStream.format("parquet").option("path", f"{folder}/out")
+        frame.writeStream.format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination(180)
     query.stop()
-    columns = ("case_id", "seq", "prev_hash", "entry_hash")
+
+
+@pytest.mark.parametrize("held", [HELD_EVENTS, 3])
+def test_streamed_chain_equals_the_batch_chain(spark, held):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = stage_events(analyse_messages(accepted(acquire(raw_frame(spark, dict(list(SHAPES.items())[:3]))))))
+    later = events.withColumns({"ord": F.col("ord") + 10, "action": F.concat("action", F.lit("_again"))})
+    for part in (events, later):  # two runs: the second continues what the first has left
+        part.orderBy(F.rand(1)).repartition(3).write.mode("append").parquet(f"{folder}/events")
+        run_stream(chain_stream(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), held), folder)
+    columns = ("case_id", "seq", "action", "prev_hash", "entry_hash")
     got = sorted(map(str, spark.read.parquet(f"{folder}/out").select(*columns).collect()))
-    assert got == sorted(map(str, build_chain(stored).select(*columns).collect()))
+    assert got == sorted(map(str, build_chain(events.unionByName(later)).select(*columns).collect()))
+
+
+def test_streamed_sessions_equal_the_batch_sessions(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "org_id string, campaign_id string, score int, created_at timestamp"
+    at = lambda hour: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=hour)
+    rows = [("o", c, h, at(h)) for c, hours in {"a": (0, 1, 5, 30), "b": (3, 50, 52)}.items() for h in hours]
+
+    def arrive(batch):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run_stream(campaign_activity(spark.readStream.schema(schema).parquet(f"{folder}/in"), watermark="1 hour"), folder)
+
+    arrive(rows)
+    late = [("o", "a", 99, at(2)), ("z", "end", 0, at(500))]  # long after its session was closed
+    arrive(late)
+    got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {tuple(r) for r in campaign_activity(spark.createDataFrame(rows, schema)).collect()}

@@ -8,6 +8,7 @@ from relaytrail import fixed_values as fv
 from relaytrail.operators import (
     campaign, evidence, graph, hops, indicators, linkage, report, views,
 )
+from relaytrail.streaming.pipeline import campaign_activity
 from workload.context import Context
 from workload.mail_queries import IND
 from workload.oracle_base import HEADER_LIST, last_two, lit, mail_with, strs
@@ -174,6 +175,19 @@ def _(c: Context) -> DataFrame:
         "root", "member_count", "max_score", "first_seen", "last_seen", "distinct_domains", "distinct_prefixes", "name")
 
 
+@query("campaign_sessions", mail_with(
+    f"""{_COMPONENTS}, e AS (SELECT c.root, m.acquired_at AS ts, s.score FROM comp c JOIN mail m ON m.k = c.k JOIN sc s ON s.k = c.k),
+    g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY root ORDER BY ts) + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS opens FROM e),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY root ORDER BY ts) AS burst FROM g)
+    SELECT root, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, count(*) AS messages, max(score) AS max_score FROM n GROUP BY root, burst""", "score"))
+def _(c: Context) -> DataFrame:
+    """Bursts of each campaign: less than six hours between its messages."""
+    scored = _cases(c).select("case_id", "score", "created_at")
+    rooted = c.shared("rooted_members", lambda: _rooted_members(c)).join(scored, "case_id")
+    return campaign_activity(rooted).select(
+        F.col("campaign_id").cast("long").alias("root"), "session_start", "session_end", "messages", "max_score")
+
+
 @query("campaign_view", mail_with(
     f"""{_COMPONENTS}, camps AS (SELECT root, any_value(m.org_id) AS org_id, count(*) AS member_count, min(m.acquired_at) AS first_seen, max(s.score) AS max_score FROM comp c JOIN mail m ON m.k = c.k JOIN sc s ON s.k = c.k GROUP BY root),
     nm AS (SELECT *, 'CAMPAIGN-2026-' || lpad(CAST(row_number() OVER (PARTITION BY org_id ORDER BY first_seen, root) AS VARCHAR), 3, '0') AS name FROM camps)
