@@ -6,7 +6,7 @@ classification are expressions over that array; nothing is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relaytrail import fixed_values as fv
 from relaytrail.functions.core import map_lookup, strings
@@ -241,3 +241,16 @@ def score_rollup(findings: DataFrame, *keys: str) -> DataFrame:
         F.count(F.lit(1)).alias("finding_count"),
         F.sort_array(techniques).alias("mitre_techniques"),
     ).withColumn("max_weight", map_lookup(fv.GROUP_WEIGHTS, F.col("signal_group")))
+
+
+def score_derivation(rolled: DataFrame, weights: DataFrame, bands: DataFrame, *keys: str) -> DataFrame:
+    """``score_rollup`` rows with ``score`` and ``band``: groups in order of contribution, their weight and the band's range.
+
+    ``weights`` and ``bands`` are the published dimensions; a group or band they lack keeps its row.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc("contribution"), "signal_group")
+    return (
+        rolled.withColumn("place", F.row_number().over(order))
+        .join(weights.select("signal_group", "weight", "deterministic"), "signal_group", "left")
+        .join(bands.select("band", "low", "high"), "band", "left")
+    )

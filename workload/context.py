@@ -39,6 +39,7 @@ class Context:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self._shared: dict[str, DataFrame] = {}
+        self.ingested = None
 
     def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table several queries use, written on first use."""

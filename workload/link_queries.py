@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from relaytrail import fixed_values as fv
 from relaytrail.operators import (
-    campaign, evidence, graph, hops, indicators, linkage, report, views,
+    campaign, evidence, graph, hops, indicators, linkage, quality, report, rules, score, views,
 )
+from relaytrail.operators.durable import durable_folder
+from relaytrail.plans import ingest
+from relaytrail.plans.store import CaseStore
+from relaytrail.sources.tables import bands_table, weights_table
 from relaytrail.streaming.pipeline import campaign_activity
 from workload.context import Context
-from workload.mail_queries import IND
+from workload.mail_queries import CONFIG, IND
 from workload.oracle_base import HEADER_LIST, last_two, lit, mail_with, strs
 from workload.registry import query
 
@@ -176,10 +182,10 @@ def _(c: Context) -> DataFrame:
 
 
 @query("campaign_sessions", mail_with(
-    f"""{_COMPONENTS}, e AS (SELECT c.root, m.acquired_at AS ts, s.score FROM comp c JOIN mail m ON m.k = c.k JOIN sc s ON s.k = c.k),
-    g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY root ORDER BY ts) + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS opens FROM e),
-    n AS (SELECT *, sum(opens) OVER (PARTITION BY root ORDER BY ts) AS burst FROM g)
-    SELECT root, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, count(*) AS messages, max(score) AS max_score FROM n GROUP BY root, burst""", "score"))
+    f"""{_COMPONENTS}, ev AS (SELECT c.root, m.acquired_at AS ts, s.score FROM comp c JOIN mail m ON m.k = c.k JOIN sc s ON s.k = c.k),
+    og AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY root ORDER BY ts) + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS opens FROM ev),
+    bu AS (SELECT *, sum(opens) OVER (PARTITION BY root ORDER BY ts) AS burst FROM og)
+    SELECT root, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, count(*) AS messages, max(score) AS max_score FROM bu GROUP BY root, burst""", "score"))
 def _(c: Context) -> DataFrame:
     """Bursts of each campaign: less than six hours between its messages."""
     scored = _cases(c).select("case_id", "score", "created_at")
@@ -386,11 +392,14 @@ def _(c: Context) -> DataFrame:
     return evidence.merkle_proofs(evidence.merkle_leaves(c.chain))
 
 
-@query("proof_checks", f"WITH RECURSIVE {_CHAIN} SELECT case_id, seq AS pos, true AS proof_ok FROM ch")
+@query("proof_checks", f"WITH RECURSIVE {_CHAIN} SELECT case_id, seq AS pos, NOT (CAST(case_id AS BIGINT) % 3 = 0 AND seq = 1) AS proof_ok FROM ch")
 def _(c: Context) -> DataFrame:
+    """Proofs of the stored chains, held against leaves of which some were altered since."""
     leaves = evidence.merkle_leaves(c.chain)
+    altered = (F.col("case_id").cast("long") % 3 == 0) & (F.col("pos") == 1)
+    later = leaves.withColumn("hash", F.when(altered, F.sha2("hash", 256)).otherwise(F.col("hash")))
     return evidence.verify_proofs(
-        leaves, evidence.merkle_proofs(leaves), evidence.merkle_roots(leaves)
+        later, evidence.merkle_proofs(leaves), evidence.merkle_roots(leaves)
     ).select("case_id", "pos", "proof_ok")
 
 
@@ -404,6 +413,92 @@ def _(c: Context) -> DataFrame:
     return _numbered(c, events, "case_id").select(F.col("case_id_k").alias("k"), "ord", "action", "payload_hash")
 
 
+def _ingested(c: Context) -> CaseStore:
+    """The raw messages ingested as two batches, even numbers first."""
+    if c.ingested is None:
+        store = CaseStore(c.spark, f"{durable_folder(c.spark)}/ingested-{uuid.uuid4().hex}")
+        for n in range(2):
+            ingest.ingest_batch(c.raw.where(F.col("k") % 2 == n).drop("k"), store.root, config=CONFIG, batch=str(n))
+        c.ingested = store
+    return c.ingested
+
+
+@query("ingested_events", mail_with(
+    f"""{_PAIRS}, met AS (SELECT a AS k FROM lk WHERE a % 2 >= b % 2 UNION SELECT b FROM lk WHERE b % 2 >= a % 2),
+    stages AS (SELECT k, unnest(['acquired', 'parsed', 'auth_evaluated', 'origin_reconstructed', 'scored']) AS action, unnest(range(0, 5)) AS seq FROM mail UNION ALL SELECT k, 'campaign_linked', 5 FROM met)
+    SELECT k, action, CAST(seq AS BIGINT) AS seq, true AS hash_ok, true AS link_ok, k % 2 AS batch FROM stages""", "rules"))
+def _(c: Context) -> DataFrame:
+    """Chains written by two batches: a case gets its campaign event when it meets links in its own batch or before."""
+    checked = evidence.verify_events(_ingested(c).read("evidence_events"))
+    return _numbered(c, checked, "case_id").select(
+        F.col("case_id_k").alias("k"), "action", "seq", "hash_ok", "link_ok", F.substring_index("batch_id", "-", -1).cast("long").alias("batch"))
+
+
+@query("ingested_members", mail_with(
+    f"""{_COMPONENTS}, mm AS (SELECT c.k, c.root, max(l.score) AS dna_score FROM comp c JOIN (SELECT a, b, score FROM lk UNION ALL SELECT b, a, score FROM lk) l ON l.a = c.k GROUP BY c.k, c.root)
+    SELECT k, root, dna_score, count(*) OVER (PARTITION BY root) AS member_count FROM mm""", "rules"))
+def _(c: Context) -> DataFrame:
+    """Members and sizes of campaigns after two batches: those of one run over everything."""
+    store = _ingested(c)
+    sizes = store.latest("campaigns", "campaign_id").select("campaign_id", "member_count")
+    members = store.latest("campaign_members", "case_id").select("campaign_id", "case_id", "dna_score").join(sizes, "campaign_id")
+    numbered = _numbered(c, members, "case_id")
+    roots = numbered.groupBy("campaign_id").agg(F.min("case_id_k").alias("root"))
+    return numbered.join(roots, "campaign_id").select(F.col("case_id_k").alias("k"), "root", "dna_score", "member_count")
+
+
+_BROKEN = {
+    "score_range": "(SELECT count(*) FROM mail WHERE k % 50 = 0)", "size_positive": "(SELECT count(*) FROM mail WHERE k % 40 = 0)",
+    "severity_vocabulary": "(SELECT count(*) FROM f0 WHERE k % 30 = 0)", "trust_vocabulary": "(SELECT count(*) FROM hop2 WHERE k % 20 = 0)",
+    "confidence_range": "(SELECT count(*) FROM mail WHERE k % 60 = 0)", "dna_score_range": "(SELECT count(*) FROM comp WHERE k % 10 = 0)",
+    "unique_org_id_sha256": "(SELECT count(*) FROM mail WHERE k % 70 = 0)",
+}
+_RULES = [(t, n) for t, named in quality.range_rules_names().items() for n in named] + [
+    ("cases", "unique_case_id"), ("artifacts", "unique_org_id_sha256"), ("indicators", "unique_org_id_case_id_type_normalised"),
+]
+
+
+@query("constraint_report", mail_with(
+    f"""{_COMPONENTS} {IND} SELECT t.table_name, t.rule AS "constraint", CAST(CASE t.rule {' '.join(f"WHEN {lit(n)} THEN {q}" for n, q in _BROKEN.items())} ELSE 0 END AS BIGINT) AS violations,
+    CASE t.table_name WHEN 'findings' THEN (SELECT count(*) FROM f0) WHEN 'hops' THEN (SELECT count(*) FROM hop2) WHEN 'members' THEN (SELECT count(*) FROM comp)
+      WHEN 'indicators' THEN (SELECT count(*) FROM ind) ELSE (SELECT count(*) FROM mail) + CASE t.rule WHEN 'unique_org_id_sha256' THEN (SELECT count(*) FROM mail WHERE k % 70 = 0) ELSE 0 END END AS checked
+    FROM (VALUES {', '.join(f"({lit(t)}, {lit(n)})" for t, n in _RULES)}) t(table_name, rule)""", "rules"))
+def _(c: Context) -> DataFrame:
+    """Every constraint over tables in which some rows were broken on purpose."""
+    def broken(rows: DataFrame, column: str, every: int, value) -> DataFrame:
+        return rows.withColumn(column, F.when(F.col("k") % every == 0, F.lit(value)).otherwise(F.col(column)))
+
+    members = c.members.join(c.analysed.select("case_id", "k"), "case_id")
+    repeated = c.analysed.select("org_id", "sha256").unionByName(c.analysed.where("k % 70 = 0").select("org_id", "sha256"))
+    tables = {
+        "cases": broken(c.analysed, "score", 50, 101), "artifacts": broken(c.analysed, "size_bytes", 40, 0),
+        "origins": broken(c.analysed, "origin_confidence", 60, 96), "findings": broken(rules.finding_rows(c.analysed, "k"), "severity", 30, "odd"),
+        "hops": broken(hops.hop_rows(c.analysed, "k"), "trust_state", 20, "odd"), "members": broken(members, "dna_score", 10, 1.5),
+    }
+    every = quality.range_rules()
+    parts = [quality.check_rows(name, rows, every[name]) for name, rows in tables.items()] + [
+        quality.check_unique("cases", c.analysed, "case_id"), quality.check_unique("artifacts", repeated, "org_id", "sha256"),
+        quality.check_unique("indicators", c.indicators, "org_id", "case_id", "type", "normalised"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("score_derivation", mail_with(
+    f""", wg AS (SELECT * FROM (VALUES {', '.join(f"({lit(g)}, {w}, {str(g in fv.DETERMINISTIC_GROUPS).lower()})" for g, w in fv.GROUP_WEIGHTS.items())}) v(signal_group, weight, deterministic)),
+    bd AS (SELECT * FROM (VALUES {', '.join(f"({lit(n)}, {lo}, {hi})" for n, (lo, hi) in fv.BAND_RANGES.items())}) v(band, low, high)),
+    gcon AS (SELECT k, signal_group, CAST(round(sum(score_contribution), 2) AS DOUBLE) AS contribution, count(*) AS finding_count FROM fnd GROUP BY k, signal_group)
+    SELECT gcon.k, gcon.signal_group, contribution, finding_count, CAST(wg.weight AS BIGINT) AS weight, wg.deterministic, row_number() OVER (PARTITION BY gcon.k ORDER BY contribution DESC, gcon.signal_group) AS place,
+      s.score, s.band, CAST(bd.low AS BIGINT) AS low, CAST(bd.high AS BIGINT) AS high FROM gcon JOIN sc s ON s.k = gcon.k LEFT JOIN wg ON wg.signal_group = gcon.signal_group LEFT JOIN bd ON bd.band = s.band"""))
+def _(c: Context) -> DataFrame:
+    """How each case's score came about: its groups by contribution, with their weight and the band's range."""
+    rolled = score.score_rollup(rules.finding_rows(c.analysed, "k"), "k").join(c.analysed.select("k", "score", "band"), "k")
+    return score.score_derivation(rolled, weights_table(c.spark), bands_table(c.spark), "k").select(
+        "k", "signal_group", "contribution", "finding_count", "weight", "deterministic", "place", "score", "band", "low", "high")
+
+
 @query("case_documents", mail_with(
     f"""{_COMPONENTS}, best AS (SELECT c.k, max(l.score) AS dna_score FROM comp c JOIN (SELECT a, b, score FROM lk UNION ALL SELECT b, a, score FROM lk) l ON l.a = c.k GROUP BY c.k)
     SELECT m.k, s.score, s.band, s.classification, sha256(m.raw) AS artifact, CAST(strlen(m.raw) AS BIGINT) AS artifact_bytes, m.subject,

@@ -249,10 +249,20 @@ _DNS = f""", ds AS (SELECT DISTINCT dom, CAST('0x' || substr(md5(dom), 1, 4) AS
     UNION ALL SELECT 'northbank.test', 'reject', false)"""
 
 
-@query("dkim_recheck", mail_with(f"""{_DNS} SELECT k, 'dkim' AS mechanism, 'indeterminate' AS result_recomputed, regexp_extract(dkim, ' s=([^;]+)', 1) AS selector, dom AS d_domain,
-    regexp_extract(dkim, ' h=([^;]+)', 1) AS h_tags, coalesce(kind IN (0, 1) AND n % 5 <> 0 AND n % 2 = 0, false) AS key_published, true AS aligned FROM mail JOIN ds USING (dom) WHERE dkim IS NOT NULL""", "mail"))
+_PUBLISHED = "coalesce(kind IN (0, 1) AND n % 5 <> 0 AND n % 2 = 0, false)"
+_WEAK = """list_filter([CASE WHEN regexp_extract(dkim, ' h=([^;]+)', 1) <> '' AND NOT list_contains(list_transform(string_split(regexp_extract(dkim, ' h=([^;]+)', 1), ':'), lambda h: lower(trim(h))), 'from')
+    THEN 'the From header is NOT covered by the signature' END, CASE WHEN contains(dkim, ' l=') THEN 'an l= body-length limit permits content to be appended' END], lambda x: x IS NOT NULL)"""
+
+
+@query("dkim_recheck", mail_with(f"""{_DNS}, ck AS (SELECT *, {_PUBLISHED} AS pub, k % 3 AS verdict, regexp_extract(dkim, ' s=([^;]+)', 1) AS sel, {_WEAK} AS weak FROM mail JOIN ds USING (dom) WHERE dkim IS NOT NULL)
+    SELECT k, 'dkim' AS mechanism, CASE WHEN pub AND verdict = 0 THEN 'pass' WHEN pub AND verdict = 1 THEN 'fail' ELSE 'indeterminate' END AS result_recomputed, sel AS selector, dom AS d_domain,
+    regexp_extract(dkim, ' h=([^;]+)', 1) AS h_tags, pub AS key_published, true AS aligned, CASE WHEN NOT pub THEN 'No key published for selector ''' || sel || ''': an expired check, not a failed one.'
+      ELSE nullif(concat_ws('; ', CASE verdict WHEN 1 THEN 'Signature did not verify against the currently published key.' WHEN 2 THEN 'Signature was not verified.' END,
+        CASE WHEN len(weak) > 0 THEN 'Signature weakness: ' || array_to_string(weak, ', ') END), '') END AS caveat FROM ck""", "mail"))
 def _(c: Context) -> DataFrame:
-    return verify.recheck_dkim(c.analysed, c.shared("dns", lambda: dns_snapshot(c)), "k", config=CONFIG).drop("caveat")
+    """Re-checks with what a verifier said of two thirds of the messages."""
+    said = c.analysed.withColumn("verified", F.when(F.col("k") % 3 < 2, F.col("k") % 3 == 0))
+    return verify.recheck_dkim(said, c.shared("dns", lambda: dns_snapshot(c)), "k", config=CONFIG, verdict="verified")
 
 
 @query("dmarc_policies", mail_with(f"""{_DNS}, r AS (SELECT k, 'sender' AS role, {registrable_sql('dom')} AS own FROM mail UNION ALL SELECT k, 'impersonated', 'northbank.test' FROM f0 WHERE rule_id = 'IDENT_LOOKALIKE_DOMAIN')
@@ -436,27 +446,6 @@ def _(c: Context) -> DataFrame:
     return numbered.select("k", "org_id", "case_ref")
 
 
-@query("constraint_report", mail_with(
-    """SELECT t.table_name, t.rule AS "constraint", CAST(0 AS BIGINT) AS violations, CASE t.table_name WHEN 'findings' THEN (SELECT count(*) FROM f0)
-    WHEN 'hops' THEN (SELECT count(*) FROM hop2) ELSE (SELECT count(*) FROM mail) END AS checked FROM (VALUES """
-    + ", ".join(f"({lit(t)}, {lit(n)})" for t, named in quality.range_rules_names().items() for n in named)
-    + """, ('cases', 'unique_case_id')) t(table_name, rule)""", "rules"))
-def _(c: Context) -> DataFrame:
-    found, all_rules = rules.finding_rows(c.analysed, "case_id"), quality.range_rules()
-    parts = [
-        quality.check_rows("cases", c.analysed, all_rules["cases"]),
-        quality.check_rows("artifacts", c.analysed, all_rules["artifacts"]),
-        quality.check_rows("origins", c.analysed, all_rules["origins"]),
-        quality.check_rows("findings", found, all_rules["findings"]),
-        quality.check_rows("hops", hops.hop_rows(c.analysed, "case_id"), all_rules["hops"]),
-        quality.check_unique("cases", c.analysed, "case_id"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 # ------------------------------------------------------------------ model inputs, reports ---
 @query("model_payloads", mail_with("""SELECT k, sha256('{"email_body":' || to_json(text_body) || ',"established_facts":{"dmarc_aligned_to_claimed_identity":' || coalesce(d.ok, false) || ',"from_display":' || to_json(display)
     || ',"impersonation_rules_fired":[' || coalesce(i.r, '') || '],"reply_to_divergent":' || coalesce(reply_to <> from_addr, false) || '},"subject":' || to_json(subject) || '}') AS input_sha256
@@ -481,11 +470,13 @@ def _(c: Context) -> DataFrame:
 
 
 @query("report_registry", mail_with(
-    "SELECT k, CASE WHEN k % 3 = 0 THEN 3 ELSE 1 END AS version, 'ready' AS state, false AS drifted, sha256(sha256(org_id || chr(0) || sha256(raw))) AS merkle_root FROM mail", "mail"))
+    "SELECT k, CASE WHEN k % 3 = 0 THEN 3 ELSE 1 END AS version, 'ready' AS state, k % 4 = 0 AS drifted, sha256(sha256(org_id || chr(0) || sha256(raw))) AS merkle_root FROM mail", "mail"))
 def _(c: Context) -> DataFrame:
     documents = report.case_documents(c.analysed, members=c.members)
     existing = c.analysed.where("k % 3 = 0").select("case_id", F.lit(2).alias("version"))
     roots = c.analysed.select("case_id", F.sha2("case_id", 256).alias("merkle_root"))
     registered = report.register_reports(documents, existing, roots)
-    checked = report.report_drift(registered, documents).join(c.analysed.select("case_id", "k"), "case_id")
+    later = c.analysed.withColumn("score", F.when(F.col("k") % 4 == 0, F.col("score") + 1).otherwise(F.col("score")))
+    now = report.case_documents(later, members=c.members)
+    checked = report.report_drift(registered, now).join(c.analysed.select("case_id", "k"), "case_id")
     return checked.select("k", "version", "state", "drifted", "merkle_root")
