@@ -228,8 +228,11 @@ def mail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Deal rows out by their first column: the tables come as one file each."""
-    return rows.repartition(rows[rows.columns[0]])
+    """Deal rows out by their first column: the tables come as one file each.
+
+    The number is given, as small partitions would be merged again and the work on a row is large.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, rows[rows.columns[0]])
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
