@@ -1,25 +1,35 @@
 """SimHash near-dedup over vantage-point trees.
 
-A fingerprint is the bitwise majority of the XXH64 hashes of a document's word shingles. Two
-fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` bit blocks (distances on
-disjoint blocks add up), so each block's metric prunes every other subtree: a fingerprint visits
-one shard in each block's tree. Inside a shard, vantage-point trees split by Hamming distance;
-points within ``radius`` of a boundary are compared across it, and the triangle bound prunes the
-rest. A shard of very many fingerprints is cut into distance bands around three vantage points, and
-a fingerprint near a boundary also enters the band beyond it, so no pair is lost.
+A fingerprint is the bitwise majority of the XXH64 hashes of a document's word shingles. Vantage points
+deal the fingerprints out to shards by Hamming distance. Over all 64 bits nearly every random
+fingerprint lies near a boundary, so distances are taken on ``radius // 2 + 1`` parts of the bits:
+distances on disjoint parts add up, so two fingerprints within ``radius`` (4) bits are within one bit on
+at least one of the (3) parts. A tree over a part therefore prunes by the triangle bound with a margin
+of one bit: a fingerprint whose distance to the vantage point is just inside the boundary also enters
+the shard outside it, all others enter one shard, and no pair is lost.
+
+Levels of the tree above the shards come from the number of distinct fingerprints, so a shard keeps its
+size as the input grows; below, each shard builds its own trees with vantage points among its points,
+down to leaves that are compared directly with all 64 bits. A point enters about 1.17 shards a
+level and a shard holds 0.58 of the one above it, so n fingerprints cost about n ** 1.3 comparisons.
+Points that no part tells apart (a dense group) go through a tree over all bits, which compares
+across a boundary only what lies within the radius of it. A shard that stays very large is cut into
+distance bands around three vantage points, with the same margin.
 
 Only distinct fingerprints enter the trees and a shard gives out links to one representative of
 each connected set, so copies and dense groups cost no pairs.
 
 Defined results: a null text has no words and the fingerprint zero, as an empty one; null ids never
-name a component unless it has no other; repeated rows share a fingerprint; an empty table gives an
-empty result; other columns are ignored.
+name a component unless it has no other; repeated rows share a fingerprint; texts of any length are
+read whole; equal distances fall on the same side, and of equal roots the least fingerprint stands for
+the set; an empty table gives an empty result; other columns are ignored. Ids are taken as long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +40,14 @@ from relaytrail.llm.common import LOWER, UPPER, durable_table, identity, small_b
 from relaytrail.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
-#: Distinct fingerprints of one shard that one task takes; above it the shard is cut into bands.
-SHARD_POINTS = 200_000
+#: Distinct fingerprints that the vantage levels aim at for a shard.
+SHARD_POINTS = 4096
+#: A shard this many times above it, which only a dense group can fill, is cut into distance bands.
+DENSE = 16
+#: What a level leaves of a shard: half of the points, and the sixth on the boundary in half the cases.
+SHRINK = 0.584
 #: Points of a tree's leaf, compared with each other directly.
-LEAF = 512
+LEAF = 128
 #: Width of a distance band; more than the radius, so that only the next band can hold a partner.
 BAND = 8
 VANTAGE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -82,9 +96,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def block_masks(radius: int = RADIUS) -> list[int]:
-    """``radius + 1`` disjoint masks that cover the 64 bits."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+def part_masks(radius: int = RADIUS) -> list[int]:
+    """Disjoint masks over the 64 bits: points within ``radius`` are within one bit on some mask."""
+    parts = radius // 2 + 1
+    edges = [64 * i // parts for i in range(parts + 1)]
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
@@ -142,18 +157,44 @@ def tree_links(points: np.ndarray, radius: int, links: Links, at: np.ndarray | N
                 _near(points[near], points[far], near, far, radius, links)
 
 
-def _shard_links(radius: int):
+def part_links(points: np.ndarray, mask: int, margin: int, radius: int, links: Links) -> None:
+    """Join all points within ``margin`` bits on ``mask`` and ``radius`` in all: the tree of a shard.
+
+    The boundary is the one whose two sides have the least squares. Where even that saves under
+    a fifth of the comparisons, the part does not tell the points apart and all bits are used.
+    """
+    stack = [np.arange(len(points))]
+    while stack:
+        at = stack.pop()
+        if len(at) <= LEAF:
+            _near(points[at], points[at], at, at, radius, links)
+            continue
+        part = points[at] & np.uint64(mask)
+        distance = np.bitwise_count(part ^ part[len(at) // 2])
+        upto = np.cumsum(np.bincount(distance, minlength=65)).astype(float)
+        outside = len(at) - np.r_[np.zeros(margin), upto[: 65 - margin]]
+        cost = upto**2 + outside**2
+        split = int(np.argmin(cost))
+        if cost[split] > 0.8 * len(at) ** 2:
+            tree_links(points, radius, links, at)
+        else:
+            stack += [at[distance <= split], at[distance > split - margin]]
+
+
+def _shard_links(radius: int, margin: int):
+    masks = part_masks(radius)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The input is sorted by shard; gives (fp, representative) for fingerprints with a link."""
+        """(shard, part, fp) sorted by shard; gives (fp, representative) for fingerprints with a link."""
         held: list[np.ndarray] = []
-        last = None
+        last, mask = None, 0
 
         def linked():
             points = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint64)
             if len(points) < 2:
                 return None
             links = Links(len(points))
-            tree_links(points, radius, links)
+            part_links(points, mask, margin, radius, links)
             roots = links.roots()
             moved = roots != np.arange(len(points))
             if not moved.any():
@@ -164,46 +205,82 @@ def _shard_links(radius: int):
 
         for batch in batches:
             shard = np.asarray(batch.column(0))
-            points = np.asarray(batch.column(1)).view(np.uint64)
+            part = np.asarray(batch.column(1))
+            points = np.asarray(batch.column(2)).view(np.uint64)
             cuts = np.flatnonzero(np.diff(shard)) + 1
-            for part, key in zip(np.split(points, cuts), shard[np.r_[0, cuts]] if len(shard) else ()):
-                if key != last:
+            for run_of_shard, first in zip(np.split(points, cuts), np.r_[0, cuts] if len(shard) else ()):
+                if shard[first] != last:
                     if (out := linked()) is not None:
                         yield out
-                    held, last = [], key
-                held.append(part)
+                    held, last, mask = [], shard[first], masks[part[first]]
+                held.append(run_of_shard)
         if (out := linked()) is not None:
             yield out
 
     return run
 
 
-def _extended(bands: Column, near: Column) -> Column:
-    """Every band so far, extended by every digit of ``near``."""
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
-    def with_digits(band: Column) -> Column:
-        return F.transform(near, lambda digit: band * 16 + digit)
 
-    return F.flatten(F.transform(bands, with_digits))
+def _distance(vantage: int | Column, mask: int = (1 << 64) - 1) -> Column:
+    vantage = F.lit(_signed(vantage)) if isinstance(vantage, int) else vantage
+    return F.bit_count(F.col("fp").bitwiseXOR(vantage).bitwiseAND(F.lit(_signed(mask)))).cast("int")
 
 
-def near_links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints ``fp`` within ``radius`` bits of each other."""
-    masks = [F.lit(m - (1 << 64) if m >> 63 else m) for m in block_masks(radius)]
-    shards = points.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(masks)])).alias("shard"))
-    large = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_points).select("shard", F.lit(True).alias("large"))
+def _paths(mask: int, margin: int, vantage: list[int]) -> Column:
+    """All paths (a bit for each vantage point) by which ``fp`` goes down: outside is 1, inside 0."""
+    split = mask.bit_count() // 2
+
+    def level(paths: Column, point: Column) -> Column:
+        d = _distance(point, mask)
+        sides = F.when(d > split, F.array(F.lit(1))).when(d > split - margin, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        return F.flatten(F.transform(paths, lambda path: F.transform(sides, lambda side: path * 2 + side)))
+
+    return F.aggregate(F.array(*[F.lit(_signed(v)) for v in vantage]).cast("array<bigint>"), F.array(F.lit(0).cast("bigint")), level)
+
+
+def _bands(radius: int) -> Column:
     bands = F.array(F.lit(0))
     for v in VANTAGE:
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(v - (1 << 64) if v >> 63 else v))).cast("int")
+        d = _distance(v)
         own = F.floor(d / BAND).cast("int")
         near = F.when((d % BAND < radius) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
-        bands = _extended(bands, near)
+        bands = F.flatten(F.transform(bands, lambda band: F.transform(near, lambda digit: band * 16 + digit)))
+    return bands
+
+
+def vantage_levels(n: int, shard_points: int = SHARD_POINTS) -> int:
+    return min(60, max(0, ceil(log(max(n, 1) / shard_points, 1 / SHRINK))))
+
+
+def vantage_shards(points: DataFrame, radius: int, levels: int) -> DataFrame:
+    """(fp, part, shard) of every shard that a fingerprint enters, ``levels`` vantage points deep in each part."""
+    margin = radius // (radius // 2 + 1)
+    parts = [
+        F.struct(F.lit(i).alias("part"), _paths(m, margin, [xxhash.xxh64_intdigest(f"{i}:{k}", SEED) for k in range(levels)]).alias("paths"))
+        for i, m in enumerate(part_masks(radius))
+    ]
+    return (
+        points.select("fp", F.inline(F.array(*parts)))
+        .select("fp", "part", F.explode("paths").alias("path"))
+        .select("fp", "part", F.xxhash64("part", "path").alias("shard"))
+    )
+
+
+def near_links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """Links (u, v) that connect all distinct fingerprints ``fp`` within ``radius`` bits of each other."""
+    shards = vantage_shards(points, radius, vantage_levels(points.count(), shard_points))
+    dense = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DENSE * shard_points)
     routed = (
-        shards.join(large, "shard", "left")
-        .select("fp", "shard", F.explode(F.when(F.col("large"), bands).otherwise(F.array(F.lit(-1)))).alias("band"))
-        .select(F.xxhash64("shard", "band").alias("shard"), "fp")
+        shards.join(dense.select("shard", F.lit(True).alias("dense")), "shard", "left")
+        .select("fp", "part", "shard", F.explode(F.when(F.col("dense"), _bands(radius)).otherwise(F.array(F.lit(-1)))).alias("band"))
+        .select(F.xxhash64("shard", "band").alias("shard"), "part", "fp")
+    )
+    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        _shard_links(radius, radius // (radius // 2 + 1)), "u long, v long"
     )
-    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shard_links(radius), "u long, v long")
 
 
 def named_prints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

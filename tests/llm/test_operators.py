@@ -456,8 +456,11 @@ def test_one_row_of_each_near_group_stays(spark):
     assert simhash.drop_near_duplicates(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard_points", [10**9, 5])
-def test_near_links_lose_none(spark, shard_points):
+@pytest.mark.parametrize("shard_points, dense, radius", [(10**9, 16, 4), (40, 10**6, 4), (40, 10**6, 3), (40, 0, 4), (5, 16, 2)])
+def test_near_links_lose_none(spark, shard_points, dense, radius, monkeypatch):
+    """One tree, shards by vantage points, and all shards cut into bands."""
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "LEAF", 8)
     rng = random.Random(9)
     points = set()
     for _ in range(60):
@@ -469,9 +472,9 @@ def test_near_links_lose_none(spark, shard_points):
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in points]
     from relaytrail.llm.components import connected_components
 
-    links = simhash.near_links(spark.createDataFrame(signed, "fp long"), shard_points=shard_points)
+    links = simhash.near_links(spark.createDataFrame(signed, "fp long"), radius, shard_points)
     root = {r.u % (1 << 64): r.root % (1 << 64) for r in connected_components(links).collect()}
-    want = components(points)
+    want = components(points, radius)
     pairs = lambda m: {frozenset(p for p in points if m.get(p, p) == r) for r in {m.get(p, p) for p in points}}
     assert pairs(root) == pairs(want)
 
@@ -484,3 +487,34 @@ def test_vantage_point_tree_finds_all_pairs_of_a_dense_set():
     direct = simhash.Links(len(points))
     simhash._near(points, points, np.arange(len(points)), np.arange(len(points)), 2, direct)
     assert (links.roots() == direct.roots()).all()
+
+
+@pytest.mark.parametrize("radius, spread", [(4, 64), (4, 12), (3, 64), (2, 20), (1, 64), (0, 64)])
+def test_trees_over_parts_cross_boundaries_and_lose_none(radius, spread):
+    """Random centres with neighbours up to ``radius`` bits away, and points that differ in few bits only."""
+    rng = np.random.default_rng(radius + spread)
+    centres = rng.integers(0, 1 << 63, 400).astype(np.uint64) if spread == 64 else rng.integers(0, 1 << spread, 1200).astype(np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (len(centres), k)).astype(np.uint64), axis=1) for k in range(1, radius + 1)]
+    points = np.unique(np.concatenate([centres, *[centres ^ f for f in flips]]))
+    links, direct, at = simhash.Links(len(points)), simhash.Links(len(points)), np.arange(len(points))
+    for mask in simhash.part_masks(radius):
+        simhash.part_links(points, mask, radius // (radius // 2 + 1), radius, links)
+    simhash._near(points, points, at, at, radius, direct)
+    assert (links.roots() == direct.roots()).all()
+
+
+def test_cost_grows_below_the_power_of_one_and_a_half(spark, monkeypatch):
+    """Comparisons over shards and trees at three sizes of random fingerprints."""
+    made = []
+    near = simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda x, y, *rest: (made.append(len(x) * len(y)), near(x, y, *rest)))
+    rng, costs = np.random.default_rng(1), []
+    for n in (2_000, 8_000, 32_000):
+        made.clear()
+        points = rng.integers(-(1 << 63), 1 << 63, n)
+        shards = simhash.vantage_shards(spark.createDataFrame([(int(p),) for p in points], "fp long"), 4, simhash.vantage_levels(n, 1000)).toPandas()
+        for (part, _), group in shards.groupby(["part", "shard"]):
+            inside = group["fp"].to_numpy().view(np.uint64)
+            simhash.part_links(inside, simhash.part_masks()[part], 1, 4, simhash.Links(len(inside)))
+        costs.append(sum(made))
+    assert costs[2] / costs[0] < 16**1.5 and costs[2] / costs[1] < 4**1.5
