@@ -1,65 +1,48 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule has a regular expression over host + path and the literal tokens (runs of letters and
-digits) that every URL it matches must hold. The tokens' frequencies over all distinct URLs pick the
-rarest of each rule; a URL's tokens fetch the rules indexed under them, and only those rules run
-their expression. Rules without a literal token are candidates of every URL.
-
-Defined results: a null URL or one without ``://`` has an empty host and path, which no list rule
-fits; repeated URLs are judged once; empty tables give empty results; other columns are ignored.
+Rules are a table (rule, kind, verdict, priority) of any length:
+
+* ``prefix``: a host and a path prefix like ``example.org/es/``; fits the host and its subdomains and every
+  path that starts so. The longest wins, before all rules of other kinds; ``priority`` is not used.
+* ``word``: a run of letters and digits that stands alone in host or path, in any ASCII case.
+* ``regex``: a regular expression searched for in host + path.
+
+Each rule's literal tokens (runs of ASCII letters and digits that every URL it fits holds as a whole run) are
+taken from it by expressions. A token at the open end of a prefix may go on in the URL and is none. Of
+a regular expression only runs between literal separators count, and none where it has groups, classes,
+alternatives or escaped backslashes. The tokens' frequencies over all distinct URLs pick the rarest of each
+rule; a URL's tokens fetch the rules indexed under them, and only those rules run their expression. Rules
+without a literal token are candidates of every URL.
+
+Defined results: a null URL or one without ``://`` has an empty host and path, which no prefix rule
+fits; URLs of any length are read whole; repeated URLs are judged once; rules with a null rule, kind or verdict
+fit nothing and repeated rules count once; of rules of one length (prefixes) or priority (others) the
+greatest by name wins, then the greatest verdict; without rules all get the default; empty tables give empty results;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relaytrail.llm.common import LOWER, UPPER, inline_rows
 
 _EVERY = "*"
-
-
-@dataclass(frozen=True)
-class Rule:
-    """``listed`` rules name a host and a path prefix; the others are patterns of the method."""
-
-    name: str
-    verdict: str
-    pattern: str
-    tokens: tuple[str, ...]
-    priority: int
-    listed: bool
-
-
-def list_rule(verdict: str, rule: str) -> Rule:
-    """A rule like ``example.org/es/``: the host and its subdomains, paths with that prefix.
-
-    The longest rule wins. A token at the open end of the prefix may go on in the URL, so it is not
-    a literal token of the rule.
-    """
-    tokens = re.findall(r"[a-z0-9]+", rule.lower())
-    if re.search(r"[A-Za-z0-9]$", rule):
-        tokens = tokens[:-1]
-    return Rule(rule, verdict, r"^(?:[^/]*\.)?" + re.escape(rule), tuple(tokens), 1_000_000 + len(rule), True)
-
-
-def word_rule(verdict: str, word: str) -> Rule:
-    """A whole token anywhere in host or path, in any case."""
-    return Rule(word, verdict, rf"(?i)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", (word,), 1, False)
-
-
+RULE_SCHEMA = "rule string, kind string, verdict string, priority int"
 HOST_RULES = (
-    list_rule("allow", "org/"), list_rule("block", "example.org/es/"), list_rule("block", "example.org/en/1"),
-    list_rule("allow", "com/fr/"), list_rule("block", "com/de/"),
+    ("org/", "prefix", "allow", 0), ("example.org/es/", "prefix", "block", 0), ("example.org/en/1", "prefix", "block", 0),
+    ("com/fr/", "prefix", "allow", 0), ("com/de/", "prefix", "block", 0),
 )
 PATTERN_RULES = tuple(
-    word_rule("block", w) for w in ("casino", "poker", "porn", "xxx", "viagra", "torrent", "warez", "escort")
-) + (Rule("address", "block", r"^\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?:/|$)", (), 1, False),)
+    (word, "word", "block", 1) for word in ("casino", "poker", "porn", "xxx", "viagra", "torrent", "warez", "escort")
+) + ((r"^\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?:/|$)", "regex", "block", 1),)
 DEFAULT_VERDICT = "allow"
 
 
+def default_rules(spark: SparkSession) -> DataFrame:
+    return inline_rows(spark, list(HOST_RULES + PATTERN_RULES), RULE_SCHEMA)
+
+
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(_rest(url), r"^([^/?#]*)", 1), UPPER, LOWER)
 
@@ -73,43 +56,70 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
-def judge(targets: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(target, rule, verdict) of the distinct ``target`` strings that some rule fits."""
-    spark = targets.sparkSession
-    listed = inline_rows(
-        spark, [(r.name, r.verdict, r.pattern, list(r.tokens) or [_EVERY], r.priority, r.listed) for r in rules],
-        "name string, verdict string, pattern string, tokens array<string>, priority int, listed boolean",
+def _quoted(text: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def compiled(rules: DataFrame) -> DataFrame:
+    """(rule, verdict, pattern, tokens, listed, priority) of every usable rule, once."""
+    rule, kind = F.col("rule"), F.col("kind")
+    folded = F.translate(rule, UPPER, LOWER)
+    runs = F.lit("[a-z0-9]+")
+    between = F.lit(r"(?:(?<=[/_=-])|(?<=\\\.)|(?<=^\^))([a-z0-9]+)(?=(?:[/_=-]|\\\.)(?![?*+{])|\$$)")
+    return (
+        rules.filter("rule IS NOT NULL AND verdict IS NOT NULL AND kind IN ('prefix', 'word', 'regex')")
+        .select("rule", "kind", "verdict", "priority").distinct()
+        .select(
+            "rule", "verdict",
+            F.when(kind == "prefix", F.concat(F.lit(r"^(?:[^/]*\.)?"), _quoted(rule)))
+            .when(kind == "word", F.concat(F.lit("(?i)(?:^|[^a-z0-9])"), _quoted(rule), F.lit("(?:[^a-z0-9]|$)")))
+            .otherwise(rule).alias("pattern"),
+            F.when(kind == "prefix", F.regexp_extract_all(F.regexp_replace(folded, "[a-z0-9]+$", ""), runs, F.lit(0)))
+            .when(kind == "word", F.regexp_extract_all(folded, runs, F.lit(0)))
+            .when(rule.rlike(r"[(\[|]|\\\\"), F.array().cast("array<string>"))
+            .otherwise(F.regexp_extract_all(folded, between, F.lit(1))).alias("tokens"),
+            (kind == "prefix").alias("listed"),
+            F.when(kind == "prefix", F.length("rule")).otherwise(F.coalesce("priority", F.lit(0))).alias("priority"),
+        )
     )
-    tokens = F.array_distinct(F.concat(F.filter(F.split(F.lower("target"), "[^a-z0-9]+"), lambda t: t != ""), F.array(F.lit(_EVERY))))
-    seen = targets.select("target", F.explode(tokens).alias("token"))
-    literal = listed.select("name", F.explode("tokens").alias("token"))
+
+
+def candidates(targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(target, rule, verdict, pattern, listed, priority): the rules whose rarest token a target holds."""
+    every = F.array(F.lit(_EVERY))
+    listed = compiled(rules)
+    runs = F.filter(F.split(F.translate("target", UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != "")
+    seen = targets.select("target", F.explode(F.array_distinct(F.concat(runs, every))).alias("token"))
+    literal = listed.select("pattern", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(every)).alias("token"))
     counts = seen.join(literal.select("token").distinct(), "token").groupBy("token").count()
-    index = (
-        literal.join(counts, "token", "left").groupBy("name")
+    rarest = (
+        literal.join(counts, "token", "left").groupBy("pattern")
         .agg(F.min(F.struct(F.coalesce("count", F.lit(0)), "token")).alias("rarest"))
-        .select("name", F.col("rarest.token").alias("token"))
-        .join(listed.drop("tokens"), "name")
+        .select("pattern", F.col("rarest.token").alias("token"))
     )
-    candidates = seen.join(index, "token").filter(F.expr("target rlike pattern"))
+    return seen.join(rarest.join(listed.drop("tokens"), "pattern"), "token").drop("token")
+
+
+def judge(targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(target, rule, verdict) of the distinct ``target`` strings that some rule fits."""
     return (
-        candidates.groupBy("target")
-        .agg(F.max(F.struct("priority", "name", "verdict", "listed")).alias("best"))
-        .select("target", F.when(F.col("best.listed"), F.col("best.name")).alias("rule"), F.col("best.verdict").alias("verdict"))
+        candidates(targets, rules).filter(F.expr("target rlike pattern")).groupBy("target")
+        .agg(F.max(F.struct("listed", "priority", "rule", "verdict")).alias("best"))
+        .select("target", F.when(F.col("best.listed"), F.col("best.rule")).alias("rule"), F.col("best.verdict").alias("verdict"))
     )
 
 
 def url_verdicts(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
-    rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, default: str = DEFAULT_VERDICT,
+    pages: DataFrame, rules: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT,
 ) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every row."""
+    """(page_id, host, path, rule, verdict) of every row; ``rule`` is null unless a prefix rule decides."""
     url = F.col(url_col)
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"),
         F.coalesce(path_of(url), F.lit("")).alias("path"),
     )
     rows = rows.withColumn("target", F.concat("host", "path"))
-    verdicts = judge(rows.select("target").distinct(), rules)
+    verdicts = judge(rows.select("target").distinct(), default_rules(pages.sparkSession) if rules is None else rules)
     return rows.join(verdicts, "target", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )

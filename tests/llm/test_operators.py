@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -348,6 +349,45 @@ def test_url_filters(spark):
     got = {r.page_id: tuple(r[1:]) for r in url_filters.url_verdicts(pages).collect()}
     assert {i: got[i] for i in want} == want and all(got[i] == ("", "", None, "allow") for i in (None, 0, 1, 2, 3))
     assert url_filters.url_verdicts(pages.limit(0)).count() == 0
+    long = "http://x.com/" + "a/" * 200_000
+    many = spark.createDataFrame([(1, long + "casino"), (1, long + "casino"), (2, long)], "page_id int, url string")
+    same([(r.page_id, r.verdict) for r in url_filters.url_verdicts(many).collect()], [(1, "block"), (1, "block"), (2, "allow")])
+    assert {r.verdict for r in url_filters.url_verdicts(pages, url_filters.default_rules(spark).limit(0)).collect()} == {"allow"}
+
+
+def test_ten_thousand_rules_give_what_trying_all_gives(spark):
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(1500)]
+    hosts = [".".join(rng.sample(names, rng.randrange(1, 3)) + [rng.choice(["net", "org", "com"])]) for _ in range(3000)]
+    rules = {(f"{rng.choice(hosts)}/" + rng.choice(["", "a/", f"{rng.choice(names)}/", rng.choice(names), rng.choice(names)[:-1]]), "prefix") for _ in range(7000)}
+    rules |= {(rng.choice(["net/", "a.b/", "org/x\\E", "com/q+(", f"{rng.choice(names)}.org/"]), "prefix") for _ in range(50)}
+    rules |= {(rng.choice(names).upper() if rng.random() < 0.5 else f"{rng.choice(names)}", "word") for _ in range(300)}
+    shapes = ["/{a}/{b}", "^{a}\\.{b}\\.", "-{a}/*{b}", "/{a}-?{b}/", "/{a}.{b}$", "_{a}$", "/({a}|{b})/", "={a}\\.", "/[ab]{a}/", "^\\d+\\.", "/+{a}/", "/{a}/{{0,2}}z", "{a}{b}"]
+    rules |= {(rng.choice(shapes).format(a=rng.choice(names), b=rng.choice(names)), "regex") for _ in range(3200)}
+    rules = [(r, k, rng.choice(["allow", "block"]), rng.randrange(3)) for r, k in sorted(rules)]
+    assert len(rules) > 9_500
+    targets = {"", "org/x\\E/1", "y.com/q+(", "9.8/"} | {rng.choice(hosts) for _ in range(20)}
+    for r, k, _, _ in rng.sample(rules, 250):
+        piece = r.replace("\\.", ".").replace("^", "").replace("$", "").replace("/*", "").replace("?", "")
+        targets |= {piece, f"sub.{piece}", f"x.net/{piece}", f"x.net{piece}/q", f"x.net/{piece}z", f"x.net/-{piece}K"}
+    java = [(re.compile(r) if k == "regex" else re.compile(rf"(?ai)(?:^|[^a-z0-9]){re.escape(r)}(?:[^a-z0-9]|$)") if k == "word" else None, r, k, v, p) for r, k, v, p in rules]
+
+    def fits(target, pattern, rule):
+        if pattern is not None:
+            return pattern.search(target) is not None
+        (host, _, path), (rh, _, rp) = target.partition("/"), rule.partition("/")
+        return "/" in target and (host == rh or host.endswith("." + rh)) and path.startswith(rp)
+
+    want = set()
+    for t in targets:
+        best = max(((k == "prefix", len(r) if k == "prefix" else p, r, v) for x, r, k, v, p in java if fits(t, x, r)), default=None)
+        if best:
+            want.add((t, best[2] if best[0] else None, best[3]))
+    urls = spark.createDataFrame([(t,) for t in targets], "target string")
+    table = spark.createDataFrame(rules + rules[:50] + [(None, "word", "block", 1), ("n1", None, "block", 1), ("n2", "word", None, 1)], url_filters.RULE_SCHEMA)
+    assert {tuple(r) for r in url_filters.judge(urls, table).collect()} == want and len(want) > 300
+    tokenless = url_filters.compiled(table).filter("size(tokens) = 0").count()
+    assert url_filters.candidates(urls, table).count() < len(targets) * (tokenless + 100)
 
 
 # 8 sharding
