@@ -224,7 +224,8 @@ def _(c: Context) -> DataFrame:
     return part.join(after, "p_partkey").select("p_partkey", F.round(similarity.lcs_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-_IP = """CASE WHEN event_id % 10 = 0 THEN '2001:db8:' || lower(to_hex(event_id % 4096 + 1)) || '::' || lower(to_hex(user_id + 1)) WHEN event_id % 10 = 1 THEN 'fe80::' || lower(to_hex(user_id + 1))
+# a group of an IPv6 address has four digits at most: with a larger number the text is no address
+_IP = """CASE WHEN event_id % 10 < 2 AND user_id + 1 > 65535 THEN 'not-an-ip-' || user_id WHEN event_id % 10 = 0 THEN '2001:db8:' || lower(to_hex(event_id % 4096 + 1)) || '::' || lower(to_hex(user_id + 1)) WHEN event_id % 10 = 1 THEN 'fe80::' || lower(to_hex(user_id + 1))
   WHEN event_id % 10 = 2 THEN 'not-an-ip-' || user_id ELSE (event_id * 7919) % 256 || '.' || (event_id * 31 + user_id) % 256 || '.' || user_id % 256 || '.' || event_id % 256 END"""
 
 
