@@ -64,6 +64,23 @@ def test_blocking_finds_exactly_the_links_of_all_pairs(spark, seed, chunk, refin
     forms.unpersist()
 
 
+@pytest.mark.parametrize("chunk", [2000, 40])
+def test_deciding_links_give_the_members_and_ranks_of_all_links(spark, monkeypatch, chunk):
+    """Large blocks are scored by matrices: the same values, and far fewer links where only the deciding are asked for."""
+    dna = spark.createDataFrame(random_dna(9, 260), SCHEMA).withColumn("m", F.col("m").withField("x_mailer", F.lit("kit")))
+    forms = durable_table(linkage.distinct_forms(dna), "forms")
+    copies = linkage.copy_links(forms)
+    by_tiles = {tuple(r) for r in linkage.form_links(forms, chunk_rows=chunk).collect()}
+    one, some = (durable_table(linkage.form_links(forms, chunk_rows=chunk, strongest=n).unionByName(copies), "deciding") for n in (1, 4))
+    monkeypatch.setattr(linkage, "TILED_PAIRS", 1 << 60)
+    every = durable_table(linkage.form_links(forms, chunk_rows=chunk), "links")
+    assert by_tiles == {tuple(r) for r in every.collect()} and one.count() < every.count()
+    every = every.unionByName(copies)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(campaign.campaign_members(dna, one, forms)) == rows(campaign.campaign_members(dna, every, forms))
+    assert rows(linkage.top_form_links(forms, some, dna, limit=3)) == rows(linkage.top_form_links(forms, every, dna, limit=3))
+
+
 def test_batches_find_the_links_of_one_run(spark):
     dna = spark.createDataFrame(random_dna(6, 90), SCHEMA)
     forms = durable_table(linkage.distinct_forms(dna), "forms")
