@@ -156,3 +156,14 @@ def test_streamed_sessions_equal_the_batch_sessions(spark):
     arrive(late)
     got = {tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {tuple(r) for r in campaign_activity(spark.createDataFrame(rows, schema)).collect()}
+
+
+def test_tasks_of_the_analysis_grow_with_the_messages(spark):
+    from workload.context import Context
+    from workload.mail_view import MESSAGES_A_TASK, spread
+
+    c = Context(spark, "/root/testdata/sf0.001")
+    files = len(c.raw.inputFiles())
+    assert files >= 16 and min(len(c.analysed.inputFiles()), len(c.dna.inputFiles())) > files // 2  # a task writes a file
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    assert spread(c.raw, 300 * MESSAGES_A_TASK).rdd.getNumPartitions() == 300
