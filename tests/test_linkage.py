@@ -132,3 +132,30 @@ def test_hub_values_do_not_link(spark):
     assert {r.org_id for r in graph.graph_edges(tenants, spark.createDataFrame([], "org_id string, case_id string, campaign_id string, dna_score double")).where("target = 'ip:9.9.9.9' AND edge_type = 'shares'").collect()} == {"o"}
     idf = {r.normalised: r.df for r in indicators.indicator_idf(table).collect()}
     assert idf == {"gmail.com": 2, "9.9.9.9": 3}
+
+
+def test_pairs_of_a_case_graph_are_not_shuffled(spark, monkeypatch):
+    """Roots times cases of a popular value: what comes out of the join is stored as it is."""
+    plans, store = {}, graph.durable_table
+
+    def watched(rows, name):
+        plans[name] = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return store(rows, name)
+
+    monkeypatch.setattr(graph, "durable_table", watched)
+    rows = [("o", f"c{n}", "url", v, v) for n in range(6) for v in ("x", f"y{n % 2}")] + [("o", "c1", "ip", "x", "x"), ("o", "c2", "url", "x", "X")]
+    seen = spark.createDataFrame(rows, "org_id string, case_id string, type string, normalised string, value string")
+    cases = seen.selectExpr("org_id", "case_id", "case_id AS case_ref", "1 AS score", "'low' AS band").distinct()
+    members = spark.createDataFrame([], "org_id string, campaign_id string, case_id string, dna_score double")
+    campaigns = spark.createDataFrame([], "org_id string, campaign_id string, name string, member_count long")
+    roots = cases.where("case_id IN ('c0', 'c1')").select("org_id", "case_id")
+    _, edges = graph.case_graph(roots, cases, seen, members, campaigns)
+    got = sorted((r.root_case, r.edge_type, r.source, r.target) for r in edges.collect())
+    values = {(k, t, v) for _, k, t, v, _ in rows}
+    want = sorted(
+        [(r, "contains", f"case:{r}", f"{t}:{v}") for r in ("c0", "c1") for k, t, v in values if k == r]
+        + [(r, "shares", f"case:{k}", f"{t}:{v}") for r in ("c0", "c1") for k, t, v in values if k != r and (r, t, v) in values]
+    )
+    assert got == want
+    join = next(n for n, line in enumerate(plans["graph_cases"]) if "Join" in line)
+    assert "Join Inner" in plans["graph_cases"][join] and not any("Aggregate" in line for line in plans["graph_cases"][:join])
