@@ -159,3 +159,24 @@ def test_pairs_of_a_case_graph_are_not_shuffled(spark, monkeypatch):
     assert got == want
     join = next(n for n, line in enumerate(plans["graph_cases"]) if "Join" in line)
     assert "Join Inner" in plans["graph_cases"][join] and not any("Aggregate" in line for line in plans["graph_cases"][:join])
+
+
+def test_linked_cases_and_their_values_come_with_the_pair(spark):
+    dna = spark.createDataFrame(random_dna(7, 70), SCHEMA)
+    forms = linkage.distinct_forms(dna).persist()
+    links = linkage.form_links(forms).unionByName(linkage.copy_links(forms)).persist()
+    every = linkage.case_links(dna, links)
+    rng = random.Random(7)
+    rows = [("o1", f"c{n:04d}", v) for n in range(70) for v in rng.sample("abcdefghij", 3)] + [("o1", "c0003", "alone")]
+    values = spark.createDataFrame(rows, "org_id string, case_id string, normalised string")
+    idf = indicators.indicator_idf(values)
+    shared = linkage.shared_indicators(every, values, idf)
+    want = {
+        (r.case_id, r.other_case): (r.score, r.shared_indicators or [])
+        for r in every.join(shared, ["org_id", "case_id", "other_case"], "left").where("case_id < other_case").collect()
+    }
+    own = linkage.shareable_values(values, idf)
+    members = linkage.with_form_id(dna).select("org_id", "fp_id", "case_id").join(own, ["org_id", "case_id"], "left")
+    pairs = linkage.linked_cases(members, links).collect()
+    got = {(r.a.case_id, r.b.case_id): (r.score, sorted(set(r.a.shareable or []) & set(r.b.shareable or []))) for r in pairs}
+    assert len(pairs) == len(want) and got == want and any(v for _, v in got.values())
