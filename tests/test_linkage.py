@@ -180,3 +180,13 @@ def test_linked_cases_and_their_values_come_with_the_pair(spark):
     pairs = linkage.linked_cases(members, links).collect()
     got = {(r.a.case_id, r.b.case_id): (r.score, sorted(set(r.a.shareable or []) & set(r.b.shareable or []))) for r in pairs}
     assert len(pairs) == len(want) and got == want and any(v for _, v in got.values())
+
+
+def test_blocks_that_matrices_score_whole_are_not_cut(spark):
+    dna = spark.createDataFrame(random_dna(9, 700), SCHEMA).withColumn("m", F.col("m").withField("x_mailer", F.lit("kit")))
+    sketched = durable_table(linkage.sketches(linkage.distinct_forms(dna)), "sketches")
+    forms = sketched.count()
+    assert forms > 300
+    index = linkage.link_index(sketched)
+    tooling = linkage.tooling_keys(sketched).select("org_id", "fid", "key")
+    assert index.large.count() == 0 and tooling.join(linkage.block_keys(sketched, index), ["org_id", "fid", "key"], "left_anti").count() == 0
