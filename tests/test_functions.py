@@ -101,6 +101,10 @@ def test_canonical_json_ignores_order_and_formats_numbers(spark):
 def test_payload_decoding_and_unwrapping(spark):
     df = spark.createDataFrame([("YWJj\r\nZA",), ("_-8",), ("A",)], "s string")
     assert [r[0] and bytes(r[0]) for r in df.select(base64url_bytes(F.col("s"))).collect()] == [b"abcd", b"\xff\xef", None]
+    once = base64url_bytes(F.col("s"))  # the text is cleaned once, however often the expression uses it
+    assert df.select(once)._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1
+    wrapped = spark.createDataFrame([("YW-_\r\nYQ==\u00e9",), ("",)], "s string").select(once).collect()
+    assert [bytes(r[0]) for r in wrapped] == [b"ao\xbfa", b""]
     pages = [
         ("From: a@b.test\n\nhi", "From: a@b.test\n\nhi"),
         ("<html><pre>no</pre><pre>Received: x\nFrom: &lt;a&amp;lt;@b&gt;</pre></html>", "Received: x\nFrom: <a&lt;@b>"),
