@@ -124,3 +124,13 @@ def test_guards(spark):
     assert row.claims.text.startswith("All fine. Bye [A statement") and row.claims.violations == ["the attacker is in"]
     assert "8.8.8.8" in row.facts.text and "10.1.1.1" not in row.facts.text and "evil.test" not in row.facts.text
     assert row.grounded and not row.empty
+
+
+def test_sketches_of_neighbours_are_made_once(spark):
+    from __spark_entry__ import queries
+
+    tokens = text.content_tokens(F.col("t"))
+    sketch = spark.createDataFrame([("a",)], "t string").select(similarity.simhash64(tokens).alias("h"))
+    assert sketch._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1
+    plan = queries()["hamming_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "regexp" not in plan

@@ -29,8 +29,10 @@ def _(c: Context) -> DataFrame:
   SELECT a.doc_id, 1 - (bit_count(xor(CAST('0x' || substr(a.s, 1, 8) AS BIGINT), CAST('0x' || substr(b.s, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr(a.s, 9, 8) AS BIGINT), CAST('0x' || substr(b.s, 9, 8) AS BIGINT)))) / 64.0 AS sim
   FROM z a JOIN z b ON b.doc_id = a.doc_id + 1""")
 def _(c: Context) -> DataFrame:
-    docs = spread(c.table("documents").select("doc_id", "text"))
-    h = docs.select("doc_id", similarity.simhash64(text.content_tokens(F.col("text"))).alias("h"))
+    documents = c.table("documents").select("doc_id", "text")
+    docs = spread(documents, documents.count())
+    # both sides of the join read the sketches, so they are stored: two longs a document
+    h = c.shared("document_sketches", lambda: docs.select("doc_id", similarity.simhash64(text.content_tokens(F.col("text"))).alias("h")))
     after = h.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("g"))
     return h.join(after, "doc_id").select("doc_id", similarity.hamming_similarity(F.col("h"), F.col("g")).alias("sim"))
 
