@@ -1,12 +1,18 @@
+import email.utils
+import itertools
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from relaytrail import fixed_values as fv
-from relaytrail.functions.core import spread_nulls
-from relaytrail.operators import attribution, narrative, verify
+from relaytrail.functions.core import is_blank, spread_nulls, strip
+from relaytrail.operators import attribution, narrative, parse, verify
 from relaytrail.operators.durable import durable_table
 from relaytrail.operators.fingerprint import fingerprint
+from relaytrail.operators.indicators import message_indicators
 from relaytrail.operators.linkage import similarity_of, with_form_id
+from relaytrail.operators.views import case_details
 from relaytrail.plans.analyse import analyse_messages, with_org_config
 from relaytrail.config import AnalysisConfig
 from relaytrail.sources import tables
@@ -188,3 +194,55 @@ def test_narrative_is_gated_by_score(analysed):
     assert got["newsletter"].recommended_actions == ["No action required."]
     assert got["fraud"].unavailable_reason is None and "bec" in got["fraud"].explanation
     assert "below the generation threshold" in got["wave_a"].unavailable_reason
+
+
+def test_plain_values_are_what_the_library_makes_of_them():
+    words = ("a", "B-c", "x.y", "@", "<", ">", '"', " ", ",", ";", "=?utf-8?q?a?=", "\u00e9", "<a@b.c>", '"A b" ', "A b ", "(c)", "..", "[1.2.3.4]", "text/plain", '; charset="utf-8"', "; x=y")
+    values = {"".join(v) for n in (1, 2, 3) for v in itertools.product(words, repeat=n)}
+    taken = 0
+    for name in ("From", "Reply-To", "Message-ID", "Content-Type"):
+        for value in values:
+            plain = parse._plain_value(name.lower(), value.strip())
+            if plain is not None:
+                taken += 1
+                assert plain == str(parse._HEADER_FACTORY(name, value.strip())), (name, value)
+    assert taken > 100
+    for value in values:
+        mailbox = parse._plain_mailbox(value.strip())
+        assert mailbox is None or [mailbox] == email.utils.getaddresses([value.strip()]), value
+
+
+def test_plain_headers_are_not_parsed_by_grammar():
+    raw = b'From: "Desk A" <a@b.test>\nReply-To: c@d.test\nMessage-ID: <1.x@b.test>\nContent-Type: multipart/mixed; boundary="once_7"\n\n--once_7--\n'
+    before = parse._structured.cache_info().misses
+    got = parse._decode_one(raw)
+    assert parse._structured.cache_info().misses == before
+    assert [h["value"] for h in got["headers"]][:2] == ["Desk A <a@b.test>", "c@d.test"]
+    assert [(a["header"], a["display"], a["address"]) for a in got["addresses"]] == [("from", "Desk A", "a@b.test"), ("reply-to", "", "c@d.test")]
+
+
+def test_messages_of_a_batch_are_decoded_in_pieces():
+    large = b"Subject: s\n\n" + b"x" * parse.PIECE_BYTES
+    content = pa.array([large, b"Subject: t\n\ny", None, large, large], pa.binary())
+    assert [len(p) for p in parse._decoded_pieces(content)] == [1, 3, 1, 0]
+    got = parse._decode_batch(content).to_pylist()
+    assert [r and r["headers"][0]["value"] for r in got] == ["s", "t", None, "s", "s"]
+    assert len(parse._decode_batch(pa.array([], pa.binary()))) == 0
+
+
+def test_blank_text_is_known_at_the_first_character(spark):
+    df = spark.createDataFrame([(t,) for t in ("", " \u00a0\u2003\n\t", "\x1c", " a", "\n\u200b", None)], "t string")
+    got = df.select(is_blank(F.col("t")).alias("b"), (strip(F.col("t")) == "").alias("s")).collect()
+    assert [r.b for r in got] == [r.s for r in got] == [True, True, True, False, False, None]
+
+
+def test_values_of_indicators_are_trimmed_once(analysed):
+    assert message_indicators(analysed, "case_id")._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1
+    assert case_details(analysed, "org_id").columns[:2] == ["org_id", "case_id"]
+
+
+def test_case_details_need_no_join(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["case_details"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
