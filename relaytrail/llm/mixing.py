@@ -25,8 +25,8 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relaytrail.llm.common import LOWER, SPACE, durable_table, text_of, wrapped
-from relaytrail.llm.quality import bound, n_words_of, word_array
+from relaytrail.llm.common import durable_table, text_of, wrapped
+from relaytrail.llm.quality import bound, word_array
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of the mixture's tokens.
@@ -34,6 +34,8 @@ TARGETS = {"good": 0.90, "plain": 0.07, "toxic": 0.03}
 #: Labelled rows the classifier is fitted on (by a hash of their id); tokens chosen for each domain
 #: and the likelihood ratio (G statistic) a token needs, far above that of chance.
 MAX_FIT, TOKENS, LEAST_EVIDENCE = 20_000, 200, 25.0
+#: Parts the chosen tokens are looked up in, by the remainder of the hash.
+LOOKUP = 64
 #: Log-odds are divided by this, as the tokens of a text are not independent.
 TEMPERATURE = 1.0
 #: Weights of the change of the rates, one round each; steps of a round at most, as fractions of a
@@ -45,13 +47,21 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic > 0, 2).when(quality < 1, 1).otherwise(0)
 
 
+def token_hashes(lowered: Column, words: Column) -> Column:
+    """Hashes of the words of a lower-cased text, of their beginnings, and of what is not a plain letter in them."""
+    # the letters are taken out of the whole text; a word of letters only leaves nothing and counts once
+    left = word_array(F.regexp_replace(lowered, "[a-z]+", ""))
+    shapes = bound(left, lambda s: F.when(F.size(s) < F.size(words), F.concat(s, F.array(F.lit("")))).otherwise(s))
+    return F.concat(
+        F.transform(words, lambda w: F.xxhash64(w)),
+        F.transform(words, lambda w: F.xxhash64(F.lit("begin"), F.substring(w, 1, 5))),
+        F.transform(shapes, lambda s: F.xxhash64(F.lit("shape"), s)),
+    )
+
+
 def tokens_of(text: Column) -> Column:
-    """Distinct hashes of the words, of their beginnings, and of what is not a plain letter in them."""
-    return bound(word_array(F.lower(text)), lambda ws: F.array_distinct(F.concat(
-        F.transform(ws, lambda w: F.xxhash64(w)),
-        F.transform(ws, lambda w: F.xxhash64(F.lit("begin"), F.substring(w, 1, 5))),
-        F.transform(ws, lambda w: F.xxhash64(F.lit("shape"), F.translate(w, LOWER, ""))),
-    )))
+    """The distinct token hashes of a text."""
+    return bound(F.lower(text), lambda t: bound(word_array(t), lambda ws: F.array_distinct(token_hashes(t, ws))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_fit: int) -> DataFrame:
@@ -102,23 +112,26 @@ def fit_weights(
     return bias, chosen
 
 
-def posteriors(text: Column, bias: list[float], weights: dict[int, list[float]]) -> Column:
-    """Array of the domains' posteriors of a text."""
+def _posterior(lowered: Column, words: Column, bias: list[float], weights: dict[int, list[float]]) -> Column:
     d = range(1, len(DOMAINS))
     none = F.struct(*[F.lit(0.0).alias(f"d{k}") for k in d])
     sums = none
     if weights:
-        tokens = sorted(weights)
+        tokens = sorted(weights, key=lambda t: (t % LOOKUP, t))
         listed = F.expr("array(" + ", ".join(f"{t}L" if t > -(1 << 63) else "(-9223372036854775807L - 1L)" for t in tokens) + ")")
         tables = [F.expr("array(" + ", ".join(f"{weights[t][k - 1]!r}D" for t in tokens) + ")") for k in d]
+        sizes = np.bincount([t % LOOKUP for t in tokens], minlength=LOOKUP)
+        starts, sizes = (F.array(*[F.lit(int(x)) for x in xs]) for xs in (sizes.cumsum() - sizes, sizes))
 
         def add(total: Column, token: Column) -> Column:
-            at = F.array_position(listed, token).cast("int") - 1
-            return F.struct(*[(total[f"d{k}"] + F.get(t, at)).alias(f"d{k}") for k, t in zip(d, tables)])
+            part = F.pmod(token, F.lit(LOOKUP)).cast("int")
+            start = F.get(starts, part)
+            at = start + F.array_position(F.slice(listed, start + 1, F.get(sizes, part)), token).cast("int") - 1
+            return bound(at, lambda i: F.struct(*[(total[f"d{k}"] + F.get(t, i)).alias(f"d{k}") for k, t in zip(d, tables)]))
 
-        # a text holds few of the chosen tokens; only those are looked up
-        hits = F.array_intersect(tokens_of(text), listed)
-        sums = F.when(F.btrim(text, F.lit(SPACE)) == "", none).otherwise(F.aggregate(hits, none, add))
+        # a text holds few of the chosen tokens; only those are looked up, each once
+        hits = F.array_intersect(token_hashes(lowered, words), listed)
+        sums = F.when(F.get(words, F.lit(0)) == "", none).otherwise(F.aggregate(hits, none, add))
 
     def shares(total: Column) -> Column:
         logits = [F.lit(bias[0])] + [F.lit(bias[k]) + total[f"d{k}"] / TEMPERATURE for k in d]
@@ -130,6 +143,21 @@ def posteriors(text: Column, bias: list[float], weights: dict[int, list[float]])
     return bound(sums, shares)
 
 
+def weighed(text: Column, bias: list[float], weights: dict[int, list[float]]) -> Column:
+    """(tokens, posterior): the number of words of a text and the domains' posteriors, from one split of it."""
+
+    def of(lowered: Column, words: Column) -> Column:
+        n = F.when(F.get(words, F.lit(0)) == "", 0).otherwise(F.size(words)).cast("long")
+        return F.struct(n.alias("tokens"), _posterior(lowered, words, bias, weights).alias("posterior"))
+
+    return bound(F.lower(text), lambda t: bound(word_array(t), lambda ws: of(t, ws)))
+
+
+def posteriors(text: Column, bias: list[float], weights: dict[int, list[float]]) -> Column:
+    """Array of the domains' posteriors of a text."""
+    return weighed(text, bias, weights)["posterior"]
+
+
 def rate_of(posterior: Column, pull: list[float], most: float | None = None) -> Column:
     """The document's rate: one, less what the summed gradient takes along its posterior, projected."""
     moved = F.lit(1.0) - _along(posterior, pull)
@@ -154,8 +182,8 @@ def _sums(members: DataFrame, pulls: list[list[float]], most: float | None) -> l
     rate = F.greatest(F.lit(0.0), rest if most is None else F.least(F.lit(float(most)), rest))
     free = (rest > 0) if most is None else (rest > 0) & (rest <= most)
     area = F.when(rest > 0, rest * rest / 2 if most is None else F.when(rest > most, most * (rest - most / 2)).otherwise(rest * rest / 2)).otherwise(0.0)
-    weighed = at.withColumns({"moved": F.col("tokens") * rate, "held": F.when(free, F.col("tokens")).otherwise(0.0), "area": F.col("tokens") * area})
-    sums = weighed.groupBy("n").agg(
+    totals = at.withColumns({"moved": F.col("tokens") * rate, "held": F.when(free, F.col("tokens")).otherwise(0.0), "area": F.col("tokens") * area})
+    sums = totals.groupBy("n").agg(
         *[F.sum(F.col("moved") * F.col(f"p{k}")).alias(f"s{k}") for k in d],
         *[F.sum(F.col("held") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in d for j in d if i <= j], F.sum("area").alias("v"),
     )
@@ -229,9 +257,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     text = text_of(text_col)
     members = durable_table(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), n_words_of(text).alias("tokens"),
-            posteriors(text, bias, weights).alias("posterior"),
-        ),
+            F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), weighed(text, bias, weights).alias("of"),
+        ).select("doc_id", "text_hash", "of.tokens", "of.posterior"),
         "mixing_members",
     )
     rate = rate_of(F.col("posterior"), fit_rates(members, targets or TARGETS, most, keep_first=most is not None), most)
