@@ -31,31 +31,57 @@ from relaytrail.llm.quality import n_words_of
 WINDOW, GRAM = 35, 8
 #: Words of one index, and of one minimizer's segments above which it is split into windows.
 SHARD_WORDS, HOT_WORDS = 400_000, 400_000
-_MEMO = 500_000
-
-
-class WordHashes(dict):
-    """Hash of a word; remembers a bounded number."""
+#: Bytes hashed at a time; a longer word is hashed on its own.
+PIECE = 1 << 18
+_GAP = np.zeros(256, bool)
+_GAP[list(SPACE.encode())] = True
+# a number for each byte, none for white space; odd powers and their inverses modulo 2 ** 64
+_BYTE = np.where(_GAP, 0, np.frombuffer(xxhash.xxh3_128_digest(b"bytes") * 128, np.uint64)[:256] * np.arange(1, 512, 2, np.uint64)).astype(np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _INVERSES = (
+    np.r_[np.uint64(1), np.full(PIECE, x, np.uint64)].cumprod(dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))
+)
+
+
+class Words:
+    """The words of a text as places in its bytes, with a hash of each.
+
+    The hash is a polynomial in the word's bytes modulo 2 ** 64. It only chooses minimizers: equal words
+    have equal hashes, and whether words are equal is decided by their bytes.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def __init__(self, text: bytes) -> None:
+        self.text, data = text, np.frombuffer(text, np.uint8)
+        gap = np.ones(len(data) + 2, bool)
+        gap[1:-1] = _GAP[data]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        at = 0
+        while at < len(self.starts):
+            a = int(self.starts[at])
+            to = int(np.searchsorted(self.ends, a + PIECE, "right"))
+            if to == at:
+                self.hashes[at] = xxhash.xxh3_64_intdigest(text[a : int(self.ends[at])])
+                at += 1
+                continue
+            values = _BYTE[data[a : int(self.ends[to - 1])]]
+            values *= _POWERS[: len(values)]
+            places = self.starts[at:to] - a
+            self.hashes[at:to] = np.add.reduceat(values, places) * _INVERSES[places]
+            at = to
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def content(self, first: int, words: int) -> bytes:
+        """Some words, joined by one space."""
+        return b" ".join(self.text[int(self.starts[first]) : int(self.ends[first + words - 1])].split())
 
 
 def segments(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows, repeats) of a document's segments.
-
-    ``repeats`` is 2 where the minimizing run occurs twice in the document, else 1.
-    """
+    """(minimizer, first window, windows) of a document's segments, and the hashes of all its runs."""
     n = len(hashes) - window + 1
     if n < 1:
         empty = np.empty(0, np.int64)
-        return empty.view(np.uint64), empty, empty, empty
+        return empty.view(np.uint64), empty, empty, empty.view(np.uint64)
     runs = hashes[: len(hashes) - gram + 1].copy()
     for j in range(1, gram):
         runs *= np.uint64(0x9E3779B97F4A7C15)
@@ -68,10 +94,14 @@ def segments(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tupl
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     least = np.minimum(least[:n], least[width - size : width - size + n])
-    first = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-    keys, ordered = least[first], np.sort(runs)
-    repeats = np.searchsorted(ordered, keys, "right") - np.searchsorted(ordered, keys, "left")
-    return keys, first, np.diff(np.r_[first, n]), np.minimum(repeats, 2)
+    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    return least[first], first, np.diff(first, append=n), runs
+
+
+def repeats(keys: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """2 where a minimizing run occurs twice in the document, else 1."""
+    ordered = np.sort(runs)
+    return np.minimum(np.searchsorted(ordered, keys, "right") - np.searchsorted(ordered, keys, "left"), 2)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -80,15 +110,14 @@ def _words(text: str | None) -> list[bytes]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u1, key, repeats) of every segment."""
-    hashes = WordHashes()
     for batch in batches:
-        parts = [segments(hashes.of(_words(t))) for t in batch.column(1).to_pylist()]
+        parts = [segments(Words(t).hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         sizes = np.array([len(p[0]) for p in parts])
         if sizes.sum():
             owner = np.repeat(np.asarray(batch.column(0)), sizes)
             key = np.concatenate([p[0] for p in parts]).view(np.int64)
-            repeats = np.concatenate([p[3] for p in parts]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(key), pa.array(repeats)], ["u1", "key", "repeats"])
+            times = np.concatenate([repeats(p[0], p[3]) for p in parts]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(key), pa.array(times)], ["u1", "key", "repeats"])
 
 
 def _suspect_segments(with_text: bool):
@@ -97,16 +126,15 @@ def _suspect_segments(with_text: bool):
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
         def rows():
             for batch in batches:
-                for u1, u2, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                    words = _words(text)
-                    keys, first, n, _ = segments(hashes.of(words))
+                texts = batch.column(2).cast(pa.binary()).to_pylist()
+                for u1, u2, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3)):
+                    words = Words(text)
+                    keys, first, n, _ = segments(words.hashes)
                     signed = keys.view(np.int64)
-                    for i in np.flatnonzero(np.isin(signed, np.array(wanted, np.int64))).tolist():
-                        content = b" ".join(words[first[i] : first[i] + n[i] + WINDOW - 1])
+                    for i in np.flatnonzero(np.isin(signed, wanted.values.to_numpy())).tolist():
+                        content = words.content(int(first[i]), int(n[i]) + WINDOW - 1)
                         yield u1, u2, int(first[i]), xxhash.xxh3_128_digest(content), int(signed[i]), content if with_text else None
 
         yield from out_batches(rows(), schema)

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from relaytrail.llm import mixing
+from relaytrail.llm import mixing, substring_dedup
 
 AWKWARD = ["", " \n\t ", "one", " two\x0bwords\r\n", "é 漢字\x85 \x1cend", "a" * 700 + " b " + "c" * 70 + "  d", "plain ab1 1 AB -- ab1"]
 
@@ -24,3 +24,16 @@ def test_a_text_is_split_once_for_words_and_tokens(spark):
         assert np.allclose(r["of"]["posterior"], np.exp(logits) / np.exp(logits).sum())
         shapes = {re.sub("[a-z]", "", w) for w in words or [""]}
         assert len(r["hashes"]) == len(set(r["hashes"])) == len(set(words or [""])) + len({w[:5] for w in words or [""]}) + len(shapes)
+
+
+def test_word_hashes_follow_the_bytes_of_the_words(monkeypatch):
+    for piece in (1 << 18, 64):
+        monkeypatch.setattr(substring_dedup, "PIECE", piece)
+        by_word = {}
+        for text in [*AWKWARD, " ".join(AWKWARD), "x " + "\n".join(AWKWARD)]:
+            words, want = substring_dedup.Words(text.encode()), text.encode().split()
+            assert [text.encode()[a:b] for a, b in zip(words.starts, words.ends)] == want
+            for word, h in zip(want, words.hashes.tolist(), strict=True):
+                assert by_word.setdefault(word, h) == h
+            assert not want or words.content(0, len(want)) == b" ".join(want)
+        assert len(set(by_word.values())) == len(by_word)
