@@ -22,6 +22,7 @@ import json
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from relaytrail.llm.pieces import PieceEncoder
 
 MAGIC = b"BPLANE01"
 BLOCK, FILE_IDS, LEVEL = 1 << 16, 1 << 26, 3
+#: Pieces whose tokens are held at a time.
+PIECES = 10_000
 
 
 class PlaneWriter:
@@ -165,14 +168,21 @@ def text_encoder(tokenizer_file: bytes, pattern: str) -> TextEncoder:
 
         tokenizer = Tokenizer.from_str(tokenizer_file.decode())
 
-        # a piece in the tokenizer's byte alphabet goes straight to its BPE model
-        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
+        # pieces in the tokenizer's byte alphabet go straight to its BPE model
+        tokenize, letters = tokenizer.model.tokenize, np.array([ord(c) for _, c in sorted(byte_alphabet().items())], "<u4")
 
         def packed(ids: list[int]) -> bytes:
             return struct.pack(f"<{len(ids)}I", *ids)
 
+        def encode_some(pieces: list[str]) -> list[bytes]:
+            raw = [piece.encode() for piece in pieces]
+            text = letters[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+            found = [tokenize(text[a:b]) for a, b in pairwise(accumulate(map(len, raw), initial=0))]
+            ids = packed([t.id for tokens in found for t in tokens])
+            return [ids[4 * a : 4 * b] for a, b in pairwise(accumulate(map(len, found), initial=0))]
+
         def encode_pieces(pieces: list[str]) -> list[bytes]:
-            return [packed([t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))]) for piece in pieces]
+            return [ids for at in range(0, len(pieces), PIECES) for ids in encode_some(pieces[at : at + PIECES])]
 
         def encode_whole(text: str) -> bytes:
             return packed(tokenizer.encode(text, add_special_tokens=False).ids)
@@ -187,7 +197,7 @@ def write_token_files(
     docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Write all documents in ascending id order; (file, documents, ids, start) of every file."""
-    small_batches(docs.sparkSession, rows=512)
+    small_batches(docs.sparkSession, rows=1024)
     with open(tokenizer_path, "rb") as f:
         tokenizer_file = f.read()
     end = np.array([end_id], "<u4").tobytes()
