@@ -28,7 +28,7 @@ from relaytrail.llm.common import small_batches
 from relaytrail.llm.pieces import PieceEncoder
 
 #: Bytes of text, bytes of new pieces, and tokens to decode that one query takes.
-GROUP_BYTES, WORD_BYTES, DECODE_TOKENS = 6 << 20, 1 << 20, 400_000
+GROUP_BYTES, WORD_BYTES, DECODE_TOKENS = 3 << 19, 1 << 19, 400_000
 #: Pieces above this many bytes contract several pairs a round.
 LONG = 64
 #: Rows of all rounds that one recursive query may keep; the next one goes on from its last round.

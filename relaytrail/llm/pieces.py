@@ -10,12 +10,37 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Sequence
-from itertools import chain, islice
+from itertools import chain, pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Chunks and pieces a worker remembers at most; a full memo is emptied.
-MEMO = 700_000
+#: A worker remembers between this many and twice as many chunks, and as many pieces.
+MEMO = 250_000
+
+
+class Memo:
+    """Values by key in two generations: the older one is dropped when the newer one is full.
+
+    What is asked for again moves to the newer one, so frequent keys stay.
+    """
+
+    def __init__(self) -> None:
+        self.newer: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def turn(self) -> None:
+        if len(self.newer) > MEMO:
+            self.newer, self.older = {}, self.newer
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that are not remembered; all others are in the newer generation after this."""
+        unseen = keys.difference(self.newer)
+        again = [k for k in unseen if k in self.older]
+        self.newer.update(zip(again, map(self.older.__getitem__, again)))
+        return unseen.difference(again)
 
 
 class PieceEncoder:
@@ -24,13 +49,12 @@ class PieceEncoder:
     def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], Sequence[bytes]]) -> None:
         self.find = regex.compile(pattern).findall
         self.encode_pieces = encode_pieces
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        self.pieces, self.chunks = Memo(), Memo()
 
     def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.pieces))
+        new = list(self.pieces.missing(pieces))
         if new:
-            self.pieces.update(zip(new, self.encode_pieces(new)))
+            self.pieces.newer.update(zip(new, self.encode_pieces(new)))
 
     def _cut(self, chunks: list[str]) -> dict[str, list[str]]:
         """Pieces of chunks that follow a space, matched in one go: a piece with a space starts a chunk."""
@@ -45,29 +69,36 @@ class PieceEncoder:
         collecting = gc.isenabled()
         gc.disable()  # millions of short strings and no cycles
         try:
-            return self._encode(texts)
+            return self._encode(texts) if texts else []
         finally:
             if collecting:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        if len(self.chunks) > MEMO:
-            self.chunks.clear()
-            self.pieces.clear()
-        new = set(chain.from_iterable(cut)).difference(self.chunks)
+        self.chunks.turn()
+        self.pieces.turn()
+        # chunks stay in Arrow arrays: only distinct ones become Python strings
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).copy()
+        firsts = [self.find(t.partition(" ")[0]) for t in texts]
+        new = self.chunks.missing(set(distinct))
         found = self._cut([c for c in new if c and not c[0].isspace()])
-        firsts = [self.find(c[0]) for c in cut]
         self._learn(set(chain.from_iterable(found.values())).union(*firsts))
-        known, get = self.pieces.__getitem__, self.chunks.__getitem__
-        self.chunks.update(zip(found, (b"".join(map(known, f)) for f in found.values())))
-        self.chunks.update(dict.fromkeys(new.difference(found)))
-        out = []
-        for text, chunks, first in zip(texts, cut, firsts):
-            try:
-                out.append(b"".join(chain(map(known, first), map(get, islice(chunks, 1, None)))))
-            except TypeError:  # a chunk that starts with white space
-                whole = self.find(text)
-                self._learn(set(whole))
-                out.append(b"".join(map(known, whole)))
+        known, remembered = self.pieces.newer.__getitem__, self.chunks.newer
+        remembered.update(dict.fromkeys(new.difference(found)))
+        remembered.update(zip(found, [b"".join(map(known, f)) for f in found.values()]))
+        # the first chunk of a text has no space in front: its ids stand behind those of the others
+        codes[bounds[:-1]] = len(distinct) + np.arange(len(texts))
+        ids = pa.array([*map(remembered.__getitem__, distinct), *(b"".join(map(known, f)) for f in firsts)], pa.large_binary())
+        unknown = np.logical_or.reduceat(ids.is_null().to_numpy(zero_copy_only=False)[codes], bounds[:-1])
+        taken = ids.take(pa.array(codes))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[bounds].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in pairwise(ends)]
+        for i in np.flatnonzero(unknown).tolist():  # a chunk that starts with white space
+            whole = self.find(texts[i])
+            self._learn(set(whole))
+            out[i] = b"".join(map(known, whole))
         return out

@@ -5,11 +5,28 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from relaytrail.llm import mixing, substring_dedup
+from relaytrail.llm import mixing, pieces, substring_dedup
 
 AWKWARD = ["", " \n\t ", "one", " two\x0bwords\r\n", "é 漢字\x85 \x1cend", "a" * 700 + " b " + "c" * 70 + "  d", "plain ab1 1 AB -- ab1"]
 
 
+def test_memo_of_pieces_is_bounded_and_keeps_what_is_frequent(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 50)
+    learned, held = [], []
+
+    def encode(new):
+        learned.extend(new)
+        return [p.encode() for p in new]
+
+    encoder = pieces.PieceEncoder(r" ?[^\s\d]+| ?\d|\s+", encode)
+    for i in range(40):
+        texts = [" ".join(["the", *(f"{c}{d}x{'abcdefghij'[i % 10] * (i + 1)}" for c in "pqrst"), "the"]) + end for d, end in zip("123", ["", " \n y", " "])]
+        assert encoder.encode(texts) == [t.encode() for t in texts]
+        held += [len(vars(memo)[k]) for memo in (encoder.chunks, encoder.pieces) for k in ("newer", "older")]
+    assert max(held) < 100 and learned.count(" the") == 1
+    assert encoder.encode([]) == []
+
+
 def test_a_text_is_split_once_for_words_and_tokens(spark):
     rows = spark.createDataFrame(list(enumerate(AWKWARD)), "doc_id long, text string")
     labels = rows.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).alias("toxic"))
